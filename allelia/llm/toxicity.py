@@ -6,7 +6,7 @@ probability from the model that was fitted without its fold. The last fit of a c
 
 Training takes at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id (all, where there are fewer); this bound is the
 only one. Folds are fitted by Spark tasks, and every whole text is scored. Features are the distinct words of a text,
-hashed to ``DIMS`` columns.
+hashed to ``DIMS`` columns, and four numbers on its form; each fit chooses the words that go with its label.
 
 A label that is null or a document that is missing is left out of the fit. Null and empty texts are scored by the
 intercepts. Without any labelled row, or with one class only, the probability is the share of positives (0 for none).
@@ -23,56 +23,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import Words, blocks
+from .textops import IS_WORD, LOWER, Words, blocks
 
 SAMPLE = 16_000
 FOLDS = 4
 DIMS = 1 << 17
-ROUNDS = 60
-PENALTY = 1.0
+ROUNDS = 20
+PENALTY = 0.3
+SHAPES = 4
+CHOSEN = 512
+LEAST_ROWS = 3
+LEAST_Z = 4.0
 #: Category, the label column it comes from, the value that counts as positive; in the order of the chain.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
-def features(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of each row: flat columns and row offsets."""
+def features(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashed words of each row as flat columns and row offsets, and its ``SHAPES`` numbers on form."""
     words = Words(data, offs)
     row = np.repeat(np.arange(len(offs) - 1), words.counts())
     key = np.unique(row * dims + (words.hash % np.uint64(dims)).astype(np.int64))
-    return (key % dims).astype(np.int32), np.searchsorted(key, np.arange(len(offs)) * dims)
+    first = np.searchsorted(key, np.arange(len(offs)) * dims)
+    size, n = np.diff(offs), np.maximum(words.counts(), 1)
+    upper, sign = ((data >= 65) & (data <= 90)), (data < 128) & ~IS_WORD[LOWER[data]] & (data != 32)
+    share = lambda hit: np.diff(np.append(0, np.cumsum(hit))[offs]) / np.maximum(size, 1)
+    shape = np.column_stack([share(upper), share(sign), np.diff(first) / n, np.log1p(n) / 10])
+    return (key % dims).astype(np.int32), first, shape
 
 
-def fit(column: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Logistic regression with an L2 penalty: weights of the words, of the earlier probabilities, and the intercept.
+def select(column: np.ndarray, first: np.ndarray, y: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """The words that go with the label, at most ``CHOSEN``: those farthest from independence in standard deviations."""
+    row = np.repeat(np.arange(len(y)), np.diff(first))
+    holds, hits = np.bincount(column, minlength=dims), np.bincount(column, weights=y[row], minlength=dims)
+    share = y.mean()
+    z = np.abs(hits - holds * share) / np.sqrt(np.maximum(holds, 1) * share * (1 - share))
+    fit = np.flatnonzero((holds >= LEAST_ROWS) & (z > LEAST_Z))
+    return np.sort(fit[np.argsort(-z[fit], kind="stable")[:CHOSEN]])
 
-    Diagonal Newton steps with momentum would not be steadier here; plain accelerated gradient is enough.
-    """
-    width = dims + extra.shape[1] + 1
+
+def fit(column: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Logistic regression with an L2 penalty by Newton's method: weights of the words, of the extra columns, and the intercept."""
+    out = np.zeros(dims + extra.shape[1] + 1)
     if not len(y) or y.min() == y.max():
-        out = np.zeros(width)
-        out[-1] = 0.0 if not len(y) else 30.0 if y[0] else -30.0
+        out[-1] = 30.0 if len(y) and y[0] else -30.0
         return out
+    chosen = select(column, first, y, dims)
+    place = np.full(dims, -1)
+    place[chosen] = np.arange(len(chosen))
     row = np.repeat(np.arange(len(y)), np.diff(first))
-    used, column = np.unique(column, return_inverse=True)
-    size = np.diff(first)
-    scale = 1 / np.sqrt(np.maximum(size, 1))  # the same for any length in the fit's step sizes only
-    n = len(used)
-    w, e, b = np.zeros(n), np.zeros(extra.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
-    held = np.zeros(n), np.zeros(extra.shape[1]), 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    seen = np.bincount(column, minlength=n)
-    speed = 0.25 * np.bincount(column, weights=(weight * size * scale)[row], minlength=n) + PENALTY
-    for step in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(np.append(w[column], 0.0), np.minimum(first[:-1], len(column))) * (size > 0) + extra @ e + b, -30, 30)))
-        g = (p - y) * weight
-        gw = (np.bincount(column, weights=g[row], minlength=n) + PENALTY * w) / speed
-        ge = (extra.T @ g + PENALTY * e) / (len(y) * 0.25)
-        gb = g.sum() / (len(y) * 0.25)
-        held = tuple(0.8 * h - 0.5 * d for h, d in zip(held, (gw, ge, gb)))
-        w, e, b = w + held[0], e + held[1], b + held[2]
-    w[seen < 2] = 0
-    out = np.zeros(width)
-    out[used], out[dims:-1], out[-1] = w, e, b
+    on = place[column] >= 0
+    x = np.zeros((len(y), len(chosen) + extra.shape[1] + 1), np.float32)
+    x[row[on], place[column[on]]] = 1
+    x[:, len(chosen) : -1] = extra
+    x[:, -1] = 1
+    w = np.zeros(x.shape[1])
+    hold = np.full(len(w), PENALTY)
+    hold[-1] = 1e-6
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + hold * w
+        curve = (x * (p * (1 - p))[:, None].astype(np.float32)).T @ x + np.diag(hold)
+        step = np.linalg.solve(curve, slope)
+        w = w - step * min(1.0, 5.0 / np.abs(step).max())
+        if np.abs(step).max() < 1e-4:
+            break
+    out[chosen], out[dims:] = w[: len(chosen)], w[len(chosen) :]
     return out
 
 
@@ -93,18 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             for a, b, data, offs in blocks(get("text")):
-                column, first = features(data, offs)
-                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in ("doc_id", *ys)] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(column))], names=["doc_id", *ys, "columns"])
+                column, first, shape = features(data, offs)
+                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in ("doc_id", *ys)] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(column)), pa.array(list(shape), pa.list_(pa.float64()))], names=["doc_id", *ys, "columns", "shape"])
 
     ys = [f"y{k}" for k in range(len(categories))]
-    schema = "doc_id long, " + "".join(f"{y} int, " for y in ys) + "columns array<int>"
+    schema = "doc_id long, " + "".join(f"{y} int, " for y in ys) + "columns array<int>, shape array<double>"
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows of a few numbers
     got = rows.select("doc_id", *ys, "text").mapInArrow(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
     size = np.array([len(x) for x in got["columns"]], np.int64)
     first = np.append(0, np.cumsum(size))
     column = np.concatenate([*got["columns"].tolist(), np.zeros(0, np.int32)]).astype(np.int32)
     fold = np.arange(len(got)) % folds
-    extra = np.zeros((len(got), 0))
+    extra = np.array([*got["shape"].tolist(), *np.zeros((0, SHAPES))]).reshape(len(got), SHAPES)
     held = spark.sparkContext.broadcast((column, first, fold))
     models = []
     for y in (got[c].to_numpy(np.int64) for c in ys):
@@ -144,11 +159,10 @@ def score(docs: DataFrame, models: list[np.ndarray], categories=CATEGORIES) -> D
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             for a, b, data, offs in blocks(get("text")):
-                column, first = features(data, offs)
-                extra = np.zeros((b - a, 0))
+                column, first, extra = features(data, offs)
                 for w in sent.value:
                     extra = np.column_stack([extra, probability(w.astype(np.float64), column, first, extra)])
-                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in keep] + [pa.array(extra[:, k]) for k in range(len(names))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in keep] + [pa.array(extra[:, SHAPES + k]) for k in range(len(names))], names=[*keep, *names])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
