@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontam, licences, lines, pieces, sharding, suffix, toxicity, urls
+from . import audio, decontam, jaccard, licences, lines, pieces, sharding, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("sid")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return found.drop("text")
@@ -48,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_toxicity, op8_sharding, op10_line_dedup, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
