@@ -51,13 +51,13 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFrame:
-    """(doc_id, sid, n, sketch, k1..k3): the set's id and size, and its sampled path keys by level; the run stands in 4 bits."""
+    """(doc_id, text_key, sid, n, sketch, k1..k3): the set's id and size, and its sampled path keys by level; the run stands in 4 bits."""
     odd = seeds(LEVELS * runs, 21) | U64(1)
     salt = seeds(LEVELS * runs, 22)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in blocks(batch.column(1)):
+            for a, b, data, offs in blocks(batch.column(2)):
                 sid, size, marks, keys = [], [], [], [[] for _ in range(LEVELS)]
                 for j, tokens in enumerate(shingles(Words(data, offs), k)):
                     sid.append(set_id(tokens, data[offs[j] : offs[j + 1]].tobytes()))
@@ -69,9 +69,9 @@ def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFram
                     for level in range(LEVELS):
                         keys[level].append(path[which // runs == level].view(np.int64))
                 new = [pa.array(sid, pa.binary()), pa.array(size, pa.int32()), pa.array(marks, pa.binary())] + [pa.array(x, pa.list_(pa.int64())) for x in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *new], names=["doc_id", "sid", "n", "sketch", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *new], names=["doc_id", "text_key", "sid", "n", "sketch", "k1", "k2", "k3"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, n int, sketch binary, k1 array<long>, k2 array<long>, k3 array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, sid binary, n int, sketch binary, k1 array<long>, k2 array<long>, k3 array<long>")
 
 
 def _buckets(sets: DataFrame, limit: int) -> DataFrame:
@@ -205,8 +205,11 @@ def _verified(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: float = RECALL, limit: int = LIMIT, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, class_id, n_links, sid) for each row: class_id is the smallest doc_id of its class (documents that links
-    connect), n_links counts the other documents that are linked to it directly, sid tells equal sets."""
+    """(doc_id, class_id, n_links, lead, text_key) for each row.
+
+    class_id is the smallest doc_id of its class (documents that links connect), n_links counts the other documents that are
+    linked to it directly, lead names the class also where doc_ids repeat, text_key is the text's xxhash64.
+    """
     sets = stored(_described(docs, k, threshold, min(16, runs_for(recall))))
     unique = sets.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     leaves = _pairs_of_blocks(_buckets(sets, limit), F.ceil(F.col("m") / (2 * limit)), "sid")
@@ -242,5 +245,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
         links = links.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "docs", F.coalesce("root", "sid").alias("lead"))
     each = unique.join(links, "sid", "left").select("sid", "copies", "rep", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("lead", "sid").alias("lead"))
     classes = each.groupBy("lead").agg(F.min("rep").alias("class_id"))
-    found = each.join(classes, "lead").select("sid", "class_id", (F.col("copies") - 1 + F.col("docs")).alias("n_links"))
-    return sets.select("doc_id", "sid").join(found, "sid").select("doc_id", "class_id", "n_links", "sid")
+    found = each.join(classes, "lead").select("sid", "class_id", "lead", (F.col("copies") - 1 + F.col("docs")).alias("n_links"))
+    return sets.select("doc_id", "text_key", "sid").join(found, "sid").select("doc_id", "class_id", "n_links", "lead", "text_key")
