@@ -177,7 +177,6 @@ def _warn_unknown(table: DataFrame, shapes: dict[str, int], what: str) -> None:
         log.warning("The %s names contigs that the VCF lacks: %s", what, unknown)
 
 
-@F.pandas_udf("string")
 def shown(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Doubles with 14 significant digits; NA for null and NaN."""
     for v in values:
@@ -187,7 +186,8 @@ def shown(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def text_rows(result: DataFrame) -> DataFrame:
     """Output lines of a result, sorted by contig, window and population; the sort keys are kept out of the lines."""
     hidden = [c for c in ("chrom_rank", "window_ord", "pop_rank") if c in result.columns]
-    cells = [shown(F.col(n)) if t == "double" else F.coalesce(F.col(n).cast("string"), F.lit("NA")) for n, t in result.dtypes if n not in hidden]
+    as_text = F.pandas_udf(shown, "string")
+    cells = [as_text(F.col(n)) if t == "double" else F.coalesce(F.col(n).cast("string"), F.lit("NA")) for n, t in result.dtypes if n not in hidden]
     order = [c for c in ("chrom_rank", "window_pos_1", "window_ord", "pop_rank", "pop1", "pop2") if c in result.columns]
     return result.orderBy(*order).select(F.concat_ws("\t", *cells).alias("value"))
 

@@ -25,7 +25,7 @@ def _fields(spark: SparkSession, path: str, least: int, empty: str, short: str)
 def read_populations(spark: SparkSession, path: str) -> DataFrame:
     """(line, sample, pop) of a populations file."""
     rows = _fields(spark, path, 2, "The populations file has missing data, all samples must be assigned to a population.", "The populations file must have two columns: sample and population.")
-    return rows.select("line", F.col("f")[0].alias("sample"), F.col("f")[1].alias("pop"))
+    return rows.select("line", F.get("f", F.lit(0)).alias("sample"), F.get("f", F.lit(1)).alias("pop"))
 
 
 def populations_of(rows: DataFrame, samples: list[str]) -> Populations:
@@ -40,7 +40,7 @@ def populations_of(rows: DataFrame, samples: list[str]) -> Populations:
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, w1, w2, window_ord): 0-based half-open ranges become 1-based closed windows, in file order."""
     rows = _fields(spark, path, 3, "The BED file has missing data.", "The BED file must have three columns: chrom, start and end.")
-    out = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("long").alias("s"), F.col("f")[2].try_cast("long").alias("e"), F.col("line").alias("window_ord"))
+    out = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("s"), F.get("f", F.lit(2)).try_cast("long").alias("e"), F.col("line").alias("window_ord"))
     if not out.where("s is null or e is null or s < 0 or e <= s").isEmpty():
         raise ValueError("The BED file has starts or ends that are not integers, negative starts, or ends that are not after their starts.")
     return out.select("chrom", (F.col("s") + 1).alias("w1"), F.col("e").alias("w2"), "window_ord")
@@ -49,7 +49,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos), distinct."""
     rows = _fields(spark, path, 2, "The sites file has missing data.", "The sites file must have two columns: chrom and pos.")
-    out = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("int").alias("pos"))
+    out = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("int").alias("pos"))
     if not out.where("pos is null").isEmpty():
         raise ValueError("The sites file has positions that are not integers.")
     return out.distinct()
@@ -94,7 +94,7 @@ def read_mask(spark: SparkSession, path: str, order: tuple[str, ...]) -> tuple[M
     if rows.isEmpty():
         raise ValueError("The mask has a header only.")
     k = F.array(*(F.get("f", F.lit(header.columns[p] - 1)).try_cast("long") for p in order))
-    out = rows.select(F.col("f")[0].alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("start0"), F.get("f", F.lit(2)).try_cast("long").alias("end0"), k.alias("k"))
+    out = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("start0"), F.get("f", F.lit(2)).try_cast("long").alias("end0"), k.alias("k"))
     most = F.array(*(F.lit(header.sample_counts[p]) for p in order))
     wrong = F.exists(F.zip_with("k", most, lambda x, m: x.isNull() | (x < 0) | (x > m)), lambda x: x)
     if not out.where(F.col("start0").isNull() | F.col("end0").isNull() | (F.col("end0") <= F.col("start0")) | wrong).isEmpty():

@@ -30,10 +30,10 @@ def read_records(lines: DataFrame, variants_only: bool = False) -> DataFrame:
     head = F.split("value", "\t", 6)
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("_h", head)
     if variants_only:
-        rows = rows.where(F.col("_h")[4] != ".")
+        rows = rows.where(F.get("_h", F.lit(4)) != ".")
     cells = F.split("value", "\t")
-    alts = F.when(F.col("_h")[4] == ".", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.col("_h")[4], ","))
-    return rows.select("row_id", F.col("_h")[0].alias("chrom"), F.col("_h")[1].cast("int").alias("pos"), F.col("_h")[3].alias("ref"), alts.alias("alts"), cells[7].alias("info"), F.slice(cells, 10, F.greatest(F.lit(0), F.size(cells) - 9)).alias("gts"))
+    alts = F.when(F.get("_h", F.lit(4)) == ".", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.get("_h", F.lit(4)), ","))
+    return rows.select("row_id", F.get("_h", F.lit(0)).alias("chrom"), F.get("_h", F.lit(1)).try_cast("int").alias("pos"), F.get("_h", F.lit(3)).alias("ref"), alts.alias("alts"), F.get(cells, F.lit(7)).alias("info"), F.slice(cells, 10, F.greatest(F.lit(0), F.size(cells) - 9)).alias("gts"))
 
 
 def sites_of(records: DataFrame, ploidy: DataFrame | None = None) -> DataFrame:

@@ -1 +1 @@
-
+"""Incremental maintenance of diversity sums."""
