@@ -65,15 +65,9 @@ class Windows:
         posting = known[np.argsort(term[known], kind="stable")]  # the shard of the index
         at = np.searchsorted(term[posting], np.arange(len(self.vocab) + 1))
         every = np.arange(len(self.length))
-        rare = self.term[every, self.order[:, 0]]
-        size = at[rare + 1] - at[rare]
-        window = np.repeat(every, size)
-        ends = np.append(0, np.cumsum(size))
-        start = posting[np.repeat(at[rare] - ends[:-1], size) + np.arange(ends[-1])]
-        row = np.searchsorted(first, start, "right") - 1
-        start = start - self.order[window, 0]
+        window, start, row = self.proposals(every, 0, posting, at, first)
+        near = self.near(term, first, posting, at, gap, share) if gap else None
         inside = (start >= first[row]) & (start + self.length[window] <= first[row + 1])
-        near = self.near(term, first, window, start, row, gap, share) if gap else None
         window, start = window[inside], start[inside]
         for k in range(1, self.term.shape[1]):
             off = self.order[window, k]
@@ -89,7 +83,20 @@ class Windows:
         loose = ~np.isin(near[0] * (1 << 40) + near[1], window * (1 << 40) + start)
         return np.append(window, near[0][loose]), np.append(start, near[1][loose]), np.append(exact, np.zeros(loose.sum(), bool))
 
-    def near(self, term, first, window, start, row, gap, share):
+    def proposals(self, windows: np.ndarray, k: int, posting: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start, row) from the postings of the k-th rarest term of each window, adjusted by its offset."""
+        off = self.order[windows, k]
+        term = self.term[windows, off]
+        size = at[term + 1] - at[term]
+        ends = np.append(0, np.cumsum(size))
+        place = posting[np.repeat(at[term] - ends[:-1], size) + np.arange(ends[-1])]
+        return np.repeat(windows, size), place - np.repeat(off, size), np.searchsorted(first, place, "right") - 1
+
+    def near(self, term: np.ndarray, first: np.ndarray, posting: np.ndarray, at: np.ndarray, gap: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with enough of their words about where they belong. As many of the rarest terms propose as make sure that one of them is there."""
+        most = self.length - np.ceil(share * self.length - 1e-9).astype(np.int64) + 1
+        parts = [self.proposals(np.flatnonzero(most > k), k, posting, at, first) for k in range(int(most.max()))]
+        window, start, row = (np.concatenate(x) for x in zip(*parts))
         found = np.zeros(len(window), np.int64)
         for k in range(self.term.shape[1]):
             want = self.term[window, k]
@@ -99,8 +106,9 @@ class Windows:
                 fit = (p >= first[row]) & (p < first[row + 1])
                 hit |= fit & (term[np.clip(p, 0, len(term) - 1)] == want)
             found += hit & (want >= 0)
-        ok = found >= share * self.length[window]
-        return window[ok], np.clip(start[ok], first[row[ok]], None)
+        ok = found >= share * self.length[window] - 1e-9
+        pair = np.unique(np.stack([window[ok], np.maximum(start[ok], first[row[ok]])]), axis=1)
+        return pair[0], pair[1]
 
 
 def _counts(docs: DataFrame, windows: list[Windows]) -> list[dict[int, int]]:

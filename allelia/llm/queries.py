@@ -79,4 +79,21 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op8_sharding": f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS n_bytes,
+  ((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(30))), 1, 8))::BIGINT >> 2) << 30) + (('0x' || substr(md5(coalesce(text, chr(30))), 1, 8))::BIGINT >> 2) AS bits FROM documents),
+lv AS (SELECT r, d, bits >> ({sharding.BITS} - d) AS q, n_bytes FROM b, range(0, {sharding.BITS + 1}) t(d)),
+fit AS (SELECT d, q FROM lv GROUP BY d, q HAVING sum(n_bytes) <= {sharding.LIMIT}),
+dep AS (SELECT r, min(d) AS depth FROM lv JOIN fit USING (d, q) GROUP BY r)
+SELECT doc_id, substr(to_base(bits, 2, {sharding.BITS}), 1, depth) AS shard, CAST(depth AS INT) AS depth, CAST(n_bytes AS BIGINT) AS n_bytes, n_bytes > {sharding.LIMIT} AS oversize FROM b JOIN dep USING (r)""",
+    "op10_line_dedup": f"""
+WITH d AS (SELECT doc_id, text IS NULL AS lost, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, lost, len(ls) AS n, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS hh FROM l),
+e AS (SELECT *, CAST(i = n OR (hh + 31 * coalesce(lag(hh, 1) OVER w, 0) + 961 * coalesce(lag(hh, 2) OVER w, 0)) % {lines.EVERY} = 0 AS INT) AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+c AS (SELECT doc_id, any_value(lost) AS lost, chunk, min(i) AS lo, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, chunk),
+m AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, lo) > 1 AS gone FROM c)
+SELECT doc_id, CAST(CASE WHEN any_value(lost) THEN 0 ELSE sum(n) END AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  CAST(count(*) FILTER (gone) AS BIGINT) AS n_chunks_removed, sha256(coalesce(string_agg(body, chr(10) ORDER BY lo) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
 }
