@@ -28,15 +28,6 @@ def info_end(info: Column) -> Column:
     return F.regexp_extract(info, r"(?:^|;)END=(-?\d+)(?:;|$)", 1).try_cast("int")
 
 
-def allele_counts(alleles: Column, top: Column) -> Column:
-    """How often each allele 0..top occurs; negative alleles are missing."""
-    return F.transform(F.sequence(F.lit(0), top), lambda a: F.size(F.filter(alleles, lambda x: x == a)).cast("long"))
-
-
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-
-
 def choose2(n: Column) -> Column:
     return F.shiftright(n * (n - 1), 1)
 

@@ -101,28 +101,54 @@ def with_populations(sites: DataFrame, pops: Populations, heterozygotes: bool =
     One row stays one row: nothing is exploded or shuffled here.
     """
     flat = F.flatten("gt")
-    top = F.greatest(F.coalesce(F.array_max(flat), F.lit(0)), F.lit(1))
+    rows = sites.withColumn("_top", F.greatest(F.coalesce(F.array_max(flat), F.lit(0)), F.lit(1)))
+    rows = rows.withColumn("n_alleles_all", F.size(F.array_distinct(F.array_remove(flat, -1))))
+    rows = rows.withColumns({f"_g{k}": _members(pops.indices(pop)) for k, pop in enumerate(pops.order)})
+    rows = rows.withColumns({f"_f{k}": F.flatten(f"_g{k}") for k in range(len(pops.order))})
     entries = []
-    for rank, pop in enumerate(pops.order):
-        indices = F.array(*(F.lit(i) for i in pops.indices(pop))).cast("array<int>")
-        own = F.transform(indices, lambda i: F.get(F.col("gt"), i))
-        ac = K.allele_counts(F.flatten(own), F.col("_top"))
-        entry = [F.lit(pop).alias("pop"), F.lit(rank).alias("pop_rank"), ac.alias("ac"), F.size(F.flatten(own)).cast("long").alias("n_haps")]
-        entries.append(F.struct(*entry, *([K.heterozygotes(own, F.col("_top")).alias("het")] if heterozygotes else [])))
-    counted = sites.withColumn("_top", top).withColumn("_p", F.array(*entries))
-    fields = ["pop", "pop_rank", "ac", "n_haps"] + ["het"] * heterozygotes
-    full = lambda e: F.struct(*(e[f].alias(f) for f in fields), K.total(e["ac"]).alias("n"), (e["ac"][0] + e["ac"][1]).alias("n01"))
-    alleles = F.size(F.array_distinct(F.filter(flat, lambda x: x >= 0)))
-    return counted.withColumn("p", F.transform("_p", full)).withColumn("n_alleles_all", alleles).drop("_p", "_top", "gt")
+    for k, pop in enumerate(pops.order):
+        own, size = F.col(f"_f{k}"), F.size(f"_f{k}")
+        count = _counter(own)
+        fields = {
+            "pop": F.lit(pop),
+            "pop_rank": F.lit(k),
+            "ac": F.transform(F.sequence(F.lit(0), F.col("_top")), count),
+            "n_haps": size.cast("long"),
+            "n": F.size(F.array_remove(own, -1)).cast("long"),
+            "n01": count(F.lit(0)) + count(F.lit(1)),
+        }
+        if heterozygotes:
+            fields["het"] = K.heterozygotes(F.col(f"_g{k}"), F.col("_top"))
+        entries.append(F.struct(*(v.alias(n) for n, v in fields.items())))
+    hidden = [f"_{x}{k}" for x in "gf" for k in range(len(pops.order))]
+    return rows.withColumn("p", F.array(*entries)).drop("_top", "gt", *hidden)
+
+
+def _counter(alleles: Column):
+    """How often an allele occurs, as a function of it."""
+    return lambda a: (F.size(alleles) - F.size(F.array_remove(alleles, a))).cast("long")
+
+
+WRITTEN_OUT = 200
+
+
+def _members(indices: list[int]) -> Column:
+    """The genotypes of some samples; written out for few, so that it compiles, by a lookup array for many."""
+    if len(indices) <= WRITTEN_OUT:
+        return F.array(*(F.get("gt", F.lit(i)) for i in indices))
+    return F.transform(F.array(*(F.lit(i) for i in indices)), lambda i: F.get(F.col("gt"), i))
 
 
 def by_population(counted: DataFrame) -> DataFrame:
-    """One row for each site and population."""
-    return counted.withColumn("e", F.explode("p")).select("*", "e.*").drop("e", "p")
+    """One row for each site and population.
+
+    The outer form, as no array is empty: Spark would else compute each array once more in a filter below.
+    """
+    return counted.withColumn("e", F.explode_outer("p")).select("*", "e.*").drop("e", "p")
 
 
 def by_pair(counted: DataFrame, pops: Populations) -> DataFrame:
     """One row for each site and pair of populations (structs a and b), in the order of the populations."""
     n = len(pops.order)
     pairs = F.array(*(F.struct(F.get("p", F.lit(i)).alias("a"), F.get("p", F.lit(j)).alias("b")) for i in range(n) for j in range(i + 1, n)))
-    return counted.withColumn("e", F.explode(pairs)).select("*", "e.*").drop("e", "p").withColumn("pop1", F.col("a.pop")).withColumn("pop2", F.col("b.pop"))
+    return counted.withColumn("e", F.explode_outer(pairs)).select("*", "e.*").drop("e", "p").withColumn("pop1", F.col("a.pop")).withColumn("pop2", F.col("b.pop"))

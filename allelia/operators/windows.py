@@ -31,12 +31,16 @@ def fixed_windows(spans: DataFrame, size: int, cover_end: bool = False) -> DataF
     return rows.select("chrom", "w1", (F.col("w1") + size - 1).alias("w2"), F.col("k").cast("long").alias("window_ord"))
 
 
-def assign_fixed(sites: DataFrame, spans: DataFrame, size: int) -> DataFrame:
-    """Add w1, w2, window_ord by arithmetic. Spans have one row for each contig; rows before the start have no window.
+def assign_fixed(sites: DataFrame, spans: DataFrame | int, size: int) -> DataFrame:
+    """Add w1, w2, window_ord by arithmetic. Spans are one start for all contigs, which takes no join, or one row for each
+    contig, which are sent to the tasks. Rows before the start have no window.
 
     A row with span_end (a block) goes to every window that it meets, with ``mult`` positions in each.
     """
-    rows = sites.join(spans.select("chrom", "start"), "chrom")
+    if isinstance(spans, int):
+        rows = sites.withColumn("start", F.lit(spans).cast("long"))
+    else:
+        rows = sites.join(F.broadcast(spans.select("chrom", "start")), "chrom")  # a row for each contig
     if "span_end" in sites.columns:
         first, last = F.expr(f"(greatest(pos, start) - start) div {size}"), F.expr(f"(span_end - start) div {size}")
         rows = rows.where("span_end >= start").withColumn("window_ord", F.explode(F.sequence(first, last)))

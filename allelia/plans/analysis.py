@@ -103,7 +103,7 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
 
     def assigned(df: DataFrame) -> DataFrame:
         if spans is not None:
-            return windows.assign_fixed(df, spans, config.window_size)
+            return windows.assign_fixed(df, spans if listed is not None and config.interval_start is None else config.interval_start or 1, config.window_size)
         return windows.assign_intervals(df, table)
 
     ranks = vcf.contigs(records).select("chrom", "chrom_rank")
@@ -119,7 +119,7 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
         counted = sites.with_populations(own, pops)
         sited = assigned(counted)
         if spans is not None:
-            sited = sited.join(last, "chrom").where("w2 <= _last").drop("_last")
+            sited = sited.join(F.broadcast(last), "chrom").where("w2 <= _last").drop("_last")
         ranges = callable_mask.invariant_ranges(wins, mask, own.where("site_class <> 'invariant'")) if mask is not None else None
         for stat in config.stats:
             if stat == "pi":

@@ -19,11 +19,11 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c) for c in cols))
 
 
-def _fixed(spark: SparkSession, sf_dir: str, pops=POPULATIONS, extra_allele: bool = False, het: bool = False, sited=None):
+def _fixed(spark: SparkSession, sf_dir: str, pops=POPULATIONS, extra_allele: bool = False, het: bool = False, sited=None, variants_only: bool = False):
     rows = order_sites(spark, sf_dir, extra_allele) if sited is None else sited
     spans = windows.extents(rows)
-    kept = sites.retained(rows, multiallelic=extra_allele)
-    return windows.assign_fixed(sites.with_populations(kept, pops, het), spans, SIZE), windows.fixed_windows(spans, SIZE)
+    kept = sites.retained(rows, multiallelic=extra_allele, variants_only=variants_only)
+    return windows.assign_fixed(sites.with_populations(kept, pops, het), 1, SIZE), windows.fixed_windows(spans, SIZE)
 
 
 def pi_fixed_windows(spark, sf_dir):
@@ -70,7 +70,7 @@ def dxy_fixed_windows(spark, sf_dir):
 
 def _fst(kind: str, components: bool):
     def query(spark, sf_dir):
-        sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True, het=kind == "wc")
+        sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True, het=kind == "wc", variants_only=True)
         return _out(stats.fst(sited, THREE, kind, components))
 
     return query
@@ -110,7 +110,7 @@ def rollup_tajima_d(spark, sf_dir):
 
 
 def rollup_fst_wc(spark, sf_dir):
-    sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True, het=True)
+    sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True, het=True, variants_only=True)
     return _out(rollup.rollup(stats.fst(sited, THREE, "wc", True), "wc_fst", 3 * SIZE))
 
 
@@ -167,7 +167,7 @@ def _masked_run(spark, sf_dir):
     spans = windows.extents(rows)
     table = windows.fixed_windows(spans, SIZE)
     variants = sites.retained(rows, variants_only=True)
-    sited = windows.assign_fixed(sites.with_populations(variants, POPULATIONS), spans, SIZE)
+    sited = windows.assign_fixed(sites.with_populations(variants, POPULATIONS), 1, SIZE)
     return sited, table, callable_mask.invariant_ranges(table, _mask(spark, sf_dir), variants)
 
 

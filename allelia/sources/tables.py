@@ -19,14 +19,17 @@ def order_sites(spark: SparkSession, sf_dir: str, extra_allele: bool = False) ->
     alleles into a second one.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    one = lambda m, a, b, n: f"cast((o_orderkey * {m} + s * {a} + o_custkey{b}) % {n} = 0 as int)"
-    a2 = one(11, 5, "", 3)
-    if extra_allele:
-        a2 = f"{a2} * (1 + cast((o_orderkey + s) % 4 = 0 as int))"
-    gt = f"""transform(sequence(0L, {SAMPLES - 1}L), s -> case
-        when (o_orderkey * 31 + s * 17) % 13 = 0 then array(-1, -1)
-        when o_custkey % 5 <> 0 then array(0, 0)
-        else array({one(7, "s * 3", "", 4)}, {a2}) end)"""
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:  # a small file; its two columns become wide rows
+        orders = orders.repartition(cores)
+    one = lambda m, a, n: f"cast((o_orderkey * {m} + {a} + o_custkey) % {n} = 0 as int)"
+    samples = []
+    for s in range(SAMPLES):
+        a2 = one(11, s * 5, 3)
+        if extra_allele:
+            a2 = f"{a2} * (1 + cast((o_orderkey + {s}) % 4 = 0 as int))"
+        samples.append(f"case when (o_orderkey * 31 + {s * 17}) % 13 = 0 then array(-1, -1) when o_custkey % 5 <> 0 then array(0, 0) else array({one(7, s * s * 3, 4)}, {a2}) end")
+    gt = f"array({', '.join(samples)})"
     variable = F.col("o_custkey") % 5 == 0
     alts = F.when(~variable, F.expr("cast(array() as array<string>)")).when(F.lit(extra_allele), F.array(F.lit("C"), F.lit("G"))).otherwise(F.array(F.lit("C")))
     return orders.select(
