@@ -65,7 +65,10 @@ def dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     removed = F.expr("aggregate(filter(_chunks, c -> array_contains(_gone, c.at)), 0, (s, c) -> s + c.n)")
     text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.expr(f"array_join(transform(_kept, c -> {_BODY.format(c='c')}), '\n')"))
-    return whole.select(*(text.alias("text") if c == "text" else F.col(c) for c in keep), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks_removed"))
+    # one struct, taken apart by a generator: a later filter on these columns stays above it and computes nothing again
+    made = F.struct(text.alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks_removed"))
+    out = whole.select(*(c for c in keep if c != "text"), F.explode_outer(F.array(made)).alias("_made"))
+    return out.select(*(F.col("_made.text") if c == "text" else F.col(c) for c in keep), *(F.col(f"_made.{c}") for c in ADDED))
 
 
 def digests(docs: DataFrame) -> DataFrame:
