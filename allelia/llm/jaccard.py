@@ -1,9 +1,10 @@
 """Similarity join on word shingles by chosen paths.
 
-Sets of five-word shingles are linked when their Jaccard similarity is 0.8 or more. Each of ``RUNS`` runs sends a set x down the
-paths of its sampled tokens: a token is sampled when its hash in this run and level is under 1 / (threshold * |x|), so two
-similar sets share about one sampled token on every level and unlike sets hardly any. A bucket of more than ``LIMIT`` sets is split
-on the next level, at most ``LEVELS`` times. Two sets at the threshold share a path in one run with probability 0.63 or
+Sets of five-word shingles are linked when their Jaccard similarity is 0.8 or more. Each run sends a set x down the
+paths of its sampled tokens. On the first level a token is sampled when its hash in this run is under 1 / (threshold * |x|), so two
+similar sets share about one sampled token and unlike sets hardly any; on the next levels it is the token with the smallest
+hash of the run and level, which two sets share with the probability of their similarity. A bucket of more than ``LIMIT`` sets is split
+on the next level, at most ``LEVELS`` times; members like its pivot are settled before. Two sets at the threshold share a path in one run with probability 0.63 or
 more, so ten runs reach 0.9999 (``recall`` gives the number of runs).
 
 Buckets are brute-forced on sketches (one-permutation minhash, 64 bytes) with a margin of five standard deviations; they
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, stored
+from .shared import apart, connected_components, stored
 from .textops import U64, Words, blocks, key_runs, mix, seeds, set_id, shingles
 
 THRESHOLD = 0.8
@@ -51,47 +52,84 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFrame:
-    """(doc_id, text_key, sid, n, sketch, k1..k3): the set's id and size, and its sampled path keys by level; the run stands in 4 bits."""
+    """(doc_id, text_key, sid, n, sketch, first, deeper): the set's id and size, its sampled paths of the first level (the run stands
+    in 4 bits), and one key for each further level and run."""
     odd = seeds(LEVELS * runs, 21) | U64(1)
     salt = seeds(LEVELS * runs, 22)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in blocks(batch.column(2)):
-                sid, size, marks, keys = [], [], [], [[] for _ in range(LEVELS)]
+                sid, size, marks, keys = [], [], [], ([], [])
                 for j, tokens in enumerate(shingles(Words(data, offs), k)):
                     sid.append(set_id(tokens, data[offs[j] : offs[j + 1]].tobytes()))
                     size.append(len(tokens))
                     marks.append(sketch(tokens))
-                    most = U64(min(2**64 - 1, int(2**64 / (threshold * max(len(tokens), 1)))))
-                    which, token = np.nonzero(tokens[None, :] * odd[:, None] <= most)
-                    path = mix(tokens[token] ^ salt[which]) & ~U64(15) | (which % runs).astype(U64)
-                    for level in range(LEVELS):
-                        keys[level].append(path[which // runs == level].view(np.int64))
+                    if not len(tokens):
+                        keys[0].append([])
+                        keys[1].append([])
+                        continue
+                    most = U64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+                    which, token = np.nonzero(tokens[None, :] * odd[:runs, None] <= most)
+                    path = mix(tokens[token] ^ salt[which]) & ~U64(15) | which.astype(U64)
+                    keys[0].append(path.view(np.int64))
+                    least = tokens[np.argmin(tokens[None, :] * odd[runs:, None], axis=1)]
+                    keys[1].append(mix(least ^ salt[runs:]).view(np.int64))
                 new = [pa.array(sid, pa.binary()), pa.array(size, pa.int32()), pa.array(marks, pa.binary())] + [pa.array(x, pa.list_(pa.int64())) for x in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *new], names=["doc_id", "text_key", "sid", "n", "sketch", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *new], names=["doc_id", "text_key", "sid", "n", "sketch", "first", "deeper"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, sid binary, n int, sketch binary, k1 array<long>, k2 array<long>, k3 array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, sid binary, n int, sketch binary, first array<long>, deeper array<long>")
 
 
-def _buckets(sets: DataFrame, limit: int) -> DataFrame:
-    """(path, sid, m): the members of the leaves; m members each, two at least."""
-    leaves = None
-    rows = sets.select(F.explode("k1").alias("path"), "sid").withColumn("run", F.col("path").bitwiseAND(F.lit(15).cast("long")))
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row."""
+    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    return ((a == b) & (a > 0)).sum(axis=1) / filled
+
+
+def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        a, b = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+        names = ["path", "run", "sid", "pivot"]
+        yield pa.RecordBatch.from_arrays([get(c) for c in names] + [pa.array(_agreement(a, b))], names=[*names, "near"])
+
+
+def _buckets(sets: DataFrame, marks: DataFrame, runs: int, limit: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves (path, sid, m) of m members, two at least; and candidate edges (a, b) from buckets over the limit.
+
+    An oversized bucket first meets one pivot of it. Members that are about as similar to the pivot as a link asks are linked to
+    it and leave: by the triangle inequality of the Jaccard distance, whatever is similar to them is near enough to the
+    pivot to be linked to it as well. Only the others go down another level, so a large group of near copies is
+    settled by one comparison each, as average similarity settles it in the published algorithm.
+    """
+    leaves, edges = None, None
+    rows = sets.select(F.explode("first").alias("path"), "sid")
+    rows = rows.withColumn("run", F.col("path").bitwiseAND(F.lit(15).cast("long")))
     for level in range(1, LEVELS + 1):
         rows = rows.distinct()
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
-        found = stored(rows.join(sizes, "path"))
-        last = level == LEVELS
-        leaf = found.select("path", "sid", "m") if last else found.where(F.col("m") <= limit).select("path", "sid", "m")
+        found = stored(rows.join(apart(sizes), "path"))
+        leaf = found.where(F.col("m") <= limit).select("path", "sid", "m")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         big = found.where(F.col("m") > limit)
-        if last or big.isEmpty():
-            return leaves
-        more = sets.select("sid", F.col(f"k{level + 1}").alias("more")).dropDuplicates(["sid"])
-        deeper = big.select("path", "run", "sid").join(more, "sid").withColumn("key", F.explode(F.expr("filter(more, x -> (x & 15L) = run)")))
-        rows = deeper.select(F.xxhash64("path", "key").alias("path"), "sid", "run")
-    return leaves
+        if big.isEmpty():
+            break
+        pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "sid").alias("h"), "sid")).alias("p")).select("path", F.col("p.sid").alias("pivot"))
+        pivots = pivots.join(marks.select(F.col("sid").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        met = big.select("path", "run", "sid").join(marks, "sid").join(pivots, "path").select("path", "run", "sid", "pivot", "sketch", "pivot_sketch")
+        met = stored(met.mapInArrow(_against_pivot, "path long, run long, sid binary, pivot binary, near double"))
+        linked = met.where(F.col("near") >= threshold - 2 * (1 - threshold)).where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        edges = linked if edges is None else edges.unionByName(linked)
+        rest = met.where(F.col("near") < threshold).select("path", "run", "sid")
+        if level == LEVELS:
+            left = rest.join(apart(rest.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")), "path")
+            leaves = leaves.unionByName(left.select("path", "sid", "m"))
+            break
+        more = sets.select("sid", "deeper").dropDuplicates(["sid"])
+        key = F.get("deeper", (F.lit((level - 1) * runs) + F.col("run")).cast("int"))
+        rows = rest.join(more, "sid").select(F.xxhash64("path", key).alias("path"), "sid", "run")
+    return leaves, edges
 
 
 def _pairs_of_blocks(rows: DataFrame, blocks_: F.Column, by: str) -> DataFrame:
@@ -122,9 +160,7 @@ def _forests(cut: float):
             blk, i, j = (table.column(c).to_numpy() for c in ("blk", "i", "j"))
             size = np.diff(at)
             two = at[:-1][size == 2]
-            a, b = marks[two], marks[two + 1]
-            filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
-            fit = two[((a == b) & (a > 0)).sum(axis=1) >= cut * filled]
+            fit = two[_agreement(marks[two], marks[two + 1]) >= cut]
             left, right = [fit], [fit + 1]
             for lo, m in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 s = marks[lo : lo + m]
@@ -210,17 +246,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     class_id is the smallest doc_id of its class (documents that links connect), n_links counts the other documents that are
     linked to it directly, lead names the class also where doc_ids repeat, text_key is the text's xxhash64.
     """
-    sets = stored(_described(docs, k, threshold, min(16, runs_for(recall))))
+    runs = min(16, runs_for(recall))
+    sets = stored(_described(docs, k, threshold, runs))
     unique = sets.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    leaves = _pairs_of_blocks(_buckets(sets, limit), F.ceil(F.col("m") / (2 * limit)), "sid")
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
+    leaves, far = _buckets(sets, marks, runs, limit, threshold)
+    leaves = _pairs_of_blocks(leaves, F.ceil(F.col("m") / (2 * limit)), "sid")
     members = leaves.join(marks, "sid").select("path", "i", "j", "blk", "sid", "sketch")
     cut = max(0.0, threshold - MARGIN)
     edges = members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_forests(cut), "a binary, b binary")
-    parts = connected_components(edges)
+    parts = connected_components(edges if far is None else edges.unionByName(far))
     parts = parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "rep", "n")
     weight = parts.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_tokens)).alias("k"))
-    wanted = parts.join(weight, "root").select("root", "k", "sid", "copies", "rep")
+    wanted = parts.join(apart(weight), "root").select("root", "k", "sid", "copies", "rep")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,5 +283,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
         links = links.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "docs", F.coalesce("root", "sid").alias("lead"))
     each = unique.join(links, "sid", "left").select("sid", "copies", "rep", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("lead", "sid").alias("lead"))
     classes = each.groupBy("lead").agg(F.min("rep").alias("class_id"))
-    found = each.join(classes, "lead").select("sid", "class_id", "lead", (F.col("copies") - 1 + F.col("docs")).alias("n_links"))
+    found = each.join(apart(classes), "lead").select("sid", "class_id", "lead", (F.col("copies") - 1 + F.col("docs")).alias("n_links"))
     return sets.select("doc_id", "text_key", "sid").join(found, "sid").select("doc_id", "class_id", "n_links", "lead", "text_key")
