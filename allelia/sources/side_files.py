@@ -55,6 +55,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return out.distinct()
 
 
+#: Fixed value of the mask format.
 MASK_HEADER = "#wisp_mask_metadata\t"
 
 
