@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import apart, stored
 from .textops import U64, blocks, key_runs, mix
 
 LENGTH = 400
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, spli
 
     places = docs.select("_key", "doc_id", "text").mapInArrow(find, "_key long, doc_id long, at int, n int, h long, c long")
     shared = places.groupBy("h").agg(F.count("*").alias("total")).where("total > 1")
-    suspects = stored(places.join(shared, "h"))
+    suspects = stored(places.join(apart(shared), "h"))
     parts = F.ceil(F.col("total") / split).cast("int")
     kinds = suspects.groupBy("h", "c", "n").agg(F.count("*").alias("times"), F.min(F.struct("_key", "doc_id", "at")).alias("one"), F.first(parts).alias("parts"))
     wanted = kinds.groupBy(F.col("one._key").alias("_key"), F.col("one.doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "c", "n", "times", "parts", F.col("one.at").alias("at"))).alias("wanted"))
