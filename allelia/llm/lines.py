@@ -5,13 +5,17 @@ ends (one in ``EVERY`` on average), so an inserted or missing line moves only th
 lines or more whose bytes occur more than once in the corpus keep their first occurrence (smallest doc_id, then place; null
 ids last) and lose the others. Equal hashes only propose a chunk: its bytes are compared with those of the first one.
 
+``dedup_passages`` proposes at the finest density, every pair of adjacent lines: a pair whose bytes already occur (in the same order)
+loses both lines, so every run of two lines or more that occurs earlier goes, whatever stands around it; longer chunks
+consist of such pairs and would add nothing. The first occurrence of each line always stays.
+
 Rows with equal doc_id and text are one document: repeated rows are treated alike and stay. A null text has no lines
 and stays null. A text that loses every line becomes empty. Other columns stay; clashing names are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -31,9 +35,11 @@ def _cut(every: int) -> str:
     return f"transform({ends}, i -> i + 1)"
 
 
-def _chunked(rows: DataFrame, every: int) -> DataFrame:
-    """Add _lines and _chunks to rows with a text."""
+def _chunked(rows: DataFrame, every: int | None) -> DataFrame:
+    """Add _lines and _chunks to rows with a text; every None takes each pair of adjacent lines."""
     rows = rows.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    if every is None:
+        return rows.withColumn("_chunks", F.expr("transform(slice(sequence(0, size(_lines) - 1), 2, size(_lines)), i -> struct(i as at, 2 as n))"))
     rows = rows.withColumn("_h", F.expr(f"transform(_lines, x -> {_line_hash('x')})")).withColumn("_ends", F.expr(_cut(every)))
     chunks = "transform(_ends, (e, k) -> struct(coalesce(get(_ends, k - 1), 0) + 1 as at, e - coalesce(get(_ends, k - 1), 0) as n))"
     return rows.withColumn("_chunks", F.expr(chunks)).drop("_h", "_ends")
@@ -42,35 +48,65 @@ def _chunked(rows: DataFrame, every: int) -> DataFrame:
 _BODY = "array_join(slice(_lines, {c}.at, {c}.n), '\n')"
 
 
-def dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """Documents without repeated chunks, with n_lines (before), n_removed lines and n_chunks_removed added."""
-    keep = [c for c in docs.columns if c not in ADDED]
+def _judged(docs: DataFrame, keep: list[str], every: int | None) -> DataFrame:
+    """The documents with _lines, _chunks and _gone, the first lines of the chunks that occur earlier."""
     keyed = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_key"))
     cut = _chunked(keyed.select("_key", "doc_id", "text"), every)
     hashed = f"transform(filter(_chunks, c -> c.n > 1), c -> struct(c.at as at, c.n as n, xxhash64({_BODY.format(c='c')}) as h, length({_BODY.format(c='c')}) as size))"
     chunks = stored(cut.select("_key", "doc_id", F.explode(F.expr(hashed)).alias("c")).select("_key", "doc_id", "c.*"))
     place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "_key", "at", "n")
     first = chunks.groupBy("h", "size").agg(F.count("*").alias("times"), F.min(place).alias("f")).where("times > 1")
-    # the bytes of each first occurrence, from its document
+    # the bytes of each first occurrence, from its document; doc_id is no join key, so both joins of the texts shuffle by _key
+    # alone and, where no other columns are kept, share one shuffle
     wanted = first.groupBy(F.col("f._key").alias("_key"), F.col("f.doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "size", "f.at", "f.n")).alias("_wanted"))
-    found = keyed.select("_key", "doc_id", "text").join(wanted, "_key").where("doc_id <=> _doc").dropDuplicates(["_key", "_doc"])
+    found = keyed.join(wanted, "_key").where("coalesce(doc_id = _doc, doc_id is null and _doc is null)").dropDuplicates(["_key", "_doc"])
     found = found.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     bodies = found.select("_doc", F.col("_key").alias("_from"), F.explode(F.expr(f"transform(_wanted, c -> struct(c.h as h, c.size as size, c.at as first_at, {_BODY.format(c='c')} as body))")).alias("b")).select("_doc", "_from", "b.*")
     later = chunks.join(bodies, ["h", "size"]).where("not (_key = _from and doc_id <=> _doc and at = first_at)")
     drop = later.groupBy("_key").agg(F.collect_set(F.struct("doc_id", "at", "n", "body")).alias("_later"))
     whole = keyed.join(drop, "_key", "left")
     gone = f"transform(filter(_later, r -> r.doc_id <=> doc_id and r.body = {_BODY.format(c='r')}), r -> r.at)"
-    whole = _chunked(whole, every).withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
-    whole = whole.withColumn("_kept", F.expr("filter(_chunks, c -> not array_contains(_gone, c.at))"))
+    return _chunked(whole, every).withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
+
+
+def _made(whole: DataFrame, keep: list[str], text: Column, removed: Column, chunks: Column) -> DataFrame:
+    """The columns of keep with the text that is left, and those of ADDED."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    removed = F.expr("aggregate(filter(_chunks, c -> array_contains(_gone, c.at)), 0, (s, c) -> s + c.n)")
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.expr(f"array_join(transform(_kept, c -> {_BODY.format(c='c')}), '\n')"))
+    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(text)
     # one struct, taken apart by a generator: a later filter on these columns stays above it and computes nothing again
-    made = F.struct(text.alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("_gone").cast("long").alias("n_chunks_removed"))
+    made = F.struct(text.alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), chunks.cast("long").alias("n_chunks_removed"))
     out = whole.select(*(c for c in keep if c != "text"), F.explode_outer(F.array(made)).alias("_made"))
     return out.select(*(F.col("_made.text") if c == "text" else F.col(c) for c in keep), *(F.col(f"_made.{c}") for c in ADDED))
 
 
+def dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """Documents without repeated chunks, with n_lines (before), n_removed lines and n_chunks_removed added."""
+    keep = [c for c in docs.columns if c not in ADDED]
+    whole = _judged(docs, keep, every)
+    whole = whole.withColumn("_kept", F.expr("filter(_chunks, c -> not array_contains(_gone, c.at))"))
+    removed = F.expr("aggregate(filter(_chunks, c -> array_contains(_gone, c.at)), 0, (s, c) -> s + c.n)")
+    text = F.expr(f"array_join(transform(_kept, c -> {_BODY.format(c='c')}), '\n')")
+    return _made(whole, keep, text, removed, F.size("_gone"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Documents without the runs of two lines or more that occur earlier; n_chunks_removed counts the removed runs."""
+    keep = [c for c in docs.columns if c not in ADDED]
+    whole = _judged(docs, keep, None)
+    whole = whole.withColumn("_out", F.expr("array_distinct(flatten(transform(_gone, a -> array(a, a + 1))))"))
+    whole = whole.withColumn("_left", F.expr("array_except(sequence(1, size(_lines)), _out)"))
+    text = F.expr("array_join(transform(_left, i -> _lines[i - 1]), '\n')")
+    runs = F.size(F.expr("array_except(_out, transform(_out, i -> i + 1))"))
+    return _made(whole, keep, text, F.size("_out"), runs)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"))
+    return _digested(dedup(docs.select("doc_id", "text")))
+
+
+def passage_digests(docs: DataFrame) -> DataFrame:
+    return _digested(dedup_passages(docs.select("doc_id", "text")))
+
+
+def _digested(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -52,7 +52,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.passage_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_passages, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

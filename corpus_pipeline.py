@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated multi-line chunks out of the texts; a document that loses all its text goes. n_chars follows the text."""
-    left = lines.dedup(docs).where("n_removed = 0 or text <> ''")
+    """Take repeated passages of two lines or more out of the texts; a document that loses all its text goes. n_chars follows the text."""
+    left = lines.dedup_passages(docs).where("n_removed = 0 or text <> ''")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -179,6 +179,43 @@ def test_line_dedup_against_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def brute_passages(docs):
+    """(doc_id, text without the runs of two lines or more that occur earlier, removed lines, removed runs)."""
+    first, cut = {}, {d: (d[1] or "").split("\n") for d in docs}
+    for d in sorted({*docs}, key=lambda x: (x[0] is None, x[0] or 0)):
+        for i, pair in enumerate(zip(cut[d], cut[d][1:])):
+            first.setdefault(pair, (d, i))
+    out = []
+    for d in docs:
+        gone = {k for i, pair in enumerate(zip(cut[d], cut[d][1:])) if first[pair] != (d, i) for k in (i, i + 1)}
+        left = "\n".join(x for i, x in enumerate(cut[d]) if i not in gone)
+        out.append((d[0], left if gone else d[1], len(gone), sum(k - 1 not in gone for k in gone)))
+    return Counter(out)
+
+
+def test_line_passages_against_brute_force(spark):
+    docs = line_docs() + [(96, "a\na\na\nb"), (97, "c\na\na\nb\nc")]
+    out = lines.dedup_passages(spark.createDataFrame([(d, t, "en", 3) for d, t in docs], DOCS + ", lang string, n_removed int"))
+    assert out.columns == ["doc_id", "text", "lang", "n_lines", "n_removed", "n_chunks_removed"]
+    assert Counter((r.doc_id, r.text, r.n_removed, r.n_chunks_removed) for r in out.collect()) == brute_passages(docs)
+    assert lines.passage_digests(out.limit(0)).collect() == []
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_passages_in_unlike_contexts_go(spark):
+    """Passages of 2 to 10 lines between lines of their own: each later occurrence loses exactly its passage."""
+    rng = random.Random(6)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randrange(1, 9))]
+    passages = [[f"passage {k} {i}" for i in range(2 + k % 9)] for k in range(36)]
+    first = [(k, "\n".join(own() + p + own())) for k, p in enumerate(passages)]
+    around = [(own(), own()) for _ in passages]
+    later = [(100 + k, "\n".join(a + p + b)) for k, (p, (a, b)) in enumerate(zip(passages, around))]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_chunks_removed) for r in lines.dedup_passages(spark.createDataFrame(first + later, DOCS)).collect()}
+    assert all(got[d] == (t, 0, 0) for d, t in first)
+    assert all(got[100 + k] == ("\n".join(a + b), len(p), 1) for k, (p, (a, b)) in enumerate(zip(passages, around)))
+
+
 # sharding
 
 
