@@ -157,6 +157,22 @@ def pi_block_weighted(spark, sf_dir):
     return _out(stats.pi(sited, table, POPULATIONS))
 
 
+def _every_block(spark, sf_dir):
+    """Every order as a record, four positions apart; invariant rows span up to three more positions."""
+    more = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as row_id", "case when o_custkey % 5 <> 0 then o_custkey % 4 else 0 end as more")
+    rows = order_sites(spark, sf_dir).withColumn("pos", (F.col("pos") - 1) * 4 + 1).drop("info_end").join(more, "row_id")
+    return rows.withColumn("info_end", F.expr("case when more > 0 then pos + more end")).drop("more")
+
+
+def block_expand_all(spark, sf_dir):
+    return sites.expanded(_every_block(spark, sf_dir)).select("chrom", "pos", "row_id", F.size("alts").cast("long").alias("n_alts"))
+
+
+def pi_block_weighted_all(spark, sf_dir):
+    sited, table = _fixed(spark, sf_dir, sited=sites.blocks_as_sites(_every_block(spark, sf_dir)))
+    return _out(stats.pi(sited, table, POPULATIONS))
+
+
 def _mask(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.selectExpr("concat('chr', cast(p_partkey % 3 + 1 as string)) as chrom", "p_partkey div 3 * 13 as start0", "p_partkey div 3 * 13 + 9 as end0", "array(p_partkey % 6, p_partkey * 7 % 6) as k")
@@ -205,7 +221,7 @@ QUERIES = {
     for f in (
         pi_fixed_windows, pi_multiallelic, pi_sites_mask, pi_bed_windows, pi_single_sites, dxy_fixed_windows, watterson_theta_windows, tajima_d_windows,
         tajima_d_components, rollup_pi, rollup_tajima_d, rollup_fst_wc, site_classes, allele_counts, fst_eligible_sites, ploidy_by_contig, block_expand,
-        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format,
+        pi_block_weighted, block_expand_all, pi_block_weighted_all, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format,
     )
 } | {
     "fst_hudson_windows": _fst("hudson", False),
@@ -333,6 +349,7 @@ _BLOCKS = """recs AS (SELECT *, (SELECT 1) AS one FROM calls0 WHERE row_id // 3
 ends AS (SELECT o_orderkey AS row_id, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 4 ELSE 0 END AS more FROM orders)"""
 _BLOCK_CALLS = _calls().replace("calls AS (", "calls0 AS (") + f", {_BLOCKS}, calls AS (SELECT chrom, pos + unnest(range(0, more + 1)) AS pos, row_id, sample, pop, variable, a1, a2 FROM recs JOIN ends USING (row_id))"
 _BLOCK_WINDOWS = _WINDOWS.replace("SELECT 'chr' || (o_orderkey % 3 + 1) AS chrom, max(o_orderkey // 3 + 1) AS e FROM orders GROUP BY 1", "SELECT chrom, max(pos) AS e FROM recs GROUP BY 1")
+_EVERY_BLOCK = _BLOCK_CALLS.replace("SELECT *, (SELECT 1) AS one FROM calls0 WHERE row_id // 3 % 4 = 0", "SELECT * REPLACE (row_id // 3 * 4 + 1 AS pos) FROM calls0")
 
 ORACLE = {
     "pi_fixed_windows": _pi(_calls()),
@@ -366,6 +383,8 @@ p AS (SELECT chrom, row_id * 2 + i AS o, CASE WHEN len(f) = 1 OR len(list_filter
 SELECT chrom, CAST(coalesce(arg_min(p, o) FILTER (p > 1), 1) AS BIGINT) AS ploidy FROM p GROUP BY 1""",
     "block_expand": f"""WITH {_BLOCK_CALLS} SELECT chrom, CAST(pos AS BIGINT) AS pos, row_id, CAST(max(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS n_alts FROM calls WHERE pos BETWEEN 100 AND 1000 GROUP BY ALL""",
     "pi_block_weighted": _pi(_BLOCK_CALLS, _BLOCK_WINDOWS).replace("FROM haps GROUP BY ALL", "FROM haps GROUP BY ALL"),
+    "block_expand_all": f"""WITH {_EVERY_BLOCK} SELECT chrom, CAST(pos AS BIGINT) AS pos, row_id, CAST(max(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS n_alts FROM calls GROUP BY ALL""",
+    "pi_block_weighted_all": _pi(_EVERY_BLOCK, _BLOCK_WINDOWS),
     "mask_pi": f"""WITH {_calls()}, {_SITE_POP}, {_WINDOWS}, {_MASK_ROWS},
 parts AS (SELECT chrom, {_AT} AS w1, pop, {_PI_PARTS} FROM sp WHERE variable GROUP BY ALL UNION ALL SELECT chrom, w1, pop, 0, sum(n_inv * (k * (k - 1) // 2)), sum(n_inv * (45 - k * (k - 1) // 2)), coalesce(sum(n_inv) FILTER (k > 0), 0) FROM inv GROUP BY ALL),
 g AS (SELECT chrom, w1, pop, sum(d) AS d, sum(c) AS c, sum(m) AS m, sum(s) AS s FROM parts GROUP BY ALL)

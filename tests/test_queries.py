@@ -28,3 +28,10 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(want_columns)
     rounded = lambda rows: sorted([tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in rows], key=repr)
     assert rounded(got) == rounded([tuple(r[i] for i in order) for r in want])
+
+
+def test_block_queries_take_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    found = QUERIES["block_expand_all"](spark, SF)
+    assert found.select("row_id").distinct().count() == orders and found.where("pos > 1000").count() > 0
+    assert found.select("chrom", "pos").distinct().count() == found.count()
