@@ -4,8 +4,9 @@ Sets of five-word shingles are linked when their Jaccard similarity is 0.8 or mo
 paths of its sampled tokens. On the first level a token is sampled when its hash in this run is under 1 / (threshold * |x|), so two
 similar sets share about one sampled token and unlike sets hardly any; on the next levels it is the token with the smallest
 hash of the run and level, which two sets share with the probability of their similarity. A bucket of more than ``LIMIT`` sets is split
-on the next level, at most ``LEVELS`` times; members like its pivot are settled before. Two sets at the threshold share a path in one run with probability 0.63 or
-more, so ten runs reach 0.9999 (``recall`` gives the number of runs).
+on the next level, at most ``LEVELS`` times; members like its pivot are settled before. Two sets at the threshold share a path of the first level in one run with probability 0.63 or more, and stay
+together in each split with 0.8 or more, so after the deepest split a run still finds them with 0.63 * 0.8 ** 2 = 0.40; eighteen runs reach
+0.9999 there (``recall`` gives the number of runs).
 
 Buckets are brute-forced on sketches (one-permutation minhash, 64 bytes) with a margin of five standard deviations; they
 emit a spanning forest of the candidates, never all pairs. Candidate components then meet with their whole sets, in blocks
@@ -35,12 +36,18 @@ LIMIT = 1024
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 1_000_000
 SKETCH = 64
+RUN_BITS = 8
 MARGIN = 0.25
 
 
-def runs_for(recall: float) -> int:
-    """Runs until a pair at the threshold is found with this probability (a run finds it with 1 - 1/e or more)."""
-    return max(1, math.ceil(-math.log(1 - recall)))
+def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
+    """Runs until a pair at the threshold is found with this probability also where its bucket is split as deep as can be.
+
+    A run finds it with 1 - 1/e or more on the first level, and each of the LEVELS - 1 splits keeps it together with
+    the probability of its similarity.
+    """
+    once = (1 - math.exp(-1)) * threshold ** (LEVELS - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -53,7 +60,7 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFrame:
     """(doc_id, text_key, sid, n, sketch, first, deeper): the set's id and size, its sampled paths of the first level (the run stands
-    in 4 bits), and one key for each further level and run."""
+    in RUN_BITS bits), and one key for each further level and run."""
     odd = seeds(LEVELS * runs, 21) | U64(1)
     salt = seeds(LEVELS * runs, 22)
 
@@ -71,7 +78,7 @@ def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFram
                         continue
                     most = U64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
                     which, token = np.nonzero(tokens[None, :] * odd[:runs, None] <= most)
-                    path = mix(tokens[token] ^ salt[which]) & ~U64(15) | which.astype(U64)
+                    path = mix(tokens[token] ^ salt[which]) & ~U64(2**RUN_BITS - 1) | which.astype(U64)
                     keys[0].append(path.view(np.int64))
                     least = tokens[np.argmin(tokens[None, :] * odd[runs:, None], axis=1)]
                     keys[1].append(mix(least ^ salt[runs:]).view(np.int64))
@@ -105,7 +112,7 @@ def _buckets(sets: DataFrame, marks: DataFrame, runs: int, limit: int, threshold
     """
     leaves, edges = None, None
     rows = sets.select(F.explode("first").alias("path"), "sid")
-    rows = rows.withColumn("run", F.col("path").bitwiseAND(F.lit(15).cast("long")))
+    rows = rows.withColumn("run", F.col("path").bitwiseAND(F.lit(2**RUN_BITS - 1).cast("long")))
     for level in range(1, LEVELS + 1):
         rows = rows.distinct()
         sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
@@ -246,7 +253,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     class_id is the smallest doc_id of its class (documents that links connect), n_links counts the other documents that are
     linked to it directly, lead names the class also where doc_ids repeat, text_key is the text's xxhash64.
     """
-    runs = min(16, runs_for(recall))
+    runs = runs_for(recall, threshold)
+    if runs > 2**RUN_BITS:
+        raise ValueError(f"recall {recall} at threshold {threshold} asks for {runs} runs, over {2**RUN_BITS}")
     sets = stored(_described(docs, k, threshold, runs))
     unique = sets.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])

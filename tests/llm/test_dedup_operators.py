@@ -108,6 +108,32 @@ def test_similarity_join_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None)], DOCS)).select("doc_id", "class_id", "n_links").collect() == [(1, 1, 0)]
 
 
+def hot_pairs(n=400):
+    """Pairs that differ in one of twelve passages, at a similarity just over the threshold; every passage stands in many documents."""
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(100)]
+    docs = []
+    for k in range(n):
+        *one, new = rng.sample(range(100), 13)
+        other = [*one[:-1], new]
+        docs += [(2 * k, " ".join(passages[i] for i in sorted(one))), (2 * k + 1, " ".join(passages[i] for i in sorted(other)))]
+    return docs
+
+
+def test_similarity_join_keeps_its_recall_in_split_buckets(spark):
+    docs = hot_pairs()
+    want = sum(n for (_, _, n), times in brute_links(docs).items() for _ in range(times))
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, DOCS), recall=0.9, limit=4).agg(F.sum("n_links")).first()[0]
+    assert 700 <= want and 0.9 * want <= got <= want
+
+
+@pytest.mark.parametrize("recall", [0.9, 0.9999, 0.999999])
+def test_runs_are_counted_for_the_deepest_split(recall):
+    once = (1 - np.exp(-1)) * jaccard.THRESHOLD ** (jaccard.LEVELS - 1)
+    runs = jaccard.runs_for(recall)
+    assert 1 - (1 - once) ** runs >= recall > 1 - (1 - once) ** (runs - 1)
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(12)]
