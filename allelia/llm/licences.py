@@ -1,7 +1,7 @@
 """Licence scans with a positional index of rare words.
 
 A first pass counts over all documents how many hold each licence word. For every template the words with the highest
-IDF (at most ``RARE``) are looked up in the postings of the file; each posting proposes a relative position, and a proposal is scored
+IDF (at most ``RARE``) and the rarest word of its mandatory key phrases, which every counted place holds, are looked up in the postings of the file; each posting proposes a relative position, and a proposal is scored
 by the share of template words that stand where they belong. It counts when the score reaches ``share`` and every
 mandatory key phrase of the template stands in its place. The base phrases are templates whose words are all mandatory.
 
@@ -66,7 +66,8 @@ class Index:
 
     def weigh(self, documents: int, holding: dict[int, int]) -> None:
         idf = np.array([math.log((documents + 1) / (holding.get(int(h.view(np.int64)), 0) + 1)) for h in self.vocab])
-        self.rare = [np.argsort(-idf[t], kind="stable")[: 1 if k < len(BASE) else RARE] for k, t in enumerate(self.terms)]
+        order = [np.argsort(-idf[t], kind="stable") for t in self.terms]
+        self.rare = [np.unique(np.append(o[: 1 if k < len(BASE) else RARE], o[must[o]][:1])) for k, (o, must) in enumerate(zip(order, self.must))]
 
     def terms_of(self, hashes: np.ndarray) -> np.ndarray:
         k = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,20 @@ def test_audio_resynchronises_and_reads_tags():
     assert audio.read_stream(tagged)["tags"]["TIT2"] == "A title" and audio.read_stream(tagged)["samples"] == base["samples"]
     assert base["table"]["frames"] == len(base["offsets"]) and len(base["table"]["toc"]) == 100
     assert audio.read_stream(b"")["samples"] == 0 and audio.read_stream(b"\xff" * 99)["samples"] == 0
+
+
+def test_altered_licence_templates_against_brute_force():
+    """Any words outside the key phrases may be altered, also all of the rarest ones."""
+    rng = random.Random(12)
+    for seed in range(6):
+        index = licences.Index()
+        rng.seed(seed)
+        index.weigh(1000, {int(h): rng.randrange(900) for h in index.vocab.view(np.int64)})
+        for k, want in enumerate(index.terms[len(licences.BASE) :], len(licences.BASE)):
+            free = np.flatnonzero(~index.must[k])
+            for r in [free[np.isin(free, index.rare[k])], *(np.array(rng.sample(free.tolist(), rng.randrange(len(free) + 1)), int) for _ in range(8))]:
+                term = np.concatenate([[-1, -1], want, [-1]])
+                term[2 + r] = -1
+                score = (len(want) - len(r)) / len(want)
+                row, start, found = index.scan(term, np.array([0, len(term)]), licences.SHARE)[k]
+                assert list(zip(row, start, found)) == ([(0, 2, score)] if score >= licences.SHARE else [])
