@@ -61,6 +61,18 @@ QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxic
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE = {
+    "op2_suffix_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, {_WORDS} AS w FROM documents),
+win AS (SELECT r, s, md5(b[s : s + {suffix.LENGTH - 1}]) AS g FROM (SELECT r, b, unnest(range(1, octet_length(b) - {suffix.LENGTH - 2})) AS s FROM d WHERE octet_length(b) >= {suffix.LENGTH})),
+rep AS (SELECT r, s, s - lag(s) OVER (PARTITION BY r ORDER BY s) > {suffix.LENGTH} AS apart FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+runs AS (SELECT r, min(s) AS lo, max(s) + {suffix.LENGTH - 1} AS hi FROM (SELECT r, s, sum(CAST(coalesce(apart, false) AS INT)) OVER (PARTITION BY r ORDER BY s) AS k FROM rep) GROUP BY r, k),
+cut AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM runs),
+got AS (SELECT r, count(*) AS n, sum(hi - lo + 1) AS gone, string_agg(CASE WHEN lo > before + 1 THEN hex(b[before + 1 : lo - 1]) ELSE '' END, '' ORDER BY lo) AS head, max(hi) AS last FROM cut JOIN d USING (r) GROUP BY r),
+pw AS (SELECT r, md5(array_to_string(list_slice(w, s, s + {suffix.PASSAGE - 1}), ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {suffix.PASSAGE - 2})) AS s FROM d WHERE len(w) >= {suffix.PASSAGE})),
+passages AS (SELECT DISTINCT r FROM pw WHERE g IN (SELECT g FROM pw GROUP BY g HAVING count(DISTINCT r) > 1))
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(head || CASE WHEN last < octet_length(b) THEN hex(b[last + 1 : octet_length(b)]) ELSE '' END)) END AS kept_sha256,
+  passages.r IS NOT NULL AS passage FROM d LEFT JOIN got USING (r) LEFT JOIN passages USING (r)""",
     "op3_url_filter": """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 rest AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),

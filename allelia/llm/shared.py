@@ -30,6 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns called c0, c1, ..., and the new name of each: names of callers cannot clash with those of an operator."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def apart(df: DataFrame) -> DataFrame:
     """Deal aggregated rows anew, without a key. A join on the grouping key then shuffles both sides, which lets Spark split a
     hot key of the other side; otherwise it would reuse the partitioning of the aggregation and could not."""

@@ -4,24 +4,28 @@ Each window of ``LENGTH`` bytes is assigned to its anchor: the place in it whose
 windows have equal anchors at equal places, so windows that may repeat meet by the hash of the anchor's string.
 Consecutive windows of one anchor form a context (their bytes run from the first window's start to the last one's end).
 
-1. Each task finds the anchors of its documents: hash of the string, hash of the context, place. Anchors whose hash
+1. One scan finds the contexts of all documents: hash of the anchor's string, hash of the context, place. Anchors whose hash
    occurs once in the corpus are done: none of their windows repeats. This moves a few bytes for about 140 bytes of text.
-2. Equal contexts are collapsed with their count. Only one of each goes on, with its bytes.
-3. Contexts are dealt to shards by anchor hash. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy
+2. Equal contexts are collapsed with their count; all windows of a context that occurs twice repeat. Only anchors with several
+   unlike contexts go on, one of each with its bytes.
+3. These are dealt to shards by anchor hash. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy
    (ranks of 8 bytes, then doubled, only for groups that are not yet single), and gets the common prefixes of
    neighbours by Kasai's rule in text order: along a diagonal the value falls by one with each place, so only its head is compared.
-   Windows with a common prefix of ``LENGTH`` bytes or more repeat; so do all windows of a context that occurs twice.
-4. An anchor with more than ``SPLIT`` occurrences is dealt over several shards. Their windows that are still single
-   (and one of each repeated class) are range-partitioned by digest and searched in the other shards' sorted lists by
-   binary search.
+   Windows with a common prefix of ``LENGTH`` bytes or more repeat.
+4. An anchor with more than ``SPLIT`` unlike contexts has several shards. Each shard hands on one window of each of its classes,
+   sorted by digest and cut into digest ranges; for each range, the lists of all shards are merged and each list's
+   windows are found in the merged one by binary search.
 5. Repeated windows return to all documents that have the context; each document's covered bytes go.
 
-Rows are documents: repeated rows repeat each other. A null text is empty; texts under ``LENGTH`` bytes keep all.
+The same anchors over words instead of bytes tell which documents share a run of ``PASSAGE`` words with another one (column
+``passage``); a run of words need not reach ``LENGTH`` bytes. There, unlike contexts compare the hashes of their windows.
+
+Rows are documents: repeated rows repeat each other. A null text is empty; texts under ``LENGTH`` bytes keep all. An empty
+table gives an empty one. Other columns stay; those called like an added one are replaced, and any other name is safe.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import apart, stored
-from .textops import U64, blocks, key_runs, mix
+from .shared import apart, numbered, stored
+from .textops import U64, Words, blocks, flat_list, key_runs, mix, powers
 
 LENGTH = 400
 CORE = 128
 SPLIT = 4000
+PASSAGE = 51
+BYTES, WORDS = 0, 1
 
 
 def _loads(raw: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
@@ -47,27 +53,25 @@ def _loads(raw: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
 
 def core_hashes(data: np.ndarray, core: int = CORE) -> np.ndarray:
     """Hash of the core bytes from each place (a power of two of 8 at least), built by doubling."""
-    h, width = mix(_loads(data, len(data))), 8
+    h, width, weight = mix(_loads(data, len(data))), 8, 0xD6E8FEB86659FD93
     while width < core:
-        ahead = np.zeros(len(h), U64)
-        ahead[: max(0, len(h) - width)] = h[width:]
-        h = mix(h * U64(0xD6E8FEB86659FD93) + ahead + U64(width))
-        width *= 2
-    return h
-
+        wide = h * U64(weight)
+        if len(h) > width:
+            wide[:-width] += h[width:]
+        h, width, weight = wide, width * 2, (weight * weight + 2) % (1 << 64)
+    return mix(h)
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, number of windows, core hash, context hash) of each context of a block."""
-    import xxhash
 
+def contexts(h: np.ndarray, offs: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, number of windows, anchor) of each context, as places in h; h[p] is the hash of the core at p."""
     size = np.diff(offs)
     long_rows = np.flatnonzero(size >= length)
     if not len(long_rows):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    h = core_hashes(data, core)
-    n, w = len(data), length - core + 1
-    bits = U64(30)  # a block is shorter than that
-    assert n < 1 << 30
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    n, w = len(h), length - core + 1
+    bits = U64(30)  # a block, or one text, is shorter than that
+    if n >= 1 << 30:
+        raise ValueError("a text must be shorter than 1 GiB")
     key = (h >> bits << bits) | np.arange(n, dtype=U64)
     padded = np.full(-(-n // w) * w + w, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = key
@@ -78,14 +82,45 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, core: int
     ends = np.append(0, np.cumsum(windows))
     place = np.repeat(offs[long_rows] - ends[:-1], windows) + np.arange(ends[-1])
     row = np.repeat(long_rows, windows)
-    best = np.minimum(beyond[place], upto[place + w - 1])
-    anchor = (best & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    anchor = (np.minimum(beyond[place], upto[place + w - 1]) & ((U64(1) << bits) - U64(1))).astype(np.int64)
     start = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-    count = np.diff(np.append(start, len(place)))
-    first = place[start]
+    return row[start], place[start], np.diff(np.append(start, len(place))), anchor[start]
+
+
+def byte_contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
+    """(row, start in the row, number of windows, core hash, context hash) of each context of a block."""
+    import xxhash
+
+    h = core_hashes(data, core)
+    row, first, count, anchor = contexts(h, offs, length, core)
     view = memoryview(np.ascontiguousarray(data))
-    context = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + c - 1 + length]) for a, c in zip(first.tolist(), count.tolist())), U64, len(start))
-    return row[start], first - offs[row[start]], count, h[anchor[start]].view(np.int64), context.view(np.int64)
+    context = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + c - 1 + length]) for a, c in zip(first.tolist(), count.tolist())), U64, len(first))
+    return row, first - offs[row], count, h[anchor].view(np.int64), context.view(np.int64)
+
+
+class Runs:
+    """Hashes of runs of words of a block."""
+
+    def __init__(self, words: Words):
+        up, self.down = powers(len(words.hash) + 1)
+        self.total = np.append(U64(0), np.cumsum(words.hash * up[: len(words.hash)]))
+
+    def of(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return mix((self.total[first + size] - self.total[first]) * self.down[first] + np.asarray(size).astype(U64))
+
+
+def word_contexts(words: Words, passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
+    """The same over words, each context once for a row."""
+    runs, core = Runs(words), (passage + 1) // 2
+    n = len(words.hash)
+    h = np.full(n, np.iinfo(np.uint64).max, U64)
+    if n >= core:
+        h[: n - core + 1] = runs.of(np.arange(n - core + 1), core)
+    row, first, count, anchor = contexts(h, words.first, passage, core)
+    c = runs.of(first, count + passage - 1)
+    _, one = np.unique(np.stack([row.astype(np.uint64), c]), axis=1, return_index=True) if len(row) else (None, np.zeros(0, np.int64))
+    row, first, count, anchor, c = (x[one] for x in (row, first, count, anchor, c))
+    return row, first - words.first[row], count, h[anchor].view(np.int64), c.view(np.int64)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -149,130 +184,180 @@ def repeated_windows(text: np.ndarray, valid: np.ndarray, room: np.ndarray, leng
     return again, ~equal
 
 
-def _shard(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of some contexts: rows (h, c, spans) and, for split anchors, digests of the windows that are left."""
+FOUND = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.int32())), ("part", pa.int32()), ("range", pa.int32()), ("digests", pa.binary()), ("kinds", pa.binary()), ("offs", pa.binary())])
+
+
+def _shard(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Repeated windows of some contexts as rows (h, c, spans); for anchors of several shards also, for each range of digests, the
+    sorted digests of one window of each class, with its context and offset."""
     import xxhash
 
-    body = table.column("body").combine_chunks()
-    data = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
-    n = table.column("n").to_numpy()
-    times = table.column("times").to_numpy()
-    parts = table.column("parts").to_numpy()
+    data = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
+    h, c, n, parts, part = (table.column(x).to_numpy() for x in ("h", "c", "n", "parts", "part"))
     size = n + length - 1
     at = np.append(0, np.cumsum(size))
     inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
     valid = inside < np.repeat(n, size)
     again, lead = repeated_windows(data, valid, np.repeat(size, size) - inside, length)
-    again |= np.repeat(times > 1, size) & valid
-    view = memoryview(data)
-    spans, digest, off = [], [], []
+    view, out = memoryview(data), []
+    left: dict[tuple[int, int, int], list[tuple[int, int, np.ndarray]]] = {}
     for k, (a, m, split) in enumerate(zip(at[:-1].tolist(), n.tolist(), (parts > 1).tolist())):
-        flags = np.concatenate([[0], again[a : a + m].view(np.int8), [0]])
-        spans.append(np.flatnonzero(np.diff(flags)))
-        left = np.flatnonzero(lead[a : a + m]) if split else ()
-        off.append(left)
-        digest.append([xxhash.xxh3_128_digest(view[a + i : a + i + length]) for i in left])
-    yield pa.RecordBatch.from_arrays(
-        [
-            table.column("h").combine_chunks(),
-            table.column("c").combine_chunks(),
-            table.column("part").combine_chunks(),
-            pa.array(spans, pa.list_(pa.int32())),
-            pa.array(digest, pa.list_(pa.binary())),
-            pa.array(off, pa.list_(pa.int32())),
-        ],
-        names=["h", "c", "part", "spans", "digests", "offs"],
-    )
+        spans = np.flatnonzero(np.diff(np.concatenate([[0], again[a : a + m].view(np.int8), [0]])))
+        if len(spans):
+            out.append({"h": h[k], "c": c[k], "spans": spans})
+        if split:
+            left.setdefault((h[k], part[k], parts[k]), []).append((a, c[k], np.flatnonzero(lead[a : a + m])))
+    for (anchor, own, many), rows in left.items():
+        raw = b"".join(xxhash.xxh3_128_digest(view[a + i : a + i + length]) for a, _, offs in rows for i in offs.tolist())
+        kinds, offs = np.repeat([x for _, x, _ in rows], [len(o) for _, _, o in rows]), np.concatenate([o for _, _, o in rows]).astype(np.int32)
+        order = np.argsort(np.frombuffer(raw, "S16"), kind="stable")
+        digests, kinds, offs = np.frombuffer(raw, np.uint8).reshape(-1, 16)[order], kinds[order], offs[order]
+        cut = np.searchsorted(np.ascontiguousarray(digests[:, :4]).view(">u4").ravel(), [-(-r * 2**32 // int(many)) for r in range(many)])
+        for r, (a, b) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(offs)])):
+            if b > a:
+                out.append({"h": anchor, "part": own, "range": r, "digests": digests[a:b].tobytes(), "kinds": kinds[a:b].tobytes(), "offs": offs[a:b].tobytes()})
+    return pa.RecordBatch.from_pylist(out, schema=FOUND)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of split anchors that another shard has too: each shard's sorted digests are searched in the others'."""
-    for table, _ in key_runs(batches, ["w"], 50_000):
-        w = np.array([x.hex() for x in table.column("w").to_pylist()])
-        part = table.column("part").to_numpy()
-        found = np.zeros(len(w), bool)
-        lists = {p: np.sort(w[part == p]) for p in np.unique(part).tolist()}
-        own = np.zeros(len(w), np.int64)
-        total = np.searchsorted(np.sort(w), w, "right") - np.searchsorted(np.sort(w), w, "left")
-        for p, keys in lists.items():
-            mine = part == p
-            own[mine] = np.searchsorted(keys, w[mine], "right") - np.searchsorted(keys, w[mine], "left")
-        found = total > own
-        keep = table.filter(pa.array(found))
-        if keep.num_rows:
-            yield pa.RecordBatch.from_arrays([keep.column(c).combine_chunks() for c in ("h", "c", "off")], names=["h", "c", "off"])
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, split: int = SPLIT) -> DataFrame:
-    """(_key, doc_id, at, spans): starts of repeated windows, relative to ``at``, as [from, to) pairs, for each context."""
+    """Windows that another shard of the anchor has too: for each digest range, each shard's list is searched in the merged one."""
+    for table, edge in key_runs(batches, ["h", "range"]):
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            raw = {c: [np.frombuffer(x, kind) for x in table.column(c).slice(lo, hi - lo).to_pylist()] for c, kind in (("digests", "S16"), ("kinds", np.int64), ("offs", np.int32))}
+            merged = np.sort(np.concatenate(raw["digests"]))
+            found = np.concatenate([np.searchsorted(merged, own, "right") - np.searchsorted(merged, own) > 1 for own in raw["digests"]])
+            if not found.any():
+                continue
+            kind, off = np.concatenate(raw["kinds"])[found], np.concatenate(raw["offs"])[found]
+            order = np.lexsort((off, kind))
+            kind, off = kind[order], off[order]
+            first = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+            spans = [np.stack([x, x + 1], axis=1).ravel() for x in np.split(off, first[1:])]
+            h = np.full(len(first), table.column("h")[lo].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind[first]), pa.array(spans, pa.list_(pa.int32()))], names=["h", "c", "spans"])
+
+
+KEY = ["_k1", "_k2"]
+PLACES = "_k1 long, _k2 long, unit int, at int, n int, h long, c long"
+CUTS = "_k1 long, _k2 long, unit int, h long, c long, n int, parts int, part int, body binary, runs array<long>"
+
+
+def _places(docs: DataFrame, length: int, core: int, passage: int) -> DataFrame:
+    """A row for each context of a document; those of words count once in a document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in blocks(batch.column(2)):
-                row, at, n, h, c = anchors(data, offs, length, core)
+                both = byte_contexts(data, offs, length, core), word_contexts(Words(data, offs), passage)
+                row, at, n, h, c = (np.concatenate(x) for x in zip(*both))
                 take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(c, pa.int64())], names=["_key", "doc_id", "at", "n", "h", "c"])
-
-    places = docs.select("_key", "doc_id", "text").mapInArrow(find, "_key long, doc_id long, at int, n int, h long, c long")
-    shared = places.groupBy("h").agg(F.count("*").alias("total")).where("total > 1")
-    suspects = stored(places.join(apart(shared), "h"))
-    parts = F.ceil(F.col("total") / split).cast("int")
-    kinds = suspects.groupBy("h", "c", "n").agg(F.count("*").alias("times"), F.min(F.struct("_key", "doc_id", "at")).alias("one"), F.first(parts).alias("parts"))
-    wanted = kinds.groupBy(F.col("one._key").alias("_key"), F.col("one.doc_id").alias("_doc")).agg(F.collect_list(F.struct("h", "c", "n", "times", "parts", F.col("one.at").alias("at"))).alias("wanted"))
-    raw = F.col("text").cast("binary")
-    bodies = docs.select("doc_id", "text", "_key").join(wanted, "_key").where("doc_id <=> _doc").select(raw.alias("raw"), F.explode("wanted").alias("w"))
-    bodies = bodies.select("w.h", "w.c", F.pmod("w.c", "w.parts").cast("int").alias("part"), "w.parts", "w.n", "w.times", F.expr(f"substring(raw, w.at + 1, w.n + {length - 1})").alias("body"))
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in key_runs(batches, ["h", "part"], 5000):
-            names = table.column_names  # a repeated row may hand in the same context twice
-            seen = list({x: i for i, x in enumerate(zip(table.column("h").to_pylist(), table.column("c").to_pylist(), table.column("n").to_pylist()))}.values())
-            yield from _shard(table.take(pa.array(seen)).select(names), length)
+                unit = np.repeat(np.array([BYTES, WORDS], np.int32), [len(x[0]) for x in both])
+                new = [pa.array(unit), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *new], names=[*KEY, "unit", "at", "n", "h", "c"])
 
-    sorted_ = bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, "h long, c long, part int, spans array<int>, digests array<binary>, offs array<int>")
-    found = sorted_.where("size(spans) > 0").select("h", "c", "spans")
-    if not suspects.where(F.col("total") > split).isEmpty():
-        sorted_ = stored(sorted_)
-        found = sorted_.where("size(spans) > 0").select("h", "c", "spans")
-        left = sorted_.where("size(offs) > 0").select("h", "c", "part", F.explode(F.arrays_zip("digests", "offs")).alias("z")).select("h", "c", "part", F.col("z.digests").alias("w"), F.col("z.offs").alias("off"))
-        met = left.repartitionByRange("w").sortWithinPartitions("w").mapInArrow(_merge, "h long, c long, off int")
-        found = found.unionByName(met.select("h", "c", F.array(F.col("off"), F.col("off") + 1).alias("spans")))
-    return suspects.select("_key", "doc_id", "at", "h", "c").join(found, ["h", "c"]).select("_key", "doc_id", "at", "spans")
+    return docs.select(*KEY, "text").mapInArrow(find, PLACES)
 
 
-REMOVED = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", T.ArrayType(T.LongType())), ("kept", T.BinaryType()))
+def _cuts(docs: DataFrame, wanted: DataFrame, length: int, passage: int) -> DataFrame:
+    """The bytes of the wanted contexts, and the hashes of the windows of those of words. Repeated rows are cut once in a task."""
+    kind = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("unit", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("parts", pa.int32()), ("part", pa.int32()), ("body", pa.binary()), ("runs", pa.list_(pa.int64()))])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            for a, b, data, offs in blocks(get("text")):
+                out, runs = [], None
+                for k, (k1, k2, some) in enumerate(zip(*(get(c).slice(a, b - a).to_pylist() for c in (*KEY, "wanted")))):
+                    if (k1, k2) in seen:
+                        continue
+                    seen.add((k1, k2))
+                    for w in some:
+                        row = {"_k1": k1, "_k2": k2, "unit": w["unit"], "h": w["h"], "c": w["c"], "n": w["n"], "parts": w["parts"], "part": w["c"] % w["parts"]}
+                        if w["unit"] == BYTES:
+                            out.append(row | {"body": data[offs[k] + w["at"] : offs[k] + w["at"] + w["n"] + length - 1].tobytes()})
+                        else:
+                            if runs is None:
+                                words = Words(data, offs)
+                                runs = Runs(words)
+                            first = words.first[k] + w["at"]
+                            out.append(row | {"runs": np.unique(runs.of(np.arange(first, first + w["n"]), passage)).view(np.int64)})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return docs.select(*KEY, "text").join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(cut, CUTS)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, split: int = SPLIT, passage: int = PASSAGE) -> DataFrame:
+    """(_k1, _k2, starts, passage): starts of repeated windows of a document as flat [from, to) pairs, and whether it shares a passage."""
+    places = stored(_places(docs, length, core, passage))
+    shared = places.groupBy("unit", "h").agg(F.count("*").alias("total")).where("total > 1").drop("total")
+    suspects = stored(places.join(apart(shared), ["unit", "h"]))
+    kinds = stored(suspects.groupBy("unit", "h", "c", "n").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "at")).alias("one")))
+    unlike = kinds.groupBy("unit", "h").agg(F.count("*").alias("m")).where("m > 1").select("unit", "h", F.ceil(F.col("m") / split).cast("int").alias("parts"))
+    open_ = kinds.join(apart(unlike), ["unit", "h"]).select("one.*", F.struct("unit", "h", "c", "n", "parts", "one.at").alias("w"))
+    cuts = stored(_cuts(docs, open_.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), length, passage))
 
-def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, split: int = SPLIT) -> DataFrame:
-    """Add n_bytes, n_removed, removed (maximal runs as [from, to) pairs of bytes) and kept (binary) to the documents."""
-    keep = [c for c in docs.columns if c not in {n for n, _ in REMOVED}]
-    keyed = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_key"))
-    spans = repeated_spans(keyed, length, core, split).groupBy("_key").agg(F.collect_list(F.struct("doc_id", "at", "spans")).alias("_spans"))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in REMOVED])
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in key_runs(batches, ["h", "part"], 5000):
+            # a repeated row may have been cut in two tasks
+            one = {x: i for i, x in enumerate(zip(*(table.column(c).to_pylist() for c in ("h", "c", "n"))))}
+            yield _shard(table.take(pa.array(list(one.values()))), length)
+
+    bodies = cuts.where(F.col("unit") == BYTES).select("h", "part", "c", "n", "parts", "body")
+    found = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, "h long, c long, spans array<int>, part int, range int, digests binary, kinds binary, offs binary"))
+    lists = found.where("digests is not null").select("h", "range", "digests", "kinds", "offs")
+    met = lists.repartition("h", "range").sortWithinPartitions("h", "range").mapInArrow(_merge, "h long, c long, spans array<int>")
+    twice = kinds.where("times > 1").select("unit", "h", "c", F.array(F.lit(0), F.col("n")).alias("spans"))
+    inside = found.where("spans is not null").select("h", "c", "spans").unionByName(met).select(F.lit(BYTES).alias("unit"), "h", "c", "spans")
+    spans = suspects.join(apart(twice.unionByName(inside)), ["unit", "h", "c"])
+    spans = spans.select(*KEY, F.when(F.col("unit") == BYTES, F.transform("spans", lambda s: s + F.col("at"))).alias("starts"), (F.col("unit") == WORDS).alias("passage"))
+    runs = cuts.where(F.col("unit") == WORDS).select(*KEY, F.explode("runs").alias("r")).distinct()
+    again = runs.groupBy("r").agg(F.count("*").alias("m")).where("m > 1").select("r")
+    passages = runs.join(apart(again), "r").select(*KEY, F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("passage"))
+    return spans.unionByName(passages).groupBy(*KEY).agg(F.flatten(F.collect_set("starts")).alias("starts"), F.max("passage").alias("passage"))
+
+
+ADDED = (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", T.ArrayType(T.LongType())), ("kept", T.BinaryType()))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, split: int = SPLIT, passage: int = PASSAGE) -> DataFrame:
+    """Add n_bytes, n_removed, removed (maximal runs as [from, to) pairs of bytes), kept (binary) and passage to the documents."""
+    keep = [c for c in docs.columns if c not in {*(n for n, _ in ADDED), "passage"}]
+    rows, names = numbered(docs.select(*keep))
+    text = names["text"]
+    keyed = rows.withColumns({"_k1": F.xxhash64(names["doc_id"], text), "_k2": F.xxhash64(F.lit(1), names["doc_id"], text)})
+    spans = repeated_spans(keyed.select(*KEY, F.col(text).alias("text")), length, core, split, passage)
+    joined = keyed.join(spans, KEY, "left").select(*names.values(), "starts", F.coalesce("passage", F.lit(False)).alias("passage"))
+    kept = [*names.values(), "passage"]
+    schema = T.StructType([joined.schema[c] for c in kept] + [T.StructField(n, k) for n, k in ADDED])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            for a, b, data, offs in blocks(get("text")):
-                size, runs, kept = np.diff(offs), [], []
-                for k, (doc, found) in enumerate(zip(get("doc_id").slice(a, b - a).to_pylist(), get("_spans").slice(a, b - a).to_pylist())):
-                    raw = data[offs[k] : offs[k + 1]]
-                    edge = np.zeros(len(raw) + 1, np.int32)
-                    for s in found or ():
-                        if s["doc_id"] == doc:
-                            pairs = np.array(s["spans"], np.int64).reshape(-1, 2) + s["at"]
-                            np.add.at(edge, pairs[:, 0], 1)
-                            np.add.at(edge, pairs[:, 1] - 1 + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    runs.append(np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))))
-                    kept.append(raw[~gone].tobytes() if len(runs[-1]) else raw.tobytes())
-                left = np.array([len(x) for x in kept], np.int64)
-                new = [pa.array(size, pa.int64()), pa.array(size - left, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in keep] + new, names=[*keep, *(n for n, _ in REMOVED)])
-
-    return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(cover, schema)
+            for a, b, data, offs in blocks(get(text)):
+                flat, first = flat_list(get("starts").slice(a, b - a))
+                place = flat.astype(np.int64) + np.repeat(offs[:-1], np.diff(first))
+                edge = np.bincount(place[::2], minlength=len(data) + 1) - np.bincount(place[1::2] - 1 + length, minlength=len(data) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                fresh = np.zeros(len(data) + 1, bool)
+                fresh[offs] = True
+                starts = np.flatnonzero(gone & (fresh[:-1] | ~np.append(False, gone[:-1])))
+                stops = np.flatnonzero(gone & (fresh[1:] | ~np.append(gone[1:], False))) + 1
+                row = np.searchsorted(offs, starts, "right") - 1
+                runs = np.stack([starts - offs[row], stops - offs[row]], axis=1).ravel()
+                runs_at = 2 * np.searchsorted(row, np.arange(b - a + 1))
+                left = data[~gone].tobytes()
+                left_at = np.append(0, np.cumsum(~gone))[offs]
+                size, kept_size = np.diff(offs), np.diff(left_at)
+                bodies = pa.array([left[x:y] for x, y in zip(left_at[:-1].tolist(), left_at[1:].tolist())], pa.binary())
+                new = [pa.array(size), pa.array(size - kept_size), pa.ListArray.from_arrays(pa.array(runs_at.astype(np.int32)), pa.array(runs)), bodies]
+                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in kept] + new, names=[*kept, *(n for n, _ in ADDED)])
+
+    out = joined.mapInArrow(cover, schema)
+    return out.select(*(F.col(c).alias(n) for n, c in names.items()), *(n for n, _ in ADDED), "passage")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     out = dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage")

@@ -38,13 +38,16 @@ _BYTE = seeds(256, 7)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
+    """Powers of the base and of its inverse modulo 2**64, n of each at least. Those for a block stay; longer ones, for a long text, do not."""
     global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, b, U64))]) for b in (_BASE, inverse))
-    return _powers
+    if n <= len(_powers[0]):
+        return _powers
+    n = max(n, 2 * BLOCK_BYTES)
+    inverse = pow(_BASE, -1, 1 << 64)
+    made = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, b, U64))]) for b in (_BASE, inverse))
+    if n == 2 * BLOCK_BYTES:
+        _powers = made
+    return made
 
 
 def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +73,12 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets of a list column without nulls inside; a null list counts as empty."""
+    size = np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(size))
+
+
 class Words:
     """The words of a block: start and end byte, hash, and first[i]:first[i+1] for the words of row i."""
 

@@ -1,6 +1,7 @@
 """Suffix arrays, similarity join, line dedup and sharding against plain-Python versions; toxicity on held-out rows."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -53,6 +54,49 @@ def test_suffix_dedup_against_brute_force(spark, length, core, split):
     assert got == brute_repeats(docs, length)
 
 
+def brute_shared_passages(docs, size):
+    runs = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (words(t) for _, t in docs)]
+    seen = Counter(g for r in runs for g in r)
+    return Counter((d, any(seen[g] > 1 for g in r)) for (d, _), r in zip(docs, runs))
+
+
+@pytest.mark.parametrize("passage", [51, 6])
+def test_documents_that_share_a_passage(spark, passage):
+    rng = random.Random(21)
+    share = invented(rng, 90, 400).split()
+    docs = mixed_docs(4) + [(500 + k, f"{invented(rng, 30, 400)} {' '.join(share[: 45 + k])} {invented(rng, 30, 400)}") for k in range(12)]
+    docs += [(600, " ".join(share[60:64] * 40)), (601, "one two three four five six"), (602, "one two three four five SIX!")]
+    got = suffix.dedup(spark.createDataFrame([(*d, True) for d in docs], DOCS + ", passage boolean"), passage=passage).select("doc_id", "passage")
+    assert Counter(tuple(r) for r in got.collect()) == brute_shared_passages(docs, passage)
+
+
+def test_suffix_dedup_of_many_repeated_rows(spark):
+    """Equal rows and rows without an id are collapsed before anything is compared."""
+    text = invented(random.Random(5), 900, 400)
+    rows = [(1, text)] * 2000 + [(None, text + " end")] * 2000 + [(2, "start " + text), (3, "short")]
+    out = suffix.dedup(spark.createDataFrame(rows, DOCS)).groupBy("doc_id", "n_bytes", "n_removed", "passage").count().collect()
+    n = len(text.encode())
+    assert {tuple(r) for r in out} == {(1, n, n, True, 2000), (None, n + 4, n + 4, True, 2000), (2, n + 6, n, True, 1), (3, 5, 0, False, 1)}
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup"])
+def test_text_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from allelia.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    rel = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert Counter(tuple(r) for r in got.select(*rel.columns).collect()) == Counter(rel.fetchall())
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix.digests(spark.createDataFrame([], DOCS)).collect() == []
 
