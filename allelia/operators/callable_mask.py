@@ -19,9 +19,11 @@ CLIP = [*KEYS, "start0", "end0"]
 
 def invariant_ranges(windows: DataFrame, mask: DataFrame, variants: DataFrame, width: int = BIN) -> DataFrame:
     """(keys, start0, end0, k, n_inv): clipped mask ranges with the number of their invariant sites, over 0 only."""
-    ranges = mask.select("chrom", (F.col("start0") + 1).alias("b_lo"), F.col("end0").alias("b_hi"), "k", F.monotonically_increasing_id().alias("range_id"))
+    # the range itself is its key, so a recomputed task gives the same one; equal ranges count as often as they are there
+    ranges = mask.groupBy("chrom", (F.col("start0") + 1).alias("b_lo"), F.col("end0").alias("b_hi"), "k").agg(F.count("*").alias("times"))
+    ranges = ranges.withColumn("range_id", F.struct("b_lo", "b_hi", "k"))
     met = interval_overlaps(windows.select(*KEYS, F.col("w1").alias("lo"), F.col("w2").alias("hi")), ranges, width)
-    clip = met.select(*KEYS, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"), "k", "range_id")
+    clip = met.select(*KEYS, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"), "k", "range_id", "times")
     # clipped ranges are windows of their own for the variant positions
     as_windows = clip.select("chrom", F.col("lo").alias("w1"), F.col("hi").alias("w2"), F.struct("w1", "w2", "window_ord", "range_id").alias("window_ord"))
     seen = assign_intervals(variants.select("chrom", F.col("pos").cast("long").alias("pos")), as_windows, width)
@@ -29,7 +31,7 @@ def invariant_ranges(windows: DataFrame, mask: DataFrame, variants: DataFrame, w
     own = clip.withColumn("id", F.struct("w1", "w2", "window_ord", "range_id"))
     joined = own.join(counts, ["chrom", "lo", "hi", "id"], "left")
     n_inv = F.col("hi") - F.col("lo") + 1 - F.coalesce("n_var", F.lit(0))
-    return joined.withColumn("n_inv", n_inv).where("n_inv > 0").select(*KEYS, "k", "n_inv")
+    return joined.withColumn("n_inv", n_inv * F.col("times")).where("n_inv > 0").select(*KEYS, "k", "n_inv")
 
 
 def _entries(ranges: DataFrame, pops: Populations, ploidy: int) -> DataFrame:

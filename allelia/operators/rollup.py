@@ -50,6 +50,12 @@ def rollup(results: DataFrame, stat: str, size: int, most: int = 0) -> DataFrame
     return sums.select(*pops, "chromosome", first.alias("window_pos_1"), (first + size - 1).alias("window_pos_2"), value.alias(name), *SUMMED[stat], *more)
 
 
+def ordered(results: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Rolled-up results by contig in order of appearance (contigs: chrom, chrom_rank), window and population; a range-partitioned sort."""
+    rows = results.join(F.broadcast(contigs.select(F.col("chrom").alias("chromosome"), "chrom_rank")), "chromosome")  # a row for each contig
+    return rows.orderBy("chrom_rank", "window_pos_1", *(c for c in ("pop", "pop1", "pop2") if c in results.columns)).select(*results.columns)
+
+
 def long_format(results: dict[str, DataFrame]) -> DataFrame:
     """(pop1, pop2, chromosome, window_pos_1, window_pos_2, statistic, value) from results by value column."""
     out = None

@@ -51,7 +51,9 @@ def retained(sites: DataFrame, multiallelic: bool = False, variants_only: bool =
 
 
 def masked(sites: DataFrame, listed: DataFrame) -> DataFrame:
-    """Genotypes of positions that are not in (chrom, pos) become missing; the rows stay and count as missing."""
+    """Genotypes of positions that are not in (chrom, pos) become missing; the rows stay and count as missing.
+
+    The listed positions are a broadcast only if Spark finds them small enough; else both sides shuffle by position."""
     hit = listed.select("chrom", "pos").distinct().withColumn("_hit", F.lit(True))
     none = F.transform("gt", lambda g: F.transform(g, lambda _: F.lit(-1)))
     return sites.join(hit, ["chrom", "pos"], "left").withColumn("gt", F.when(F.col("_hit"), F.col("gt")).otherwise(none)).drop("_hit")
@@ -112,7 +114,8 @@ def with_populations(sites: DataFrame, pops: Populations, heterozygotes: bool =
         fields = {
             "pop": F.lit(pop),
             "pop_rank": F.lit(k),
-            "ac": F.transform(F.sequence(F.lit(0), F.col("_top")), count),
+            # two alleles, the usual case, are counted in compiled code
+            "ac": F.when(F.col("_top") == 1, F.array(count(F.lit(0)), count(F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_top")), count)),
             "n_haps": size.cast("long"),
             "n": F.size(F.array_remove(own, -1)).cast("long"),
             "n01": count(F.lit(0)) + count(F.lit(1)),

@@ -91,10 +91,11 @@ def _fst_parts(rows: DataFrame, kind: str) -> DataFrame:
         return rows.withColumn("_x", num).withColumn("_y", den).withColumns({"x": K.skip_nan(F.col("_x")), "y": K.skip_nan(F.col("_y")), "z": F.lit(0.0)})
     top = F.size("a.ac") - 1
     each = F.transform(F.sequence(F.lit(0), top), lambda u: K.weir_cockerham_allele(F.col("a"), F.col("b"), u))
-    add = lambda name, f: F.aggregate("_w", F.lit(0.0), lambda s, t: s + f(t[name]))
-    rows = rows.withColumn("_w", each)
-    raw = {f"_{v}": add(name, lambda t: t) for v, name in zip("xyz", "abc")}
-    return rows.withColumns(raw | {v: add(name, K.skip_nan) for v, name in zip("xyz", "abc")}).drop("_w")
+    # one pass over the alleles for all six sums
+    zero = F.struct(*(F.lit(0.0).alias(v) for v in ("_x", "_y", "_z", "x", "y", "z")))
+    add = lambda s, t: F.struct(*((s[f"_{v}"] + t[n]).alias(f"_{v}") for v, n in zip("xyz", "abc")), *((s[v] + K.skip_nan(t[n])).alias(v) for v, n in zip("xyz", "abc")))
+    sums = rows.withColumn("_w", F.explode_outer(F.array(F.aggregate(each, zero, add))))  # above a generator, so computed once
+    return sums.select(*rows.columns, "_w.*")
 
 
 def _fst_names(kind: str, components: bool) -> list[F.Column]:

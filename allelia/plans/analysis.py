@@ -39,6 +39,7 @@ class AnalysisConfig:
     gvcf: bool = False
     output_folder: str | None = None
     output_prefix: str = "allelia"
+    output_format: str = "tsv"
 
     def check(self) -> None:
         """Conflicts that need no data."""
@@ -60,7 +61,9 @@ class AnalysisConfig:
         if self.gvcf and self.mask:
             raise ValueError("A gVCF and a callable mask cannot be combined.")
         if self.fst_type not in ("wc", "hudson"):
-            raise ValueError("fst_type must be either 'wc' or 'hudson'")
+            raise ValueError(f"The FST type is wc or hudson, not {self.fst_type}")
+        if self.output_format not in ("tsv", "parquet"):
+            raise ValueError("The output format is tsv or parquet.")
         if "/" in self.output_prefix:
             raise ValueError("The output prefix must not contain slashes.")
 
@@ -73,7 +76,7 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
     pops = side_files.populations_of(side_files.read_populations(spark, config.populations), samples)
     if {"fst", "dxy"} & set(config.stats) and len(pops.order) < 2:
         raise ValueError("fst and dxy need two populations or more.")
-    records = vcf.read_records(lines)
+    records = vcf.staged_records(lines)
     if config.chromosomes:
         known = {r.chrom for r in records.select("chrom").distinct().collect()}
         if lacking := [c for c in config.chromosomes if c not in known]:
@@ -84,6 +87,8 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
     needs = {"pi", "dxy", "watterson_theta", "tajima_d"} & set(config.stats)
     if needs and not (config.bypass_invariant_check or config.mask or config.gvcf) and not vcf.has_invariant_sites(records):
         raise ValueError("The VCF appears to contain no invariant sites; pi, dxy and theta would be wrong.")
+    if not vcf.has_variant_sites(records):
+        log.warning("The VCF has no variant site: every ALT is '.'")
     ploidy = sites.ploidy_by_contig(records)
     # the contigs and their ploidy: a row per contig
     shapes = {r.chrom: r.ploidy for r in ploidy.collect()}
@@ -91,20 +96,25 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
     if config.mask:
         header, mask = side_files.read_mask(spark, config.mask, pops.order)
         side_files.check_mask(header, pops)
-    raw = vcf.sites_of(records, ploidy)
+    variants_only = bool(config.mask) or not needs
+    # where no statistic takes invariant sites, their genotypes are not parsed
+    raw = vcf.sites_of(records.where(F.size("alts") > 0) if variants_only else records, ploidy)
     if config.gvcf:
         raw = sites.expanded(raw) if config.sites_file else sites.blocks_as_sites(raw)
-    kept = sites.retained(raw, config.include_multiallelic_snps, variants_only=bool(config.mask))
+    kept = sites.retained(raw, config.include_multiallelic_snps, variants_only=variants_only)
     listed = None
     if config.sites_file:
         listed = side_files.read_sites(spark, config.sites_file)
         kept = sites.masked(kept, listed)
     table, spans = _windows(spark, config, records, listed, shapes)
 
-    def assigned(df: DataFrame) -> DataFrame:
-        if spans is not None:
-            return windows.assign_fixed(df, spans if listed is not None and config.interval_start is None else config.interval_start or 1, config.window_size)
-        return windows.assign_intervals(df, table)
+    start = spans if listed is not None and config.interval_start is None else config.interval_start or 1
+
+    def assigned(df: DataFrame, last: DataFrame | None) -> DataFrame:
+        if last is None:
+            return windows.assign_intervals(df, table)
+        # a window past the last one of the table holds no rows
+        return windows.assign_fixed(df, start, config.window_size).join(F.broadcast(last), "chrom").where("w2 <= _last").drop("_last")
 
     ranks = vcf.contigs(records).select("chrom", "chrom_rank")
     groups: dict[int, list[str]] = {}
@@ -114,12 +124,8 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
     for p, chroms in groups.items():
         own = kept.where(F.col("chrom").isin(*chroms))
         wins = table.where(F.col("chrom").isin(*chroms))
-        if spans is not None:  # a window past the last one of the table holds no rows
-            last = wins.groupBy("chrom").agg(F.max("w2").alias("_last"))
-        counted = sites.with_populations(own, pops)
-        sited = assigned(counted)
-        if spans is not None:
-            sited = sited.join(F.broadcast(last), "chrom").where("w2 <= _last").drop("_last")
+        last = wins.groupBy("chrom").agg(F.max("w2").alias("_last")) if spans is not None else None  # a row for each contig
+        sited = assigned(sites.with_populations(own, pops), last)
         ranges = callable_mask.invariant_ranges(wins, mask, own.where("site_class <> 'invariant'")) if mask is not None else None
         for stat in config.stats:
             if stat == "pi":
@@ -135,11 +141,12 @@ def analyse(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]
                     log.warning("Weir-Cockerham FST is skipped on %s, which are not diploid", chroms)
                     continue
                 with_het = sites.with_populations(own.where("site_class <> 'invariant'"), pops, heterozygotes=config.fst_type == "wc")
+                at = assigned(with_het, last)
                 if config.window_size == 1:
-                    listed_only = with_het if listed is None else with_het.join(listed, ["chrom", "pos"], "left_semi")
-                    found = stats.fst_per_site(listed_only, pops, config.fst_type, config.fst_components).withColumn("window_ord", F.col("window_pos_1"))
+                    # a projection of the sites in the windows, which for a list of sites are the listed ones
+                    found = stats.fst_per_site(at.drop("w1", "w2", "window_ord", "mult"), pops, config.fst_type, config.fst_components).withColumn("window_ord", F.col("window_pos_1"))
                 else:
-                    found = stats.fst(assigned(with_het), pops, config.fst_type, config.fst_components)
+                    found = stats.fst(at, pops, config.fst_type, config.fst_components)
             out[stat].append(found)
     results = {}
     for stat, parts in out.items():
@@ -192,8 +199,22 @@ def text_rows(result: DataFrame) -> DataFrame:
     return result.orderBy(*order).select(F.concat_ws("\t", *cells).alias("value"))
 
 
+def write_tables(results: dict[str, DataFrame], config: AnalysisConfig) -> list[str]:
+    """A Parquet folder ``<prefix>_<stat>.parquet`` for each statistic, range-partitioned in output order and written by the tasks."""
+    paths = []
+    for stat, df in results.items():
+        path = f"{(config.output_folder or '.').rstrip('/')}/{config.output_prefix}_{stat}.parquet"
+        order = [c for c in ("chrom_rank", "window_pos_1", "window_ord", "pop_rank", "pop1", "pop2") if c in df.columns]
+        df.orderBy(*order).drop("chrom_rank", "window_ord", "pop_rank").write.mode("overwrite").parquet(path)
+        paths.append(path)
+    return paths
+
+
 def write_results(results: dict[str, DataFrame], config: AnalysisConfig) -> list[str]:
-    """One file ``<prefix>_<stat>.txt`` for each statistic, streamed a partition at a time."""
+    """The results in the configured format; as tab-separated text, one file ``<prefix>_<stat>.txt`` for each statistic, streamed a partition at a time
+    through the driver to its disk. Large results are better written as Parquet."""
+    if config.output_format == "parquet":
+        return write_tables(results, config)
     folder = config.output_folder or "."
     os.makedirs(folder, exist_ok=True)
     if not os.access(folder, os.W_OK):
@@ -224,6 +245,7 @@ def main(argv: list[str] | None = None) -> list[str]:
     for name in ("bed_file", "sites_file", "mask", "chromosomes", "output_folder"):
         p.add_argument(f"--{name}")
     p.add_argument("--output_prefix", default="allelia")
+    p.add_argument("--output_format", choices=("tsv", "parquet"), default="tsv")
     p.add_argument("--fst_type", choices=("wc", "hudson"), default="wc")
     for name in ("fst_components", "tajima_components", "include_multiallelic_snps", "bypass_invariant_check", "gvcf"):
         p.add_argument(f"--{name}", action="store_true")

@@ -114,6 +114,21 @@ def rollup_fst_wc(spark, sf_dir):
     return _out(rollup.rollup(stats.fst(sited, THREE, "wc", True), "wc_fst", 3 * SIZE))
 
 
+def rollup_dxy(spark, sf_dir):
+    sited, table = _fixed(spark, sf_dir)
+    return _out(rollup.rollup(stats.dxy(sited, table, POPULATIONS), "dxy", 3 * SIZE))
+
+
+def rollup_watterson_theta(spark, sf_dir):
+    sited, table = _fixed(spark, sf_dir)
+    return _out(rollup.rollup(stats.watterson_theta(sited, table, POPULATIONS), "watterson_theta", 3 * SIZE))
+
+
+def rollup_fst_hudson(spark, sf_dir):
+    sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True, variants_only=True)
+    return _out(rollup.rollup(stats.fst(sited, THREE, "hudson", True), "hudson_fst", 3 * SIZE))
+
+
 def site_classes(spark, sf_dir):
     return sites.classified(order_sites(spark, sf_dir, True)).groupBy("chrom", "site_class").agg(F.count("*").alias("n"))
 
@@ -141,22 +156,6 @@ def ploidy_by_contig(spark, sf_dir):
     return sites.ploidy_by_contig(_gt_strings(spark, sf_dir)).select("chrom", F.col("ploidy").cast("long").alias("ploidy"))
 
 
-def _blocks(spark, sf_dir):
-    """Every fourth position of a contig; invariant rows span up to three more positions."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as row_id", "cast(case when o_custkey % 5 <> 0 and o_custkey % 4 > 0 then o_orderkey div 3 + 1 + o_custkey % 4 end as int) as e")
-    rows = order_sites(spark, sf_dir).where("(row_id div 3) % 4 = 0").drop("info_end")
-    return rows.join(orders, "row_id").withColumnRenamed("e", "info_end")
-
-
-def block_expand(spark, sf_dir):
-    return sites.expanded(_blocks(spark, sf_dir), 100, 1000).select("chrom", "pos", "row_id", F.size("alts").cast("long").alias("n_alts"))
-
-
-def pi_block_weighted(spark, sf_dir):
-    sited, table = _fixed(spark, sf_dir, sited=sites.blocks_as_sites(_blocks(spark, sf_dir)))
-    return _out(stats.pi(sited, table, POPULATIONS))
-
-
 def _every_block(spark, sf_dir):
     """Every order as a record, four positions apart; invariant rows span up to three more positions."""
     more = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as row_id", "case when o_custkey % 5 <> 0 then o_custkey % 4 else 0 end as more")
@@ -164,11 +163,11 @@ def _every_block(spark, sf_dir):
     return rows.withColumn("info_end", F.expr("case when more > 0 then pos + more end")).drop("more")
 
 
-def block_expand_all(spark, sf_dir):
+def block_expand(spark, sf_dir):
     return sites.expanded(_every_block(spark, sf_dir)).select("chrom", "pos", "row_id", F.size("alts").cast("long").alias("n_alts"))
 
 
-def pi_block_weighted_all(spark, sf_dir):
+def pi_block_weighted(spark, sf_dir):
     sited, table = _fixed(spark, sf_dir, sited=sites.blocks_as_sites(_every_block(spark, sf_dir)))
     return _out(stats.pi(sited, table, POPULATIONS))
 
@@ -220,8 +219,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         pi_fixed_windows, pi_multiallelic, pi_sites_mask, pi_bed_windows, pi_single_sites, dxy_fixed_windows, watterson_theta_windows, tajima_d_windows,
-        tajima_d_components, rollup_pi, rollup_tajima_d, rollup_fst_wc, site_classes, allele_counts, fst_eligible_sites, ploidy_by_contig, block_expand,
-        pi_block_weighted, block_expand_all, pi_block_weighted_all, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format,
+        tajima_d_components, rollup_pi, rollup_tajima_d, rollup_dxy, rollup_watterson_theta, rollup_fst_hudson, rollup_fst_wc, site_classes, allele_counts, fst_eligible_sites, ploidy_by_contig, block_expand,
+        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format,
     )
 } | {
     "fst_hudson_windows": _fst("hudson", False),
@@ -310,11 +309,11 @@ _CLASSES = f"cl AS (SELECT chrom, {_AT} AS w1, pop, n, count(*) AS sites, count(
 _THETA = "sum(CASE WHEN s = 0 THEN 0 WHEN n < 2 THEN 'inf'::DOUBLE ELSE s / a1 END)"
 
 
-def _theta_sql(mask: bool = False) -> str:
+def _theta_sql(mask: bool = False, calls: str = "") -> str:
     more = "" if not mask else f" UNION ALL SELECT chrom, w1, pop, n, sites, 0, 0, 0 FROM mcl WHERE n > 0 AND sites > 0"
     extra = f", {_MASK_ROWS}, mcl AS (SELECT chrom, w1, pop, k AS n, sum(n_inv) AS sites FROM inv GROUP BY ALL)" if mask else ""
     only = " WHERE variable" if mask else ""
-    return f"""WITH {_calls()}, {_SITE_POP}, {_WINDOWS}, {_HARMONIC}, {_CLASSES.replace('FROM sp', 'FROM sp' + only)}{extra}, allc AS (SELECT * FROM cl{more}),
+    return f"""WITH {calls or f'{_calls()}, {_SITE_POP}'}, {_WINDOWS}, {_HARMONIC}, {_CLASSES.replace('FROM sp', 'FROM sp' + only)}{extra}, allc AS (SELECT * FROM cl{more}),
 g AS (SELECT chrom, w1, pop, {_THETA} AS raw, max(real) AS real, sum(sites) FILTER (n > 0) AS ns, sum(s) AS nv, sum(n * sites) AS called, max(n) AS most FROM allc JOIN tj USING (n) GROUP BY ALL)
 SELECT p.pop, w.chrom AS chromosome, w.w1 AS window_pos_1, w.w2 AS window_pos_2, CASE WHEN ns > 0 AND real = 1 THEN round(raw / ns, 9) END AS avg_watterson_theta, CAST(coalesce(ns, 0) AS BIGINT) AS no_sites,
   CASE WHEN real = 1 THEN round(raw, 9) END AS raw_watterson_theta, CAST(CASE WHEN real = 1 THEN nv END AS BIGINT) AS no_var_sites, CASE WHEN most > 0 THEN round(called / most, 9) WHEN real = 1 THEN 0.0 END AS weighted_no_sites
@@ -345,11 +344,10 @@ inv AS (SELECT chrom, w1, 'A' AS pop, 2 * ka AS k, n_inv FROM nv WHERE n_inv > 0
 _DXY_PARTS = "sum(a.n * b.n - a.n0 * b.n0 - a.n1 * b.n1 - a.n2 * b.n2) AS d, sum(a.n * b.n) AS c, sum(a.n_haps * b.n_haps - a.n * b.n) AS m, count(*) FILTER (a.n0 + a.n1 > 0 AND b.n0 + b.n1 > 0) AS s"
 _DXY_OUT = """w.chrom AS chromosome, w.w1 AS window_pos_1, w.w2 AS window_pos_2, CASE WHEN c > 0 THEN round(d / c, 9) END AS avg_dxy, CAST(coalesce(s, 0) AS BIGINT) AS no_sites, CAST(d AS BIGINT) AS count_diffs, CAST(c AS BIGINT) AS count_comparisons, CAST(m AS BIGINT) AS count_missing"""
 
-_BLOCKS = """recs AS (SELECT *, (SELECT 1) AS one FROM calls0 WHERE row_id // 3 % 4 = 0),
-ends AS (SELECT o_orderkey AS row_id, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 4 ELSE 0 END AS more FROM orders)"""
-_BLOCK_CALLS = _calls().replace("calls AS (", "calls0 AS (") + f", {_BLOCKS}, calls AS (SELECT chrom, pos + unnest(range(0, more + 1)) AS pos, row_id, sample, pop, variable, a1, a2 FROM recs JOIN ends USING (row_id))"
+_EVERY_BLOCK = _calls().replace("calls AS (", "calls0 AS (") + """, recs AS (SELECT * REPLACE (row_id // 3 * 4 + 1 AS pos) FROM calls0),
+ends AS (SELECT o_orderkey AS row_id, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 4 ELSE 0 END AS more FROM orders),
+calls AS (SELECT chrom, pos + unnest(range(0, more + 1)) AS pos, row_id, sample, pop, variable, a1, a2 FROM recs JOIN ends USING (row_id))"""
 _BLOCK_WINDOWS = _WINDOWS.replace("SELECT 'chr' || (o_orderkey % 3 + 1) AS chrom, max(o_orderkey // 3 + 1) AS e FROM orders GROUP BY 1", "SELECT chrom, max(pos) AS e FROM recs GROUP BY 1")
-_EVERY_BLOCK = _BLOCK_CALLS.replace("SELECT *, (SELECT 1) AS one FROM calls0 WHERE row_id // 3 % 4 = 0", "SELECT * REPLACE (row_id // 3 * 4 + 1 AS pos) FROM calls0")
 
 ORACLE = {
     "pi_fixed_windows": _pi(_calls()),
@@ -373,6 +371,12 @@ SELECT pop, chrom AS chromosome, w1 AS window_pos_1, w1 + {3 * SIZE - 1} AS wind
     "rollup_tajima_d": f"""WITH {_calls()}, {_SITE_POP}, {_HARMONIC}, {_CLASSES.replace(_AT, f'(pos - 1) // {3 * SIZE} * {3 * SIZE} + 1')}, {_TAJIMA_G}
 SELECT pop, chrom AS chromosome, w1 AS window_pos_1, w1 + {3 * SIZE - 1} AS window_pos_2, CASE WHEN sd > 0 THEN round((raw_pi - raw) / sd, 9) END AS tajima_d, CAST(ns AS BIGINT) AS no_sites, round(raw_pi, 9) AS raw_pi, round(raw, 9) AS raw_watterson_theta, round(sd, 9) AS tajima_d_stdev, counts AS tajima_d_s_counts FROM g""",
     "rollup_fst_wc": _fst_sql("wc", True).replace(_AT, f"(pos - 1) // {3 * SIZE} * {3 * SIZE} + 1").replace(f"w1 + {SIZE - 1}", f"w1 + {3 * SIZE - 1}"),
+    "rollup_fst_hudson": _fst_sql("hudson", True).replace(_AT, f"(pos - 1) // {3 * SIZE} * {3 * SIZE} + 1").replace(f"w1 + {SIZE - 1}", f"w1 + {3 * SIZE - 1}"),
+    "rollup_dxy": f"""WITH {_calls()}, {_SITE_POP}, w AS (SELECT a.chrom, (a.pos - 1) // {3 * SIZE} * {3 * SIZE} + 1 AS w1, {_DXY_PARTS} FROM {_PAIRS} GROUP BY ALL)
+SELECT 'A' AS pop1, 'B' AS pop2, {_DXY_OUT.replace('w.w2', f'w.w1 + {3 * SIZE - 1}')} FROM w""",
+    "rollup_watterson_theta": f"""WITH small AS ({_theta_sql().replace('round(raw, 9)', 'raw').replace('round(called / most, 9)', 'called / most')})
+SELECT pop, chromosome, (window_pos_1 - 1) // {3 * SIZE} * {3 * SIZE} + 1 AS window_pos_1, (window_pos_1 - 1) // {3 * SIZE} * {3 * SIZE} + {3 * SIZE} AS window_pos_2, CASE WHEN sum(no_sites) > 0 THEN round(sum(raw_watterson_theta) / sum(no_sites), 9) END AS avg_watterson_theta,
+  CAST(sum(no_sites) AS BIGINT) AS no_sites, round(sum(raw_watterson_theta), 9) AS raw_watterson_theta, CAST(sum(no_var_sites) AS BIGINT) AS no_var_sites, round(sum(weighted_no_sites), 9) AS weighted_no_sites FROM small GROUP BY ALL""",
     "site_classes": "SELECT 'chr' || (o_orderkey % 3 + 1) AS chrom, CASE WHEN o_custkey % 5 = 0 THEN 'multiallelic' ELSE 'invariant' END AS site_class, count(*) AS n FROM orders GROUP BY ALL",
     "allele_counts": f"WITH {_calls(True, True)}, {_SITE_POP} SELECT chrom, pos, pop, n0, n1, n2, n, n0 + n1 AS n01, n_haps FROM sp",
     "fst_eligible_sites": f"WITH {_calls(True)}, {_SITE_POP}, {_ELIGIBLE} SELECT DISTINCT chrom, pos FROM calls WHERE row_id IN (SELECT row_id FROM elig)",
@@ -381,10 +385,8 @@ SELECT pop, chrom AS chromosome, w1 AS window_pos_1, w1 + {3 * SIZE - 1} AS wind
 s AS (SELECT chrom, row_id, i, string_split(replace(t, '|', '/'), '/') AS f FROM g),
 p AS (SELECT chrom, row_id * 2 + i AS o, CASE WHEN len(f) = 1 OR len(list_filter(f, lambda x: x <> '.')) = 1 THEN 1 ELSE len(f) END AS p FROM s)
 SELECT chrom, CAST(coalesce(arg_min(p, o) FILTER (p > 1), 1) AS BIGINT) AS ploidy FROM p GROUP BY 1""",
-    "block_expand": f"""WITH {_BLOCK_CALLS} SELECT chrom, CAST(pos AS BIGINT) AS pos, row_id, CAST(max(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS n_alts FROM calls WHERE pos BETWEEN 100 AND 1000 GROUP BY ALL""",
-    "pi_block_weighted": _pi(_BLOCK_CALLS, _BLOCK_WINDOWS).replace("FROM haps GROUP BY ALL", "FROM haps GROUP BY ALL"),
-    "block_expand_all": f"""WITH {_EVERY_BLOCK} SELECT chrom, CAST(pos AS BIGINT) AS pos, row_id, CAST(max(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS n_alts FROM calls GROUP BY ALL""",
-    "pi_block_weighted_all": _pi(_EVERY_BLOCK, _BLOCK_WINDOWS),
+    "block_expand": f"""WITH {_EVERY_BLOCK} SELECT chrom, CAST(pos AS BIGINT) AS pos, row_id, CAST(max(CASE WHEN variable THEN 1 ELSE 0 END) AS BIGINT) AS n_alts FROM calls GROUP BY ALL""",
+    "pi_block_weighted": _pi(_EVERY_BLOCK, _BLOCK_WINDOWS),
     "mask_pi": f"""WITH {_calls()}, {_SITE_POP}, {_WINDOWS}, {_MASK_ROWS},
 parts AS (SELECT chrom, {_AT} AS w1, pop, {_PI_PARTS} FROM sp WHERE variable GROUP BY ALL UNION ALL SELECT chrom, w1, pop, 0, sum(n_inv * (k * (k - 1) // 2)), sum(n_inv * (45 - k * (k - 1) // 2)), coalesce(sum(n_inv) FILTER (k > 0), 0) FROM inv GROUP BY ALL),
 g AS (SELECT chrom, w1, pop, sum(d) AS d, sum(c) AS c, sum(m) AS m, sum(s) AS s FROM parts GROUP BY ALL)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sites import Populations
+from .staging import staged
 
 
 def _fields(spark: SparkSession, path: str, least: int, empty: str, short: str) -> DataFrame:
     """(line, f): cells of the lines that are not blank, stripped, in file order; fewer than ``least`` cells are an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("f"))
+    text = staged(spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), "value"))
+    lines = text.select("line", F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("f"))
     if not lines.where(F.size("f") < least).isEmpty():
         raise ValueError(short)
     filled = lines.where(~F.exists(F.slice("f", 1, least), lambda x: x == ""))
@@ -32,7 +34,7 @@ def populations_of(rows: DataFrame, samples: list[str]) -> Populations:
     """Populations over the samples of a callset; samples that the callset lacks are an error. One row per sample reaches the driver."""
     found = rows.orderBy("line").collect()
     if missing := sorted({r["sample"] for r in found} - set(samples)):
-        raise ValueError(f"The following samples are listed in the population file but not in the VCF: {missing}")
+        raise ValueError(f"The populations file has samples that the VCF lacks: {missing}")
     of = {r["sample"]: r["pop"] for r in found}
     return Populations(tuple(samples), tuple(of.get(s) for s in samples), tuple(dict.fromkeys(r["pop"] for r in found)))
 

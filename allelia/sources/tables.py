@@ -18,10 +18,8 @@ def order_sites(spark: SparkSession, sf_dir: str, extra_allele: bool = False) ->
     The genotypes of a site are an array in its row, so no calls are exploded. ``extra_allele`` turns some alternate
     alleles into a second one.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    cores = spark.sparkContext.defaultParallelism
-    if orders.rdd.getNumPartitions() < cores:  # a small file; its two columns become wide rows
-        orders = orders.repartition(cores)
+    # two narrow columns become wide rows, so they are dealt out before that
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition("o_orderkey")
     one = lambda m, a, n: f"cast((o_orderkey * {m} + {a} + o_custkey) % {n} = 0 as int)"
     samples = []
     for s in range(SAMPLES):

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators.sites import ploidy_by_contig, snp
+from .staging import staged
 
 BLOCK_ALTS = ("<NON_REF>", "<*>")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value) of all lines; a gzip file is one partition, so the parsed rows should be written as Parquet once."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), "value")
+    """(row_id, value) of all lines; a gzip file is one partition, so use ``staged_records`` for more than one pass."""
+    try:
+        return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), "value")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"There is no VCF at {path}") from e
 
 
 def read_samples(lines: DataFrame) -> list[str]:
@@ -36,6 +41,12 @@ def read_records(lines: DataFrame, variants_only: bool = False) -> DataFrame:
     return rows.select("row_id", F.get("_h", F.lit(0)).alias("chrom"), F.get("_h", F.lit(1)).try_cast("int").alias("pos"), F.get("_h", F.lit(3)).alias("ref"), alts.alias("alts"), F.get(cells, F.lit(7)).alias("info"), F.slice(cells, 10, F.greatest(F.lit(0), F.size(cells) - 9)).alias("gts"))
 
 
+def staged_records(lines: DataFrame) -> DataFrame:
+    """The records of all lines, parsed and written once. The lines are dealt out before their cells are split, by ranges of
+    row_id, so one compressed file is parsed by all tasks and each written file holds a run of positions."""
+    return staged(read_records(lines.repartitionByRange("row_id")), "row_id")
+
+
 def sites_of(records: DataFrame, ploidy: DataFrame | None = None) -> DataFrame:
     """Site rows with genotypes; ploidy by contig is inferred where it is not given."""
     by = ploidy_by_contig(records) if ploidy is None else ploidy
@@ -48,6 +59,10 @@ def has_invariant_sites(records: DataFrame) -> bool:
     return not records.where(F.size("alts") == 0).isEmpty()
 
 
+def has_variant_sites(records: DataFrame) -> bool:
+    return not records.where(F.size("alts") > 0).isEmpty()
+
+
 def has_blocks(records: DataFrame) -> bool:
     marked = F.exists("alts", lambda a: a.isin(*BLOCK_ALTS)) | (K.info_end(F.col("info")) > F.col("pos"))
     return not records.where(marked).isEmpty()

@@ -47,6 +47,37 @@ def test_bed_and_sites(spark, files):
     assert [r.window_pos_1 for r in single["fst"].collect()] == [100]
 
 
+def test_interval_bounds_every_statistic(spark, files, tmp_path):
+    """A variant beyond the last window of the interval is in no statistic; windows reach past the interval's end to a full one."""
+    v = tmp_path / "i.vcf"
+    calls = {100: "0/0\t0/1\t1/1\t0/0", 1400: "0/1\t0/0\t1/1\t1/1", 5000: "0/0\t0/0\t1/1\t1/1"}
+    v.write_text(HEAD + "S1\tS2\tS3\tS4\n" + "".join(f"chr1\t{p}\t.\tA\tC\t.\t.\t.\tGT\t{g}\n" for p, g in calls.items()) + "chr1\t5001\t.\tA\t.\t.\t.\t.\tGT\t0/0\t0/0\t0/0\t0/0\n")
+    for kind in ("wc", "hudson"):
+        out = analyse(spark, config(files, vcf=str(v), stats=("pi", "dxy", "fst", "watterson_theta", "tajima_d"), fst_type=kind, chromosomes=("chr1",), interval_start=1, interval_end=1300))
+        for stat, df in out.items():
+            found = {(r.window_pos_1, r.window_pos_2) for r in df.collect()}
+            assert found == ({(1, 500), (1001, 1500)} if stat == "fst" else {(1, 500), (501, 1000), (1001, 1500)}), stat
+        single = analyse(spark, config(files, vcf=str(v), stats=("fst",), fst_type=kind, chromosomes=("chr1",), interval_start=1, interval_end=1300, window_size=1))
+        assert [r.window_pos_1 for r in single["fst"].collect()] == [100]
+
+
+def test_variant_free_and_missing_files(spark, files, tmp_path, caplog):
+    v = tmp_path / "flat.vcf"
+    v.write_text(HEAD + "S1\tS2\tS3\tS4\nchr1\t5\t.\tA\t.\t.\t.\t.\tGT\t0/0\t0/0\t0/0\t0/0\n")
+    assert analyse(spark, config(files, vcf=str(v)))["pi"].where("no_sites = 1").count() == 2
+    assert "no variant site" in caplog.text
+    with pytest.raises(FileNotFoundError, match="no VCF"):
+        analyse(spark, config(files, vcf=str(tmp_path / "none.vcf")))
+
+
+def test_parquet_output(spark, files, tmp_path):
+    c = config(files, stats=("pi", "fst"), output_folder=str(tmp_path / "p"), output_format="parquet")
+    results = analyse(spark, c)
+    pi, fst = (spark.read.parquet(p) for p in write_results(results, c))
+    assert sorted(map(tuple, pi.collect()), key=str) == sorted((tuple(r)[:9] for r in results["pi"].collect()), key=str) and fst.count() == 1
+    assert [r.chromosome for r in pi.collect()] == ["chr1", "chr1", "chrX", "chrX"]
+
+
 def test_gvcf_blocks_count_each_position(spark, files):
     out = analyse(spark, config(files, vcf=str(files / "g.vcf"), gvcf=True, window_size=100))["pi"].collect()
     a = next(r for r in out if r["pop"] == "A")
@@ -90,7 +121,7 @@ def test_conflicts(kw, match, tmp_path):
 
 def test_checks_on_data(spark, files, tmp_path):
     (tmp_path / "p.txt").write_text("S1\tA\nZ9\tB\n")
-    with pytest.raises(ValueError, match="Z9"):
+    with pytest.raises(ValueError, match="lacks.*Z9"):
         analyse(spark, config(files, populations=str(tmp_path / "p.txt")))
     (tmp_path / "one.txt").write_text("S1\n")
     with pytest.raises(ValueError, match="two columns"):

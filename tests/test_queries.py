@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from allelia.plans.queries import ORACLE, QUERIES
+from allelia.plans import file_queries, queries
+
+QUERIES, ORACLE = queries.QUERIES | file_queries.QUERIES, queries.ORACLE | file_queries.ORACLE
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -32,6 +34,6 @@ def test_query_equals_sql(spark, name):
 
 def test_block_queries_take_every_order(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    found = QUERIES["block_expand_all"](spark, SF)
+    found = QUERIES["block_expand"](spark, SF)
     assert found.select("row_id").distinct().count() == orders and found.where("pos > 1000").count() > 0
     assert found.select("chrom", "pos").distinct().count() == found.count()
