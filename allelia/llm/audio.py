@@ -3,11 +3,13 @@
 ``store`` keeps any payload losslessly as the ancillary bytes of silent MPEG-1 Layer III frames (32 kHz, mono,
 checksums on, bitrate chosen per frame), behind an ID3v2.3 tag and a variable-bitrate (Xing) frame. ``inspect``
 reads any MPEG-1/2/2.5 stream of layers I to III: it skips tags (ID3v2, ID3v1, APE), finds the first header that a
-second header confirms, walks the frames, searches again where a header is lost, verifies CRC-16, reads Xing, Info and
-VBRI tables, and returns exact samples and the offset of each frame.
+second header confirms, walks the frames, searches again where a header is lost, verifies CRC-16 (layer I: header and bit
+allocation; II: these and the selection of scale factors; III: header and side information), reads Xing, Info and VBRI tables
+with their seek points, and returns exact samples and the offset of each frame.
 
-A null payload is an empty one. Rows are independent; equal payloads give equal streams. A stream without frames
-has 0 samples and no offsets.
+A null payload is an empty one. Rows are independent; equal payloads, repeated rows among them, give equal streams. A stream
+without frames has 0 samples and no offsets; a long text has many frames; an empty table gives an empty one. Other columns stay;
+those called like an added one are replaced, and any other name is safe.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index, Hz by rate index.
 KBPS = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -42,10 +47,49 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same over the first bits of the data."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        top = crc >> 15 ^ data[k // 8] >> 7 - k % 8 & 1
+        crc = (crc << 1 ^ 0x8005 if top else crc << 1) & 0xFFFF
+    return crc
+
+
+# Fixed values of ISO/IEC 11172-3 and 13818-3: widths of the layer II bit allocation by subband, as (width, subbands).
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def covered_bits(h: Header, audio: bytes) -> int:
+    """How many bits after the checksum it covers, besides the two header bytes; audio starts behind the checksum."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + min(32, h.bound))
+    each = h.kbps // channels
+    table = "low" if h.version != 1 else ("d" if h.hz == 32000 else "c") if each <= 48 else "b" if each >= 96 and h.hz != 48000 else "a"
+    widths = [w for w, n in ALLOCATION[table] for _ in range(n)]
+    value, size, at, used = int.from_bytes(audio[:64], "big"), 8 * len(audio[:64]), 0, 0
+    for k, w in enumerate(widths):
+        shared = k >= h.bound and channels == 2
+        for _ in range(1 if shared else channels):
+            at += w
+            if at <= size and value >> (size - at) & ((1 << w) - 1):
+                used += channels if shared else 1
+    return at + 2 * used
+
+
 class Header:
     """The 4 header bytes of a frame; ``ok`` tells whether they are one."""
 
-    __slots__ = ("ok", "version", "layer", "protected", "kbps", "hz", "size", "samples", "side", "mono")
+    __slots__ = ("ok", "version", "layer", "protected", "kbps", "hz", "size", "samples", "side", "mono", "bound")
 
     def __init__(self, raw: bytes):
         word = int.from_bytes(raw, "big")
@@ -57,6 +101,7 @@ class Header:
             return
         self.version, self.layer, self.protected = version, layer, not word >> 16 & 1
         self.kbps, self.hz, self.mono = KBPS[1 if version == 1 else 2, layer][rate], HZ[version][speed], word >> 6 & 3 == 3
+        self.bound = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32  # first subband that joint stereo shares
         pad = word >> 9 & 1
         if layer == 1:
             self.samples, self.size = 384, (12000 * self.kbps // self.hz + pad) * 4
@@ -160,9 +205,11 @@ def read_stream(media: bytes) -> dict:
             continue
         sure, frame = True, media[at : at + h.size]
         data = 4 + 2 * h.protected + h.side
-        if h.protected and h.layer == 3:
+        if h.protected:
+            bits = covered_bits(h, frame[6:])
+            covered = frame[2:4] + frame[6 : 6 + -(-bits // 8)]
             checked += 1
-            wrong += checksum(frame[2:4] + frame[6:data]) != int.from_bytes(frame[4:6], "big")
+            wrong += (crc16_bits(covered, 16 + bits) if bits % 8 else checksum(covered)) != int.from_bytes(frame[4:6], "big")
         if not offsets and table is None and frame[data : data + 4] in (b"Xing", b"Info"):
             flags, k = int.from_bytes(frame[data + 4 : data + 8], "big"), data + 8
             table = {"kind": frame[data : data + 4].decode()}
@@ -172,6 +219,8 @@ def read_stream(media: bytes) -> dict:
                     k += width
         elif not offsets and table is None and frame[36:40] == b"VBRI":
             table = {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+            n, scale, width = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58))
+            table["sizes"] = [scale * int.from_bytes(frame[k : k + width], "big") for k in range(62, 62 + n * width, width)] if width else []
         else:
             offsets.append(at)
             samples += h.samples
@@ -183,6 +232,13 @@ def read_stream(media: bytes) -> dict:
     return {"tags": tags, "table": table, "offsets": offsets, "samples": samples, "hz": hz, "checked": checked, "wrong": wrong, "skipped": skipped + max(0, stop - at), "kbps": kbit / len(offsets) if offsets else 0.0, "data": b"".join(bodies)}
 
 
+def seek_points(table: dict) -> list[int]:
+    """Bytes after the table's frame at which its points lie: a hundredth of the duration each (Xing), or a group of frames (VBRI)."""
+    if "sizes" in table:
+        return [sum(table["sizes"][:k]) for k in range(len(table["sizes"]))]
+    return [b * table["bytes"] // 256 for b in table["toc"]] if "toc" in table and "bytes" in table else []
+
+
 def payload_of(text: bytes | None) -> bytes:
     """The bytes with zero bytes up to a positive multiple of 64."""
     raw = text or b""
@@ -214,9 +270,10 @@ def _mapped(df: DataFrame, columns: list[str], added: list[T.StructField], row)
 
 def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Add the stored form of the padded text as a binary column; the text column is replaced by its length ``n_bytes``."""
-    raw = df.withColumn("_raw", df[text].cast("binary")).drop(text)
-    out = _mapped(raw, ["_raw"], [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())], lambda x: (len(x or b""), write_stream(payload_of(x))))
-    return out.drop("_raw")
+    others = [c for c in df.columns if c not in (text, "n_bytes", media)]
+    rows, names = numbered(df.select(*others, F.col(text).cast("binary").alias(text)))
+    out = _mapped(rows, [names[text]], [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())], lambda x: (len(x or b""), write_stream(payload_of(x))))
+    return out.select(*(F.col(names[c]).alias(c) for c in others), "n_bytes", media)
 
 
 INSPECTED = [
@@ -227,6 +284,7 @@ INSPECTED = [
     T.StructField("frame_offsets", T.ArrayType(T.LongType())),
     T.StructField("vbr_kind", T.StringType()),
     T.StructField("vbr_frames", T.LongType()),
+    T.StructField("seek_points", T.ArrayType(T.LongType())),
     T.StructField("crc_checked", T.LongType()),
     T.StructField("crc_wrong", T.LongType()),
     T.StructField("skipped_bytes", T.LongType()),
@@ -240,7 +298,7 @@ def _inspected(media: bytes | None) -> tuple:
     data = s["data"][: int(size)] if size.isdigit() else s["data"]
     table = s["table"] or {}
     micros = (s["samples"] * 1_000_000 + s["hz"] // 2) // s["hz"] if s["hz"] else 0
-    return data, s["samples"], s["hz"], micros, s["offsets"], table.get("kind"), table.get("frames"), s["checked"], s["wrong"], s["skipped"], s["kbps"]
+    return data, s["samples"], s["hz"], micros, s["offsets"], table.get("kind"), table.get("frames"), seek_points(table), s["checked"], s["wrong"], s["skipped"], s["kbps"]
 
 
 def inspect(df: DataFrame, media: str = "media") -> DataFrame:
@@ -248,16 +306,17 @@ def inspect(df: DataFrame, media: str = "media") -> DataFrame:
     return _mapped(df, [media], INSPECTED, _inspected)
 
 
-DIGEST = [T.StructField(n, T.LongType() if k == "l" else T.StringType()) for n, k in (("payload_bytes", "l"), ("payload_sha256", "s"), ("tail_crc32", "l"), ("media_bytes", "l"), ("media_sha256", "s"), ("feature", "s"))]
+DIGEST = [T.StructField(n, T.LongType() if k == "l" else T.StringType()) for n, k in (("n_bytes", "l"), ("payload_bytes", "l"), ("payload_sha256", "s"), ("tail_crc32", "l"), ("media_bytes", "l"), ("media_sha256", "s"), ("feature", "s"))]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and digests of the stored text of each row, all taken from the stored bytes."""
+    """doc_id and digests of the stored text of each row, all taken from the stored bytes: ``store`` and ``inspect`` in one step."""
 
-    def row(media: bytes) -> tuple:
-        data, samples, hz, micros, offsets, kind, frames, checked, wrong, skipped, kbps = _inspected(media)
+    def row(text: bytes | None) -> tuple:
+        media = write_stream(payload_of(text))
+        data, samples, hz, micros, offsets, kind, frames, points, checked, wrong, skipped, kbps = _inspected(media)
         seek = zlib.crc32(struct.pack(f">{len(offsets)}Q", *offsets))
         feature = f"{kind}:frames={frames};samples={samples};hz={hz};us={micros};kbps={kbps:.3f};crc={checked - wrong}/{checked};skipped={skipped};seek={seek:08x}"
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(text or b""), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    return _mapped(store(docs.select("doc_id", "text")), ["media"], DIGEST, row).drop("media")
+    return _mapped(docs.select("doc_id", F.col("text").cast("binary").alias("text")), ["text"], DIGEST, row).drop("text")

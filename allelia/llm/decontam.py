@@ -1,17 +1,22 @@
 """Benchmark decontamination with a positional inverted index of the training tokens.
 
-Each task holds the shard of the index for its documents: sorted term ids with their positions. Test windows (13
-consecutive words; shorter items whole) start from the postings of their rarest term, counted over the whole corpus,
-and are intersected, offset by offset, with the postings of the next rarest terms until all words agree. With
-``gap`` > 0 also near matches are returned: at least ``share`` of a window's words within ``gap`` places of where they belong.
-
-Test items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass for each block; a larger benchmark
-makes more passes and no larger broadcast. Null texts have no words; items without words have no window; repeated
-item ids count once.
+``index`` stores the postings of all training words in the shared folder, partitioned by documents: a row holds the sorted terms
+of some 500 KB of documents with the places of each. Test windows (``WINDOW`` consecutive words; shorter items whole) start from the
+postings of their rarest term, counted over the whole index, and are intersected, offset by offset, with those of the next
+rarest terms until all words agree. With ``gap`` > 0 also near matches are returned: at least ``share`` of a window's words within
+``gap`` places of where they belong.
+
+Every index row must see every window, so windows go to the tasks in blocks of at most ``BLOCK_WORDS`` words or one item; a
+larger benchmark makes more passes over the index and no larger broadcast, and only one block at a time is in the driver.
+
+Null and empty texts have no words; items without words have no window; repeated item ids count once, repeated rows are
+judged alike; a long text is one row of the index; an empty table gives an empty one. Other columns stay; those called like an
+added one are replaced, and any other name is safe.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered, stored
 from .textops import Words, binary_column, blocks
 
 BLOCK_WORDS = 200_000
@@ -56,16 +62,19 @@ class Windows:
         k = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
         return np.where(self.vocab[k] == hashes, k, -1)
 
-    def search(self, term: np.ndarray, first: np.ndarray, gap: int = 0, share: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, start, exact) of the matches in rows first[i]:first[i+1] of the term ids."""
+    def search(self, shard: Shard, gap: int = 0, share: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start, exact) of the matches in the documents of an index row."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        if not len(self.length) or not len(term):
+        known = self.terms_of(shard.terms)  # both are sorted by hash, so these rise as well
+        on = known >= 0
+        if not len(self.length) or not on.any():
             return none
-        known = np.flatnonzero(term >= 0)
-        posting = known[np.argsort(term[known], kind="stable")]  # the shard of the index
-        at = np.searchsorted(term[posting], np.arange(len(self.vocab) + 1))
-        every = np.arange(len(self.length))
-        window, start, row = self.proposals(every, 0, posting, at, first)
+        posting = shard.places[np.repeat(on, shard.counts)]
+        at = np.append(0, np.cumsum(np.bincount(known[on], weights=shard.counts[on], minlength=len(self.vocab)).astype(np.int64)))
+        term = np.full(len(shard.places), -1, np.int64)
+        term[posting] = np.repeat(known[on], shard.counts[on])
+        first = shard.first
+        window, start, row = self.proposals(np.arange(len(self.length)), 0, posting, at, first)
         near = self.near(term, first, posting, at, gap, share) if gap else None
         inside = (start >= first[row]) & (start + self.length[window] <= first[row + 1])
         window, start = window[inside], start[inside]
@@ -111,40 +120,139 @@ class Windows:
         return pair[0], pair[1]
 
 
-def _counts(docs: DataFrame, windows: list[Windows]) -> list[dict[int, int]]:
-    """Occurrences of the test terms over all documents; partial counts are summed by Spark."""
-    out = []
-    for w in windows:
+class Shard:
+    """One row of the index: sorted term hashes, how often each occurs, its places, and where each document's words begin."""
 
-        def run(batches: Iterator[pa.RecordBatch], w: Windows = w) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(w.vocab) + 1, np.int64)
-            for batch in batches:
-                for _, _, data, offs in blocks(batch.column(0)):
-                    n += np.bincount(w.terms_of(Words(data, offs).hash) + 1, minlength=len(n))
-            if len(w.vocab):
-                some = np.flatnonzero(n[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(w.vocab[some].view(np.int64)), pa.array(n[1:][some])], names=["term", "n"])
+    def __init__(self, row: dict):
+        self.terms, self.counts, self.places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["places"], np.int32).astype(np.int64)
+        self.first = np.append(0, np.cumsum(np.array(row["n_words"], np.int64)))
 
-        rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        out.append({r.term: r.n for r in rows.collect()})  # at most BLOCK_WORDS terms
-    return out
 
+KEY = ["_k1", "_k2"]
 
-def item_blocks(benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_WORDS) -> list[Windows]:
-    """Windows of the items, a block at a time."""
-    out, ids, texts, n = [], [], [], 0
+
+def index(docs: DataFrame) -> DataFrame:
+    """The stored index of (_k1, _k2, doc_id, text): shard, the documents' keys, ids and numbers of words, and the postings."""
+    id_type = docs.schema["doc_id"].dataType
+    listed = [T.StructField(c, T.ArrayType(T.LongType())) for c in KEY] + [T.StructField("doc_id", T.ArrayType(id_type)), T.StructField("n_words", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([T.StructField("shard", T.StringType()), *listed, *(T.StructField(c, T.BinaryType()) for c in ("terms", "counts", "places"))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in blocks(batch.column(3)):
+                words = Words(data, offs)
+                order = np.argsort(words.hash, kind="stable")
+                term, counts = np.unique(words.hash[order], return_counts=True)
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                lists = [whole(batch.column(k).slice(a, b - a)) for k in range(3)] + [whole(pa.array(words.counts(), pa.int32()))]
+                raw = [pa.array([x.tobytes()], pa.binary()) for x in (term, counts.astype(np.int32), order.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *raw], names=schema.names)  # kept once it is stored
+
+    return stored(docs.select(*KEY, "doc_id", "text").mapInArrow(build, schema))
+
+
+def _counts(index_: DataFrame, windows: Windows) -> dict[int, int]:
+    """Occurrences of the test terms in the index, at most those of a block; partial counts are summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(windows.vocab) + 1, np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                np.add.at(n, windows.terms_of(np.frombuffer(terms, np.uint64)) + 1, np.frombuffer(counts, np.int32))
+        some = np.flatnonzero(n[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(windows.vocab[some].view(np.int64)), pa.array(n[1:][some])], names=["term", "n"])
+
+    rows = index_.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r.term: r.n for r in rows.collect()}
+
+
+def item_blocks(benchmark: DataFrame, size: int = WINDOW, limit: int = BLOCK_WORDS) -> Iterator[Windows]:
+    """Windows of the items, a block at a time; no block for no items."""
+    ids, texts, n = [], [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
         n += len(r.t) // 2 + 1
         if n >= limit:
-            out.append(Windows(ids, texts, size))
+            yield Windows(ids, texts, size)
             ids, texts, n = [], [], 0
-    return out + [Windows(ids, texts, size)] if ids or not out else out
+    if ids:
+        yield Windows(ids, texts, size)
 
 
 SPAN = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("exact", T.BooleanType())])
+FOUND = T.StructType([T.StructField("shard", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("matches", T.ArrayType(SPAN))])
+
+
+def _found(index_: DataFrame, w: Windows, gap: int, share: float, with_spans: bool) -> DataFrame:
+    """(shard, row, items, runs, matches) of the documents with a match; runs are the maximal runs of hit words, flat."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = to_arrow_schema(FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entry in batch.to_pylist():
+                shard, out = Shard(entry), []
+                window, start, exact = w.search(shard, gap, share)
+                row = np.searchsorted(shard.first, start, "right") - 1
+                order = np.lexsort((start, row))
+                window, start, exact, row = (x[order] for x in (window, start, exact, row))
+                cut = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    k, s, e = window[lo:hi], start[lo:hi] - shard.first[row[lo]], exact[lo:hi]
+                    a, z = s[e], s[e] + w.length[k[e]]
+                    upto = np.maximum.accumulate(z) if len(z) else z
+                    new = np.append(True, a[1:] > upto[:-1]) if len(a) else np.zeros(0, bool)
+                    ends = upto[np.append(new[1:], True)] if len(a) else a
+                    items = [w.items[i] for i in np.unique(w.item[k[e]]).tolist()]
+                    spans = [{"item_id": w.items[w.item[x]], "start": y, "end": y + int(w.length[x]), "exact": v} for x, y, v in zip(k.tolist(), s.tolist(), e.tolist())] if with_spans else []
+                    out.append({"shard": entry["shard"], "row": int(row[lo]), "items": items, "runs": np.stack([a[new], ends], axis=1).ravel(), "matches": spans})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return index_.select("shard", "n_words", "terms", "counts", "places").mapInArrow(run, FOUND)
+
+
+def search(index_: DataFrame, benchmark: DataFrame, size: int = WINDOW, gap: int = 0, share: float = 0.8, with_spans: bool = True, limit: int = BLOCK_WORDS) -> DataFrame:
+    """(_k1, _k2, doc_id, n_words, n_hit, items, matches) of each document of the index."""
+    found = None
+    for w in item_blocks(benchmark, size, limit):
+        w.ordered(_counts(index_, w))
+        some = stored(_found(index_, w, gap, share, with_spans))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = index_.sparkSession.createDataFrame([], FOUND)
+    pairs = F.expr("transform(sequence(0, size(runs) - 1, 2), i -> struct(runs[i] as lo, runs[i + 1] as hi))")
+    found = found.withColumn("runs", F.when(F.size("runs") > 0, pairs))
+    # runs of several blocks may overlap: in order of their starts, each adds what lies beyond all before it
+    step = "(s, r) -> struct(greatest(s.hi, r.hi) as hi, s.n + greatest(0L, r.hi - greatest(s.hi, r.lo)) as n)"
+    hit = F.expr(f"aggregate(array_sort(flatten(runs)), struct(0L as hi, 0L as n), {step}, s -> s.n)")
+    found = found.groupBy("shard", "row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"), F.collect_list("runs").alias("runs"))
+    found = found.select("shard", "row", "items", F.array_sort("matches", lambda x, y: _in_order(x, y)).alias("matches"), hit.alias("n_hit"))
+    rows = index_.select("shard", F.posexplode(F.arrays_zip(*KEY, "doc_id", "n_words")).alias("row", "d")).select("shard", "row", "d.*")
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c)
+    out = rows.join(found, ["shard", "row"], "left")
+    return out.select(*KEY, "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), none("items", "array<string>"), none("matches", SPAN_SQL))
+
+
+SPAN_SQL = "array<struct<item_id: string, start: bigint, end: bigint, exact: boolean>>"
+
+
+def _in_order(x: F.Column, y: F.Column) -> F.Column:
+    """Matches by start, then item."""
+    lower = (x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["item_id"] < y["item_id"]))
+    same = (x["start"] == y["start"]) & (x["item_id"] == y["item_id"])
+    return F.when(lower, -1).when(same, 0).otherwise(1)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add the keys of a row, which equal rows share."""
+    return docs.withColumns({"_k1": F.xxhash64(doc_id, text), "_k2": F.xxhash64(F.lit(1), doc_id, text)})
+
+
+ADDED = ("n_words", "n_hit", "items", "matches")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, gap: int = 0, share: float = 0.8, with_spans: bool = True, limit: int = BLOCK_WORDS) -> DataFrame:
@@ -152,53 +260,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, gap: int
 
     ``matches`` holds word spans [start, end) with their item, exact or near; it is left empty if with_spans is False.
     """
-    tests = item_blocks(benchmark, size, limit)
-    for w, seen in zip(tests, _counts(docs, tests)):
-        w.ordered(seen)
-    added = ("n_words", "n_hit", "items", "matches", "_hit")
-    keep = [c for c in docs.columns if c not in added]
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(SPAN)), T.StructField("_hit", T.ArrayType(T.LongType()))]
-    schema = T.StructType([docs.schema[c] for c in keep] + fields)
-    span_type = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("exact", pa.bool_())]))
-
-    def search_pass(w: Windows, fresh: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                get = lambda c: batch.column(batch.schema.get_field_index(c))
-                for a, b, data, offs in blocks(get("text")):
-                    words = Words(data, offs)
-                    term = w.terms_of(words.hash)
-                    window, start, exact = w.search(term, words.first, gap, share)
-                    row = np.searchsorted(words.first, start, "right") - 1
-                    local = start - words.first[row]
-                    items = [set() for _ in range(b - a)] if fresh else [set(x) for x in get("items").slice(a, b - a).to_pylist()]
-                    spans = [[] for _ in range(b - a)] if fresh else get("matches").slice(a, b - a).to_pylist()
-                    hit = [[] for _ in range(b - a)] if fresh else get("_hit").slice(a, b - a).to_pylist()
-                    for r, k, s, e in zip(row.tolist(), window.tolist(), local.tolist(), exact.tolist()):
-                        n = int(w.length[k])
-                        if e:
-                            items[r].add(w.items[w.item[k]])
-                            hit[r].append(s << 8 | n)
-                        if with_spans:
-                            spans[r].append({"item_id": w.items[w.item[k]], "start": s, "end": s + n, "exact": e})
-                    new = [
-                        pa.array(words.counts(), pa.int64()),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                        pa.array([sorted(x, key=lambda m: (m["start"], m["item_id"])) for x in spans], span_type),
-                        pa.array([sorted(set(x)) for x in hit], pa.list_(pa.int64())),
-                    ]
-                    yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in keep] + new, names=[*keep, *(f.name for f in fields)])
-
-        return run
-
-    out = docs.select(*keep)
-    for k, w in enumerate(tests):
-        out = out.mapInArrow(search_pass(w, k == 0), schema)
-    # covered words: the hits are sorted by start, so each adds what lies beyond all before it
-    step = lambda s, h: F.struct(F.greatest(s["end"], F.shiftright(h, 8) + h.bitwiseAND(F.lit(255).cast("long"))).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), F.shiftright(h, 8) + h.bitwiseAND(F.lit(255).cast("long")) - F.greatest(s["end"], F.shiftright(h, 8)))).alias("n"))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-    n_hit = F.aggregate("_hit", zero, step, lambda s: s["n"])
-    return out.withColumn("n_hit", n_hit).drop("_hit")
+    rows, names = numbered(docs.select(*(c for c in docs.columns if c not in ADDED)))
+    rows = keyed(rows, names["doc_id"], names["text"])
+    found = search(index(rows.select(*KEY, F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"))), benchmark, size, gap, share, with_spans, limit)
+    out = rows.join(found.drop("doc_id").dropDuplicates(KEY), KEY)
+    return out.select(*(F.col(c).alias(n) for n, c in names.items()), *ADDED)
 
 
 def contaminated() -> F.Column:
@@ -206,6 +272,15 @@ def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that the rule leaves."""
+    rows, names = numbered(docs)
+    rows = keyed(rows, names["doc_id"], names["text"])
+    found = search(index(rows.select(*KEY, F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"))), benchmark, with_spans=False)
+    gone = found.where(contaminated()).select(*KEY).distinct()
+    return rows.join(gone, KEY, "left_anti").select(*(F.col(c).alias(n) for n, c in names.items()))
+
+
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = matches(docs.select("doc_id", "text"), benchmark, with_spans=False)
+    found = search(index(keyed(docs.select("doc_id", "text"))), benchmark, with_spans=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

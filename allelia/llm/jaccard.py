@@ -13,7 +13,9 @@ emit a spanning forest of the candidates, never all pairs. Candidate components
 of bounded bytes, and every pair of a component is verified exactly. Results per set are its links and its class.
 
 Equal sets are collapsed from the start and stand for all their documents. Rows without words are equal when their
-texts are; null is an empty text. Texts of one to four words have one shingle of all their words.
+texts are; null is an empty text. Texts of one to four words have one shingle of all their words. Repeated rows are linked to each
+other; ties for the class go to the smallest doc_id, nulls aside; a long text is one block; an empty table gives an empty one. Only
+doc_id and text are read, so other columns, however called, play no part.
 """
 
 from __future__ import annotations
@@ -77,10 +79,11 @@ def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFram
                         keys[1].append([])
                         continue
                     most = U64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
-                    which, token = np.nonzero(tokens[None, :] * odd[:runs, None] <= most)
+                    found = [np.flatnonzero(tokens * o <= most) for o in odd[:runs]]  # a run at a time: a long text stays small
+                    which, token = np.repeat(np.arange(runs), [len(f) for f in found]), np.concatenate(found)
                     path = mix(tokens[token] ^ salt[which]) & ~U64(2**RUN_BITS - 1) | which.astype(U64)
                     keys[0].append(path.view(np.int64))
-                    least = tokens[np.argmin(tokens[None, :] * odd[runs:, None], axis=1)]
+                    least = tokens[[np.argmin(tokens * o) for o in odd[runs:]]]
                     keys[1].append(mix(least ^ salt[runs:]).view(np.int64))
                 new = [pa.array(sid, pa.binary()), pa.array(size, pa.int32()), pa.array(marks, pa.binary())] + [pa.array(x, pa.list_(pa.int64())) for x in keys]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *new], names=["doc_id", "text_key", "sid", "n", "sketch", "first", "deeper"])

@@ -5,12 +5,14 @@ IDF (at most ``RARE``) and the rarest word of its mandatory key phrases, which e
 by the share of template words that stand where they belong. It counts when the score reaches ``share`` and every
 mandatory key phrase of the template stands in its place. The base phrases are templates whose words are all mandatory.
 
-Null and empty texts have no words, no places, no labels and score 0. Ties of rarity go to the earlier word.
+Null and empty texts have no words, no places, no labels and score 0. Ties of rarity go to the earlier word. Repeated rows are judged
+alike, a long text is one block, an empty table gives an empty one. Other columns stay; those called like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,18 +49,75 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense", ("released into the public domain",)),
     ("released under the mit license", "mit", ("mit license",)),
 )
+#: Bodies of licences and notices whole, label, mandatory key phrases.
+TEXTS = (
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+        without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+        whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+        FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "mit",
+        ("the above copyright notice and this permission notice shall be included",),
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+        "bsd-3-clause",
+        ("may be used to endorse or promote products",),
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+        AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "isc",
+        ("and the author disclaims all warranties",),
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "apache-2.0",
+        ("apache license version 2 0",),
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3
+        of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        "gpl-3.0-or-later",
+        ("either version 3 of the license",),
+    ),
+    (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission
+        is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This
+        notice may not be removed or altered from any source distribution.""",
+        "zlib",
+        ("altered source versions must be plainly marked",),
+    ),
+)
+
+
+def _words(text: str) -> list[str]:
+    return re.findall("[0-9a-z]+", text.lower())
 
 
 class Index:
     """Templates as term ids of the sorted licence vocabulary."""
 
     def __init__(self):
-        texts = [p.split() for p, _ in BASE] + [t.split() for t, _, _ in TEMPLATES]
-        self.labels = [x for _, x in BASE] + [x for _, x, _ in TEMPLATES]
+        templates = TEMPLATES + TEXTS
+        texts = [p.split() for p, _ in BASE] + [_words(t) for t, _, _ in templates]
+        self.labels = [x for _, x in BASE] + [x for _, x, _ in templates]
         self.vocab = np.unique(word_hashes(sorted({w for t in texts for w in t})))
         self.terms = [np.searchsorted(self.vocab, word_hashes(t)) for t in texts]
         self.must = [np.ones(len(t), bool) for t in texts]
-        for k, (_, _, phrases) in enumerate(TEMPLATES, len(BASE)):
+        for k, (_, _, phrases) in enumerate(templates, len(BASE)):
             self.must[k][:] = False
             for phrase in map(str.split, phrases):
                 at = next(i for i in range(len(texts[k])) if texts[k][i : i + len(phrase)] == phrase)

@@ -10,7 +10,8 @@ loses both lines, so every run of two lines or more that occurs earlier goes, wh
 consist of such pairs and would add nothing. The first occurrence of each line always stays.
 
 Rows with equal doc_id and text are one document: repeated rows are treated alike and stay. A null text has no lines
-and stays null. A text that loses every line becomes empty. Other columns stay; clashing names are replaced.
+and stays null. A text that loses every line becomes empty. An empty table gives an empty one. Other columns stay; those called like
+an added one are replaced, and any other name is safe.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import numbered, stored
 
 EVERY = 4
 ADDED = ("n_lines", "n_removed", "n_chunks_removed")
@@ -48,9 +49,11 @@ def _chunked(rows: DataFrame, every: int | None) -> DataFrame:
 _BODY = "array_join(slice(_lines, {c}.at, {c}.n), '\n')"
 
 
-def _judged(docs: DataFrame, keep: list[str], every: int | None) -> DataFrame:
-    """The documents with _lines, _chunks and _gone, the first lines of the chunks that occur earlier."""
-    keyed = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_key"))
+def _judged(docs: DataFrame, every: int | None) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with _lines, _chunks and _gone, the first lines of the chunks that occur earlier, beside doc_id and text; and the
+    names of all other columns by the documents' own."""
+    rows, names = numbered(docs.select("doc_id", "text", *(c for c in docs.columns if c not in (*ADDED, "doc_id", "text"))))
+    keyed = rows.withColumnsRenamed({names.pop("doc_id"): "doc_id", names.pop("text"): "text"}).withColumn("_key", F.xxhash64("doc_id", "text"))
     cut = _chunked(keyed.select("_key", "doc_id", "text"), every)
     hashed = f"transform(filter(_chunks, c -> c.n > 1), c -> struct(c.at as at, c.n as n, xxhash64({_BODY.format(c='c')}) as h, length({_BODY.format(c='c')}) as size))"
     chunks = stored(cut.select("_key", "doc_id", F.explode(F.expr(hashed)).alias("c")).select("_key", "doc_id", "c.*"))
@@ -66,38 +69,37 @@ def _judged(docs: DataFrame, keep: list[str], every: int | None) -> DataFrame:
     drop = later.groupBy("_key").agg(F.collect_set(F.struct("doc_id", "at", "n", "body")).alias("_later"))
     whole = keyed.join(drop, "_key", "left")
     gone = f"transform(filter(_later, r -> r.doc_id <=> doc_id and r.body = {_BODY.format(c='r')}), r -> r.at)"
-    return _chunked(whole, every).withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
+    return _chunked(whole, every).withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)"))), names
 
 
-def _made(whole: DataFrame, keep: list[str], text: Column, removed: Column, chunks: Column) -> DataFrame:
-    """The columns of keep with the text that is left, and those of ADDED."""
+def _made(whole: DataFrame, docs: DataFrame, names: dict[str, str], text: Column, removed: Column, chunks: Column) -> DataFrame:
+    """The columns of docs with the text that is left, and those of ADDED."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(text)
     # one struct, taken apart by a generator: a later filter on these columns stays above it and computes nothing again
     made = F.struct(text.alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), chunks.cast("long").alias("n_chunks_removed"))
-    out = whole.select(*(c for c in keep if c != "text"), F.explode_outer(F.array(made)).alias("_made"))
-    return out.select(*(F.col("_made.text") if c == "text" else F.col(c) for c in keep), *(F.col(f"_made.{c}") for c in ADDED))
+    out = whole.select("doc_id", *names.values(), F.explode_outer(F.array(made)).alias("_made"))
+    shown = {"doc_id": F.col("doc_id"), "text": F.col("_made.text")} | {n: F.col(c) for n, c in names.items()}
+    return out.select(*(shown[c].alias(c) for c in docs.columns if c in shown), *(F.col(f"_made.{c}") for c in ADDED))
 
 
 def dedup(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """Documents without repeated chunks, with n_lines (before), n_removed lines and n_chunks_removed added."""
-    keep = [c for c in docs.columns if c not in ADDED]
-    whole = _judged(docs, keep, every)
+    whole, names = _judged(docs, every)
     whole = whole.withColumn("_kept", F.expr("filter(_chunks, c -> not array_contains(_gone, c.at))"))
     removed = F.expr("aggregate(filter(_chunks, c -> array_contains(_gone, c.at)), 0, (s, c) -> s + c.n)")
     text = F.expr(f"array_join(transform(_kept, c -> {_BODY.format(c='c')}), '\n')")
-    return _made(whole, keep, text, removed, F.size("_gone"))
+    return _made(whole, docs, names, text, removed, F.size("_gone"))
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """Documents without the runs of two lines or more that occur earlier; n_chunks_removed counts the removed runs."""
-    keep = [c for c in docs.columns if c not in ADDED]
-    whole = _judged(docs, keep, None)
+    whole, names = _judged(docs, None)
     whole = whole.withColumn("_out", F.expr("array_distinct(flatten(transform(_gone, a -> array(a, a + 1))))"))
     whole = whole.withColumn("_left", F.expr("array_except(sequence(1, size(_lines)), _out)"))
     text = F.expr("array_join(transform(_left, i -> _lines[i - 1]), '\n')")
     runs = F.size(F.expr("array_except(_out, transform(_out, i -> i + 1))"))
-    return _made(whole, keep, text, F.size("_out"), runs)
+    return _made(whole, docs, names, text, F.size("_out"), runs)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 The vocabulary (pieces, scores, kinds) is read from a model file whose path is a parameter; merging, byte fallback and
 decoding are done here. A text gets the dummy prefix, spaces become U+2581, and it falls into segments before each
 run of U+2581, which no merge crosses when no piece holds U+2581 after another character (checked on loading).
-Each distinct segment of a block is merged once.
+Each distinct segment of a block is merged once; equal hashes only propose equal segments, which are then compared.
 
 One round over all open segments: look up the rank of each adjacent pair, take the minimum per segment, merge its
 occurrences leftmost first without overlap, compact, and close the segments without a pair. Merging all occurrences
 at once equals the library's order unless a merge makes a new pair that ranks as high as the pair itself; such
 segments are rare and go through a small heap, one merge at a time.
 
-Null and empty texts have no ids and decode to "". Repeated rows and extra columns are kept as they are.
+Null and empty texts have no ids and decode to "". Repeated rows are kept as they are, an empty table gives an empty one. Other columns
+stay; one that is called like an added column is replaced. A long text is one block. On loading, probe texts are compared with
+the library, so a model with other normaliser options or pieces of users is refused.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import blocks, mix, powers, seeds
+from .textops import blocks, flat_list, mix, powers, seeds
 
 SPACE = 0x2581
 NONE = np.int64(1 << 40)
-CACHED_SEGMENTS = 1_500_000  # of a worker, to save work; about 60 MB
+CACHED_CHARACTERS = 2_500_000  # of a worker and partition, to save work; some 30 MB with their ids
+#: Texts on which the library and this module must agree when a model is loaded.
+PROBES = ("", " ", "  two  spaces ", "a\u00a0b\u3000c", "\u2460 \ufb01 \u00c5 A\u030a \u1e9b\u0323", "tab\tline\n\r\nend", "\u200b\ufeff\u00ad", "UPPER lower", "<s> </s> <unk> <0x41>", "12345 1,000.5", "\u6f22\u5b57 \U0001f600")
 
 
 class PieceModel:
@@ -71,10 +75,17 @@ class PieceModel:
         self.out_at = np.append(0, np.cumsum(self.out_len))
         self.out = np.frombuffer(b"".join(out), np.uint8)
         self.forget()
+        for probe in PROBES:
+            raw = probe.encode()
+            if self.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() != sp.encode(probe):
+                raise ValueError(f"this vocabulary treats {probe!r} in another way")
 
     def forget(self) -> None:
+        """Drop what was kept of earlier blocks."""
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.codes, self.code_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._table = None
 
     def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or NONE) and merged symbol of pairs."""
@@ -143,7 +154,7 @@ class PieceModel:
 
     def one_by_one(self, sym: list[int]) -> list[int]:
         """The best pair first, the leftmost of equals."""
-        table = getattr(self, "_table", None)
+        table = self._table
         if table is None:
             table = self._table = {int(k): (int(r), int(m)) for k, r, m in zip(self.pair, self.rank, self.made)}
         n = len(sym)
@@ -202,27 +213,35 @@ class PieceModel:
         begins[at[:-1][np.diff(at) > 0]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(code))
+        size = end - start
         up, down = powers(len(code) + 1)
         total = np.append(np.uint64(0), np.cumsum(mix(code.astype(np.uint64) + seeds(1, 5)) * up[: len(code)]))
         key, pick, inverse = np.unique(mix((total[end] - total[start]) * down[start]), return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_SEGMENTS:
+        del total
+        if len(self.codes) > CACHED_CHARACTERS:
             self.forget()
         place = np.searchsorted(self.known, key)
         near = np.minimum(place, max(len(self.known) - 1, 0))
         slot = np.where(self.known[near] == key, self.slot[near], -1) if len(self.known) else np.full(len(key), -1)
+        old = np.flatnonzero(slot >= 0)
+        if not (_equal(code, start, size, code, start[pick][inverse], size[pick][inverse]) and _equal(self.codes, self.code_at[slot[old]], np.diff(self.code_at)[slot[old]], code, start[pick[old]], size[pick[old]])):
+            # unlike segments with one hash: this block goes without
+            ids, first = self.symbols_to_ids(*self.merged(self.of_char[code], np.append(start, len(code))))
+            return ids, first[np.searchsorted(start, at)]
         if len(new := np.flatnonzero(slot < 0)):
-            a, size = start[pick[new]], (end - start)[pick[new]]
-            first = np.append(0, np.cumsum(size))
-            take = np.repeat(a - first[:-1], size) + np.arange(first[-1])
-            ids, first = self.symbols_to_ids(*self.merged(self.of_char[code[take]], first))
+            a, wide = start[pick[new]], size[pick[new]]
+            first = np.append(0, np.cumsum(wide))
+            taken = code[np.repeat(a - first[:-1], wide) + np.arange(first[-1])]
+            self.codes, self.code_at = np.append(self.codes, taken.astype(np.uint32)), np.append(self.code_at, self.code_at[-1] + first[1:])
+            ids, first = self.symbols_to_ids(*self.merged(self.of_char[taken], first))
             slot[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known, self.slot = np.insert(self.known, place[new], key[new]), np.insert(self.slot, place[new], slot[new])
             self.at = np.append(self.at, self.at[-1] + first[1:])
             self.ids = np.append(self.ids, ids)
         used = slot[inverse]
-        size = (self.at[1:] - self.at[:-1])[used]
-        out = np.append(0, np.cumsum(size))
-        ids = self.ids[np.repeat(self.at[used] - out[:-1], size) + np.arange(out[-1])]
+        many = (self.at[1:] - self.at[:-1])[used]
+        out = np.append(0, np.cumsum(many))
+        ids = self.ids[np.repeat(self.at[used] - out[:-1], many) + np.arange(out[-1])]
         return ids, out[np.searchsorted(start, at)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -276,7 +295,16 @@ class PieceModel:
         return bytes(out)
 
 
-@lru_cache(maxsize=2)
+def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether the slices of a are those of b."""
+    if not (a_size == b_size).all():
+        return False
+    first = np.append(0, np.cumsum(a_size))
+    inside = np.arange(first[-1])
+    return bool((a[np.repeat(a_at - first[:-1], a_size) + inside] == b[np.repeat(b_at - first[:-1], a_size) + inside]).all())
+
+
+@lru_cache(maxsize=1)
 def model(path: str | None) -> PieceModel:
     if path is None:
         import public_tokenizers
@@ -285,46 +313,62 @@ def model(path: str | None) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(df: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column ``ids`` array<int>; the text column goes unless it is asked for again by a join.
+def _lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat, pa.int32()))
 
-    model_path None takes the installed public vocabulary. A column that is already called ``ids`` is replaced.
-    """
-    others = [c for c in df.columns if c not in (text, ids)]
-    schema = T.StructType([df.schema[c] for c in others] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+
+def _mapped(df: DataFrame, added: list[T.StructField], others: list[str], read: str, model_path: str | None, made) -> DataFrame:
+    """Add fields to the columns ``others``; ``made`` yields (rows from, to, new columns) for a batch's column ``read``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in batches:
-            for a, b, data, offs in blocks(batch.column(batch.schema.get_field_index(text))):
-                flat, first = m.encode(data, offs)
-                column = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in others] + [column], names=[*others, ids])
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            for a, b, new in made(m, get(read)):
+                yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in others] + new, names=[*others, *(f.name for f in added)])
+        m.forget()
+
+    return df.select(*others, *([] if read in others else [read])).mapInArrow(run, T.StructType([df.schema[c] for c in others] + added))
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def encode(df: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Replace the column ``text`` by ``ids`` array<int>. model_path None takes the installed public vocabulary."""
+
+    def made(m: PieceModel, column: pa.Array):
+        for a, b, data, offs in blocks(column):
+            yield a, b, [_lists(*m.encode(data, offs))]
 
-    return df.select(*others, text).mapInArrow(run, schema)
+    return _mapped(df, [T.StructField(ids, IDS)], [c for c in df.columns if c not in (text, ids)], text, model_path, made)
 
 
 def decode(df: DataFrame, model_path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
     """Add the column ``text`` that the array column ``ids`` stands for; null ids decode to an empty text."""
-    others = [c for c in df.columns if c != text]
-    schema = T.StructType([df.schema[c] for c in others] + [T.StructField(text, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                column = part.column(part.schema.get_field_index(ids))
-                size = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = m.decode(flat, np.append(0, np.cumsum(size)))
-                out = pa.array(rows, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in others] + [out], names=[*others, text])
+    def made(m: PieceModel, column: pa.Array):
+        for a in range(0, len(column), 256):
+            part = column.slice(a, 256)
+            flat, first = flat_list(part)
+            yield a, a + len(part), [pa.array(m.decode(flat.astype(np.int64), first), pa.binary()).cast(pa.string())]
+
+    return _mapped(df, [T.StructField(text, T.StringType())], [c for c in df.columns if c != text], ids, model_path, made)
+
+
+def round_trip(df: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one step, which needs one Python process for a task instead of two."""
+
+    def made(m: PieceModel, column: pa.Array):
+        for a, b, data, offs in blocks(column):
+            flat, first = m.encode(data, offs)
+            yield a, b, [_lists(flat, first), pa.array(m.decode(flat.astype(np.int64), first), pa.binary()).cast(pa.string())]
 
-    return df.select(*others).mapInArrow(run, schema)
+    others = [c for c in df.columns if c not in (text, ids, decoded)]
+    return _mapped(df, [T.StructField(ids, IDS), T.StructField(decoded, T.StringType())], others, text, model_path, made)
 
 
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
-    both = decode(encode(docs.select("doc_id", "text"), model_path), model_path, text="decoded")
+    both = round_trip(docs.select("doc_id", "text"), model_path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -49,14 +49,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digests(_table(spark, sf_dir, "documents"))
+    return lines.passage_digests(_table(spark, sf_dir, "documents"))
 
 
-def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.passage_digests(_table(spark, sf_dir, "documents"))
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_passages, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_chunks, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -102,7 +102,17 @@ lv AS (SELECT r, d, bits >> ({sharding.BITS} - d) AS q, n_bytes FROM b, range(0,
 fit AS (SELECT d, q FROM lv GROUP BY d, q HAVING sum(n_bytes) <= {sharding.LIMIT}),
 dep AS (SELECT r, min(d) AS depth FROM lv JOIN fit USING (d, q) GROUP BY r)
 SELECT doc_id, substr(to_base(bits, 2, {sharding.BITS}), 1, depth) AS shard, CAST(depth AS INT) AS depth, CAST(n_bytes AS BIGINT) AS n_bytes, n_bytes > {sharding.LIMIT} AS oversize FROM b JOIN dep USING (r)""",
-    "op10_line_dedup": f"""
+    "op10_line_dedup": """
+WITH d AS (SELECT doc_id, text IS NULL AS lost, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, lost, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+p AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER w AS body, lead(i) OVER w AS nxt FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM p WHERE nxt IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM later UNION ALL SELECT doc_id, i + 1 FROM later)),
+m AS (SELECT l.*, gone.i IS NOT NULL AS out FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i),
+k AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m)
+SELECT doc_id, CAST(CASE WHEN any_value(lost) THEN 0 ELSE count(*) END AS BIGINT) AS n_lines, CAST(count(*) FILTER (out) AS BIGINT) AS n_removed,
+  CAST(count(*) FILTER (begins) AS BIGINT) AS n_chunks_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT out), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
+    "op10_line_chunks": f"""
 WITH d AS (SELECT doc_id, text IS NULL AS lost, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, lost, len(ls) AS n, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS hh FROM l),

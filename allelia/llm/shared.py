@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a new folder is made and set.
+    Only where that is unset and all tasks run in the driver's process (a ``local`` master), a new folder is made and set.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="allelia-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -42,14 +44,14 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"), so
-    rounds grow with the logarithm of the size. Edges stay distributed; each round is a written table.
+    rounds grow with the logarithm of the size. Edges stay distributed; each round is a written table. No edges give no nodes.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         star = both.where("b > a").join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -59,7 +61,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # settled once every node has one edge, to a node without any
         if now.groupBy("a").count().where("count > 1").isEmpty() and now.join(apart(now.select(F.col("b").alias("a")).distinct()), "a", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))

@@ -8,8 +8,10 @@ Training takes at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id (all
 only one. Folds are fitted by Spark tasks, and every whole text is scored. Features are the distinct words of a text,
 hashed to ``DIMS`` columns, and four numbers on its form; each fit chooses the words that go with its label.
 
-A label that is null or a document that is missing is left out of the fit. Null and empty texts are scored by the
-intercepts. Without any labelled row, or with one class only, the probability is the share of positives (0 for none).
+A label that is null or a document that is missing is left out of the fit; of several labels or texts of one doc_id one is taken, the
+same in every run. Null and empty texts are scored by the intercepts; repeated rows are scored alike; a long text is one
+block. Without any labelled row, or with one class only, the probability is near 0 or 1 as the class is (0 for none). An
+empty table gives an empty one. Other columns stay; those called like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -51,38 +53,59 @@ def features(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.n
     return (key % dims).astype(np.int32), first, shape
 
 
-def select(column: np.ndarray, first: np.ndarray, y: np.ndarray, dims: int = DIMS) -> np.ndarray:
+CHUNK = 1024
+
+
+def _chunks(column: np.ndarray, first: np.ndarray, on: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row of each word in the chunk, words) of the rows that take part, ``CHUNK`` rows at a time."""
+    for a in range(0, len(on), CHUNK):
+        some = on[a : a + CHUNK]
+        size = np.diff(first[a : a + len(some) + 1])
+        words = np.repeat(some, size)
+        place = np.cumsum(some) - 1
+        yield a + np.flatnonzero(some), np.repeat(place, size)[words], column[first[a] : first[a + len(some)]][words]
+
+
+def select(column: np.ndarray, first: np.ndarray, y: np.ndarray, on: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """The words that go with the label, at most ``CHOSEN``: those farthest from independence in standard deviations."""
-    row = np.repeat(np.arange(len(y)), np.diff(first))
-    holds, hits = np.bincount(column, minlength=dims), np.bincount(column, weights=y[row], minlength=dims)
-    share = y.mean()
+    holds, hits = np.zeros(dims), np.zeros(dims)
+    for rows, row, words in _chunks(column, first, on):
+        holds += np.bincount(words, minlength=dims)
+        hits += np.bincount(words, weights=y[rows][row], minlength=dims)
+    share = y[on].mean()
     z = np.abs(hits - holds * share) / np.sqrt(np.maximum(holds, 1) * share * (1 - share))
     fit = np.flatnonzero((holds >= LEAST_ROWS) & (z > LEAST_Z))
     return np.sort(fit[np.argsort(-z[fit], kind="stable")[:CHOSEN]])
 
 
-def fit(column: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Logistic regression with an L2 penalty by Newton's method: weights of the words, of the extra columns, and the intercept."""
+def fit(column: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray, on: np.ndarray | None = None, dims: int = DIMS) -> np.ndarray:
+    """Logistic regression with an L2 penalty by Newton's method on the rows ``on`` (None: all): weights of the words, of the extra
+    columns, and the intercept. Slope and curvature are summed over chunks of rows, so only a chunk is dense."""
+    on = np.ones(len(y), bool) if on is None else on
     out = np.zeros(dims + extra.shape[1] + 1)
-    if not len(y) or y.min() == y.max():
-        out[-1] = 30.0 if len(y) and y[0] else -30.0
+    if not on.any() or y[on].min() == y[on].max():
+        out[-1] = 30.0 if on.any() and y[on][0] else -30.0
         return out
-    chosen = select(column, first, y, dims)
+    chosen = select(column, first, y, on, dims)
     place = np.full(dims, -1)
     place[chosen] = np.arange(len(chosen))
-    row = np.repeat(np.arange(len(y)), np.diff(first))
-    on = place[column] >= 0
-    x = np.zeros((len(y), len(chosen) + extra.shape[1] + 1), np.float32)
-    x[row[on], place[column[on]]] = 1
-    x[:, len(chosen) : -1] = extra
-    x[:, -1] = 1
-    w = np.zeros(x.shape[1])
+    kept = []
+    for rows, row, words in _chunks(column, first, on):
+        hit = place[words] >= 0
+        kept.append((rows, row[hit], place[words[hit]]))
+    w = np.zeros(len(chosen) + extra.shape[1] + 1)
     hold = np.full(len(w), PENALTY)
     hold[-1] = 1e-6
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + hold * w
-        curve = (x * (p * (1 - p))[:, None].astype(np.float32)).T @ x + np.diag(hold)
+        slope, curve = hold * w, np.diag(hold)
+        for rows, row, words in kept:
+            x = np.zeros((len(rows), len(w)))
+            x[row, words] = 1
+            x[:, len(chosen) : -1] = extra[rows]
+            x[:, -1] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (p - y[rows])
+            curve += (x * (p * (1 - p))[:, None]).T @ x
         step = np.linalg.solve(curve, slope)
         w = w - step * min(1.0, 5.0 / np.abs(step).max())
         if np.abs(step).max() < 1e-4:
@@ -101,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     """The weights of the chain."""
     spark = docs.sparkSession
     wanted = [F.when(F.col(source).isNotNull(), (F.col(source) == value).cast("int")).alias(f"y{k}") for k, (_, source, value) in enumerate(categories)]
-    known = labels.where("doc_id is not null").select("doc_id", *wanted).dropna().dropDuplicates(["doc_id"])
+    ys = [f"y{k}" for k in range(len(categories))]
+    known = labels.where("doc_id is not null").select("doc_id", *wanted).dropna().groupBy("doc_id").agg(F.min(F.struct(*ys)).alias("y")).select("doc_id", "y.*")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
                 column, first, shape = features(data, offs)
                 yield pa.RecordBatch.from_arrays([get(c).slice(a, b - a) for c in ("doc_id", *ys)] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(column)), pa.array(list(shape), pa.list_(pa.float64()))], names=["doc_id", *ys, "columns", "shape"])
 
-    ys = [f"y{k}" for k in range(len(categories))]
     schema = "doc_id long, " + "".join(f"{y} int, " for y in ys) + "columns array<int>, shape array<double>"
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows of a few numbers
-    got = rows.select("doc_id", *ys, "text").mapInArrow(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    # one text for each id, however often it is there; equal ones are collapsed before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), *(F.first(y).alias(y) for y in ys)).select("doc_id", *ys, "t.text")
+    got = rows.mapInArrow(run, schema).toPandas().sort_values("doc_id", ignore_index=True)
     size = np.array([len(x) for x in got["columns"]], np.int64)
     first = np.append(0, np.cumsum(size))
     column = np.concatenate([*got["columns"].tolist(), np.zeros(0, np.int32)]).astype(np.int32)
@@ -126,12 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
 
         def fold_fit(parts: Iterator[pd.DataFrame], y: np.ndarray = y, extra: np.ndarray = extra) -> Iterator[pd.DataFrame]:
             column, first, fold = held.value
-            size = np.diff(first)
             for part in parts:
                 for k in part["id"].tolist():
                     on = fold != k
-                    take = np.repeat(on, size)
-                    w = fit(column[take], np.append(0, np.cumsum(size[on])), extra[on], y[on])
+                    w = fit(column, first, extra, y, on)
                     some = np.flatnonzero(w)
                     p = probability(w, column, first, extra)[~on]
                     yield pd.DataFrame({"fold": [k], "at": [some.tolist()], "w": [w[some].tolist()], "p": [p.tolist()]})

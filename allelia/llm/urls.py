@@ -6,7 +6,10 @@ host wins, then the longest path; of two equal rules, block wins. The host runs
 ``://``, has both empty and no rule fits it. Without a rule the verdict is the default.
 
 The trie goes to the tasks with the function. That is for lists up to ``MAX_RULES``; a longer list is a
-DataFrame and goes through ``judge_by_join``, an equi-join on each url's host suffixes and path prefixes.
+DataFrame and goes through ``judge_by_join``, which gives the same by equi-joins on each url's host suffixes and path prefixes.
+
+Repeated rows are judged alike, an empty table gives an empty one, long urls are read whole. Other columns stay; those called like an
+added one are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 MAX_RULES = 200_000
 #: Fixed values of the contract.
 RULES = (
@@ -28,21 +33,25 @@ RULES = (
 )
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 class Trie:
     """Children by label, then by whole path segment; an unfinished last segment of a rule is kept as a prefix."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
         for verdict, host, path in rules:
-            node = self.root
-            for label in reversed(host.lower().split(".")):
+            node, host = self.root, host.translate(str.maketrans(UPPER, LOWER))
+            for label in reversed(host.split(".")):
                 node = node.setdefault(("host", label), {})
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.setdefault(("path", segment), {})
             ends = node.setdefault("ends", {})
+            node.setdefault("sizes", set()).add(len(rest))
             if verdict == "block" or rest not in ends:
-                ends[rest] = (f"{host.lower()}{path}", verdict)
+                ends[rest] = (f"{host}{path}", verdict)
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         nodes, node = [], self.root
@@ -55,10 +64,10 @@ class Trie:
         for node in reversed(nodes):  # the deepest host first
             best = None
             for k, segment in enumerate(segments):
-                ends = node.get("ends", {})
-                rest = "/".join(segments[k:])
-                fit = max((e for e in ends if rest.startswith(e)), key=len, default=None) if ends else None
-                best = ends[fit] if fit is not None else best
+                if "ends" in node:
+                    rest = "/".join(segments[k:])
+                    fit = max((n for n in node["sizes"] if rest[:n] in node["ends"] and n <= len(rest)), default=None)
+                    best = best if fit is None else node["ends"][rest[:fit]]
                 node = node.get(("path", segment))
                 if node is None or k == len(segments) - 1:
                     break
@@ -70,8 +79,7 @@ class Trie:
 def parts(url: str = "url") -> tuple:
     """Host and path of a url as columns."""
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower)
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
@@ -95,20 +103,25 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
-    """The same for rules of any number, a DataFrame (verdict, host, path) whose paths end with ``/``.
+    """The same for rules of any number, a DataFrame (verdict, host, path).
 
-    Each distinct (host, path) is looked up once: its host suffixes times its path prefixes meet the rules' keys in an
-    equi-join, so hot hosts cost one row per distinct path.
+    A rule's path is its whole segments and a rest. Each distinct (host, path) is looked up once: its host suffixes times its
+    whole path prefixes meet the rules' lengths of rests in one equi-join, and the text of each such length meets the
+    rules in another, so a url costs as many rows as there are lengths, however many rules share a host and a prefix.
     """
     host, path = parts(url)
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
-    keys = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    segments = F.split("path", "/")
-    tried = keys.withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    tried = tried.where("size(split(path, '/')) > 1").withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments) - 1), lambda i: F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/")))))
-    known = rules.select(F.lower("host").alias("h"), F.col("path").alias("p"), "verdict").groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
-    hit = tried.join(known, ["h", "p"]).withColumn("rule", F.concat("h", "p"))
+    rows, names = numbered(pages.select(*(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")), host.alias("host"), path.alias("path")))
+    own = {names["host"]: "host", names["path"]: "path"}
+    rows = rows.withColumnsRenamed(own)
+    known = rules.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), "verdict").groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
+    known = known.withColumn("whole", F.regexp_extract("p", "(?s)^(.*/)?", 0)).withColumn("rest", F.expr("substring(p, length(whole) + 1)"))
+    sizes = known.select("h", "whole", F.length("rest").alias("size")).distinct()
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
+    tried = rows.select("host", "path").distinct().withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/"))))
+    tried = tried.where("host <> ''").withColumn("whole", F.explode(prefixes)).join(sizes, ["h", "whole"])
+    tried = tried.withColumn("rest", F.expr("substring(path, length(whole) + 1, size)")).where("length(rest) = size")
+    hit = tried.join(known, ["h", "whole", "rest"]).withColumn("rule", F.concat("h", "p"))
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.size(F.split("h", r"\.")), F.length("p"), "rule", "verdict")).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = rows.join(best, ["host", "path"], "left")
+    return out.select(*(F.col(own.get(c, c)).alias(n) for n, c in names.items()), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

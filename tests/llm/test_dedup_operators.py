@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text_operators import DOCS, invented, words
 
-from allelia.llm import jaccard, lines, sharding, shared, suffix, toxicity
+from allelia.llm import jaccard, lines, sharding, shared, suffix, textops, toxicity
 
 
 def mixed_docs(seed=1):
@@ -79,7 +79,7 @@ def test_suffix_dedup_of_many_repeated_rows(spark):
     assert {tuple(r) for r in out} == {(1, n, n, True, 2000), (None, n + 4, n + 4, True, 2000), (2, n + 6, n, True, 1), (3, 5, 0, False, 1)}
 
 
-@pytest.mark.parametrize("name", ["op2_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_url_filter", "op7_decontamination", "op8_sharding", "op10_line_dedup", "op10_line_chunks"])
 def test_text_queries_equal_their_sql(spark, name):
     import duckdb
 
@@ -113,7 +113,8 @@ def test_suffix_array_is_sorted():
 # similarity join
 
 
-def brute_links(docs, t=0.8):
+def brute_link_rows(docs, t=0.8):
+    """(doc_id, smallest doc_id of the class, links) of each row."""
     sets = []
     for _, text in docs:
         w = words(text)
@@ -137,7 +138,11 @@ def brute_links(docs, t=0.8):
                         todo.append(v)
             low = min((docs[m][0] for m in members if docs[m][0] is not None), default=None)
             classes |= dict.fromkeys(members, low)
-    return Counter((docs[i][0], classes[i], len(links[i])) for i in range(len(docs)))
+    return [(docs[i][0], classes[i], len(links[i])) for i in range(len(docs))]
+
+
+def brute_links(docs, t=0.8):
+    return Counter(brute_link_rows(docs, t))
 
 
 @pytest.mark.parametrize("kw", [{}, {"limit": 3, "block_sets": 2}])
@@ -346,6 +351,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[9000].p_toxic == got[9001].p_toxic
 
 
+def brute_chain(docs, labels):
+    """p_toxic of the chain by dense matrices: features by sets of words, Newton's method on whole matrices, the same folds."""
+    known = sorted(labels)
+    text = dict(docs)
+
+    def shape(t):
+        raw, w = (t or "").encode(), words(t)
+        n, size = max(len(w), 1), max(len(raw), 1)
+        upper = sum(65 <= b <= 90 for b in raw)
+        sign = sum(b < 128 and b != 32 and not chr(b).isalnum() for b in raw)
+        return [upper / size, sign / size, len({column[x] for x in w}) / n, np.log1p(n) / 10]
+
+    vocab = sorted({w for _, t in docs for w in words(t)})
+    column = dict(zip(vocab, (int(h) % toxicity.DIMS for h in textops.word_hashes(vocab))))  # few words share a column
+    columns = sorted({*column.values()})
+    has = lambda ids: np.array([[c in s for c in columns] for s in ({column[w] for w in words(text[i])} for i in ids)], float)
+    ids, every = [i for i, _, _ in known], [i for i, _ in docs]
+    x, xs = has(ids), has(every)
+    extra, extras = np.array([shape(text[i]) for i in ids]), np.array([shape(text[i]) for i in every])
+    fold = np.arange(len(ids)) % toxicity.FOLDS
+
+    def model(on, y, extra):
+        if y[on].min() == y[on].max():
+            return None, np.append(np.zeros(extra.shape[1]), 30.0 if y[on][0] else -30.0)
+        holds, share = x[on].sum(axis=0), y[on].mean()
+        z = np.abs(x[on].T @ y[on] - holds * share) / np.sqrt(np.maximum(holds, 1) * share * (1 - share))
+        chosen = np.flatnonzero((holds >= toxicity.LEAST_ROWS) & (z > toxicity.LEAST_Z))
+        m = np.column_stack([x[on][:, chosen], extra[on], np.ones(on.sum())])
+        hold, w = np.full(m.shape[1], toxicity.PENALTY), np.zeros(m.shape[1])
+        hold[-1] = 1e-6
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
+            step = np.linalg.solve((m.T * (p * (1 - p))) @ m + np.diag(hold), m.T @ (p - y[on]) + hold * w)
+            w -= step * min(1, 5 / np.abs(step).max())
+        return chosen, w
+
+    def scores(found, x, extra):
+        chosen, w = found
+        m = np.column_stack([x[:, chosen] if chosen is not None else x[:, :0], extra, np.ones(len(x))])
+        return 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
+
+    for col, value in ((1, 0), (2, 1)):
+        y = np.array([int(r[col] == value) for r in known])
+        outside = np.zeros(len(ids))
+        for k in range(toxicity.FOLDS):
+            outside[fold == k] = scores(model(fold != k, y, extra), x[fold == k], extra[fold == k])
+        whole = scores(model(np.ones(len(ids), bool), y, extra), xs, extras)
+        extra, extras = np.column_stack([extra, outside]), np.column_stack([extras, whole])
+    return dict(zip(every, extras[:, -2:].tolist()))
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = toxic_rows(300)
+    labels = [(d, int(d % 5 > 0), t) for d, _, t in labels if d % 4]
+    docs = [(d, t + " shoddy" * (d % 5 == 0)) for d, t in docs]
+    want = brute_chain(docs, labels)
+    out = toxicity.judge(spark.createDataFrame(docs + docs[:4], DOCS), spark.createDataFrame(labels + labels[:5], "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == len(docs) + 4
+    for r in out:
+        assert np.allclose([r.p_low_quality, r.p_toxic], want[r.doc_id], atol=1e-3), (r, want[r.doc_id])
+    assert len({round(r.p_toxic, 6) for r in out}) > 20
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "vile"), (1, "vile")], DOCS)

@@ -1,9 +1,10 @@
 """The pipeline's stages on a small corpus."""
 
+import hashlib
 from collections import Counter
 
 import pytest
-from test_dedup_operators import brute_lines, brute_links, mixed_docs, toxic_rows
+from test_dedup_operators import brute_link_rows, brute_links, brute_passages, mixed_docs, toxic_rows
 from test_text_operators import brute_matches
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -35,7 +36,7 @@ def test_stages_on_their_own_input(spark, sf_dir):
     assert len(gone) >= 38 and all("vile" in t or "nasty" in t or "rotten" in t for _, t in gone)
 
     cut = stages["line_dedup"](spark, docs, sf_dir)
-    want = Counter({(d, t): n for (d, t, k), n in brute_lines(rows(docs), 4).items() if t or not k})
+    want = Counter({(d, t): n for (d, t, k, _), n in brute_passages(rows(docs)).items() if t or not k})
     assert Counter(rows(cut)) == want and cut.columns == docs.columns
 
     single = rows(stages["ngram_jaccard_join"](spark, docs, sf_dir))
@@ -49,10 +50,42 @@ def test_stages_on_their_own_input(spark, sf_dir):
     assert Counter(rows(clean)) == want and len(want) < docs.count()
 
 
-def test_run(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir).collect()
-    ids = [r.doc_id for r in out]
-    assert len(set(ids)) == len(ids) > 150 and all(r.n_tokens >= 0 for r in out)
+def test_run_equals_the_stages_by_brute_force(spark, sf_dir):
+    """Every stage but the classifier by a plain-Python version on what the one before it kept."""
+    sentencepiece, tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    docs = rows(corpus_pipeline.reject_toxic(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
+    docs = [(d, t) for (d, t, gone, _), n in brute_passages(docs).items() for _ in range(n) if t or not gone]
+    classes = {}
+    for k, (_, c, _) in enumerate(brute_link_rows(docs)):
+        classes.setdefault(c, []).append(docs[k])
+    docs = [next(x for x in members if x[0] == c) for c, members in classes.items()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    found = brute_matches([(k, t) for k, (_, t) in enumerate(docs)], items, 13)
+    docs = [x for k, x in enumerate(docs) if not found[k][4]]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter()
+    for d, t in docs:
+        ids = sp.encode(t or "")
+        want[d, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))] += 1
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert got == want and len(want) > 150
+
+
+def test_clashing_columns_nulls_and_a_long_text(spark, sf_dir):
+    """Columns called like those that a stage adds come through unchanged."""
+    names = ["p_toxic", "toxic", "n_lines", "n_removed", "lead", "_key", "_doc", "class_id", "items", "n_words", "n_hit", "_k1", "others", "_text_key", "shard", "sid", "c0"]
+    texts = [(1, "plain words stand here alone"), (2, None), (3, ""), (3, ""), (None, "no id, but a text"), (4, "word " * 60_000), (5, "same line\nsame line two\nown one"), (6, "same line\nsame line two\nown two")]
+    docs = spark.createDataFrame([(d, t, *[f"{n}-{k}" for n in names]) for k, (d, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            k = int(r.toxic.rpartition("-")[2])
+            assert all(r[n] == f"{n}-{k}" for n in names) and r.doc_id == texts[k][0], name
+            assert r.text == texts[k][1] or name == "line_dedup" and (r.doc_id, r.text) == (6, "own two")
+        assert kept.count() == {"ngram_jaccard_join": 6}.get(name, 8), name
+    assert corpus_pipeline.tokenize(spark, docs, sf_dir).count() == 8
 
 
 def test_empty_documents(spark, sf_dir, tmp_path):

@@ -57,6 +57,9 @@ def test_decontamination_against_brute_force(spark, limit):
 
 
 def test_decontamination_spans_and_near_matches(spark):
+    wide = " ".join(f"v{i}" for i in range(300))  # windows of more than 255 words
+    many = decontam.matches(spark.createDataFrame([(1, wide), (2, wide + " more")], DOCS), spark.createDataFrame([(1, wide)], "item_id long, text string"), size=300).collect()
+    assert [r.n_hit for r in many] == [300, 300]
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, f"x y {item} z"), (2, "x " + item.replace("delta", "delta extra")), (3, item.replace("beta", "other"))]
     found = {r.doc_id: r for r in decontam.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("i", item)], "item_id string, text string"), gap=2).collect()}
@@ -95,6 +98,42 @@ def test_licences_against_brute_force(spark):
     assert got[90].n_words == 0 and got[90].labels == "" and got[90].score == 0
 
 
+def brute_labels(text, share=licences.SHARE):
+    """Labels and best score: every template at every place, a part of it beyond the text's ends counts as missing."""
+    w, labels, best = words(text), set(), 0.0
+    for t, label, phrases in [(p, x, (p,)) for p, x in licences.BASE] + [*licences.TEMPLATES, *licences.TEXTS]:
+        v = words(t)
+        must = set()
+        for phrase in map(str.split, phrases):
+            at = next(i for i in range(len(v)) if v[i : i + len(phrase)] == phrase)
+            must |= {*range(at, at + len(phrase))}
+        for s in range(-len(v), len(w)):
+            hit = {k for k in range(len(v)) if 0 <= s + k < len(w) and w[s + k] == v[k]}
+            score = len(hit) / len(v)
+            if must <= hit and score >= (1 if (t, label) in licences.BASE else share):
+                labels.add(label)
+                best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+def test_licence_labels_and_scores_against_brute_force(spark):
+    """Whole licence texts and openings, cut at either end and with words altered, between other words."""
+    rng = random.Random(15)
+    texts = [t for t, _, _ in licences.TEMPLATES + licences.TEXTS] + [p for p, _ in licences.BASE]
+    docs = [(0, None), (1, "")]
+    for k in range(110):
+        w = rng.choice(texts).split()
+        for _ in range(rng.choice([0, 1, len(w) // 9, len(w) // 6, len(w) // 4])):
+            w[rng.randrange(len(w))] = f"other{k}"
+        w = w[rng.choice([0, 0, len(w) // 12]) : len(w) - rng.choice([0, 0, len(w) // 12])]
+        docs.append((10 + k, f"{invented(rng, rng.randrange(9))} {' '.join(w)} {invented(rng, rng.randrange(9))}"))
+    got = {r.doc_id: (r.labels, r.score) for r in licences.digests(spark.createDataFrame(docs, DOCS)).collect()}
+    for d, t in docs:
+        labels, best = brute_labels(t)
+        assert got[d][0] == labels and abs(got[d][1] - best) < 1e-12, (d, t, got[d], labels, best)
+    assert len({x for x, _ in got.values()}) > 12
+
+
 def test_licence_templates_need_their_key_phrase(spark):
     full = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     docs = [(1, full), (2, full.replace("permitted", "allowed")), (3, full.replace("source", "object")), (4, "Licensed under CC BY-NC 4.0.")]
@@ -130,7 +169,15 @@ def test_urls_against_brute_force(spark):
     assert {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in joined.collect()} == got
     rules = [(rng.choice(["allow", "block"]), rng.choice(["com", "net", "www.example.com", "example.com"]), rng.choice(["/", "/e", "/en/", "/en/a", "/es/"])) for _ in range(9)]
     assert {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in urls.judge(df, rules).collect()} == {i: brute_rule(u, rules) for i, u in pages}
-    assert urls.judge(df.limit(0)).collect() == []
+    assert {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in urls.judge_by_join(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()} == {i: brute_rule(u, rules) for i, u in pages}
+    odd = [("block", "com", "/e"), ("allow", "example.com", ""), ("block", "WWW.example.com", "/en/a"), ("allow", "net", "/es"), ("block", "\u212aelvin.net", "/")]
+    more = pages + [(950, "http://a.com/english"), (951, "http://example.com"), (952, "http://\u212aelvin.net/x")]
+    lower = [(v, h.translate(LOWER), p) for v, h, p in odd]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in more], "page_id long, url string, size string, whole string")
+    for out in (urls.judge(df, odd), urls.judge_by_join(df, spark.createDataFrame(odd, "verdict string, host string, path string"))):
+        assert {r.page_id: (r.host, r.path, r["rule"], r.verdict) for r in out.collect()} == {i: brute_rule(u, lower) for i, u in more}
+        assert out.columns[:4] == df.columns
+    assert urls.judge(df.limit(0)).collect() == [] == urls.judge_by_join(df.limit(0), spark.createDataFrame(odd, "verdict string, host string, path string")).collect()
     with pytest.raises(ValueError, match="judge_by_join"):
         urls.judge(df, [("allow", f"h{k}.com", "/") for k in range(urls.MAX_RULES + 1)])
 
@@ -205,6 +252,73 @@ def test_audio_resynchronises_and_reads_tags():
     assert audio.read_stream(b"")["samples"] == 0 and audio.read_stream(b"\xff" * 99)["samples"] == 0
 
 
+def plain_crc(bits):
+    """CRC-16 with polynomial 8005 over a string of 0 and 1, as a long division of polynomials."""
+    rest = [int(b) for b in bits] + [0] * 16
+    rest[:16] = [b ^ 1 for b in rest[:16]]
+    for i in range(len(bits)):
+        if rest[i]:
+            for k in (0, 1, 14, 16):
+                rest[i + k] ^= 1
+    return int("".join(map(str, rest[-16:])), 2)
+
+
+def test_crc_of_layers_one_and_two():
+    """Frames with random allocations; the covered bits are counted by a plain walk over the standard's tables."""
+    rng = random.Random(17)
+    two = {27: [4] * 11 + [3] * 12 + [2] * 4, 30: [4] * 11 + [3] * 12 + [2] * 7, 8: [4] * 2 + [3] * 6, 12: [4] * 2 + [3] * 10, 0: [4] * 4 + [3] * 7 + [2] * 19}
+    cases = [(0xFE, 0xC4, 32, 1, 27), (0xFE, 0x54, 0, 1, 0), (0xFC, 0x84, 0, 2, 27), (0xFC, 0xA0, 0, 2, 30), (0xFC, 0x18, 0, 2, 12), (0xFC, 0x20, 0, 2, 8), (0xF4, 0x80, 0, 2, 0)]
+    for second, third, _, layer, limit in cases:
+        for mode in (0x00, 0x60, 0x40, 0xC0):
+            head = bytes((0xFF, second, third, mode))
+            h = audio.Header(head)
+            assert h.ok and h.layer == layer and h.protected
+            channels, bound = (1 if mode == 0xC0 else 2), {0x60: 12, 0x40: 4}.get(mode, 32)
+            if layer == 2:
+                each = h.kbps / channels
+                key = 0 if h.version != 1 else (12 if h.hz == 32000 else 8) if each <= 48 else 27 if h.hz == 48000 or each < 96 else 30
+            body = bytes(rng.choice([0, rng.randrange(256)]) for _ in range(h.size - 6))
+            bits = "".join(f"{b:08b}" for b in body)
+            if layer == 1:
+                n = sum(4 * (channels if k < bound else 1) for k in range(32))
+            else:
+                at, chosen = 0, 0
+                for k, w in enumerate(two[key]):
+                    for _ in range(channels if k < bound else 1):
+                        chosen += (int(bits[at : at + w], 2) > 0) * (channels if k >= bound else 1)
+                        at += w
+                n = at + 2 * chosen
+            crc = plain_crc("".join(f"{b:08b}" for b in head[2:]) + bits[:n])
+            frame = head + crc.to_bytes(2, "big") + body
+            found = audio.read_stream(frame * 3)
+            assert (found["checked"], found["wrong"], len(found["offsets"]), found["samples"]) == (3, 0, 3, 3 * (384 if layer == 1 else 1152)), (second, third, mode)
+            flipped = bytearray(frame * 3)
+            flipped[h.size + 6] ^= 0x80
+            assert audio.read_stream(bytes(flipped))["wrong"] == 1
+
+
+def test_variable_bitrate_tables():
+    """A VBRI table's groups of frames, and an MPEG-2 stream; frames are found by a walk with their known sizes."""
+    sizes = [(104, 1), (208, 4), (417, 9), (208, 4)] * 6  # 44.1 kHz without padding, by bitrate index
+    frames = [bytes((0xFF, 0xFB, i << 4, 0xC0)) + bytes(n - 4) for n, i in sizes]
+    groups = [sum(len(f) for f in frames[k : k + 4]) for k in range(0, 24, 4)]
+    vbri = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + sum(map(len, frames)).to_bytes(4, "big") + (24).to_bytes(4, "big") + (6).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"".join(g.to_bytes(2, "big") for g in groups)
+    first = (bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(32) + vbri).ljust(417, b"\0")
+    found = audio.read_stream(first + b"".join(frames))
+    starts = np.append(0, np.cumsum([len(f) for f in frames]))[:-1] + 417
+    assert found["table"]["kind"] == "VBRI" and found["table"]["frames"] == 24 and found["offsets"] == starts.tolist() and found["samples"] == 24 * 1152
+    assert [417 + p for p in audio.seek_points(found["table"])] == starts[::4].tolist()
+    low = bytes((0xFF, 0xF3, 0x80, 0xC0)) + bytes(204)  # MPEG-2, 64 kbit/s, 22.05 kHz
+    found = audio.read_stream(b"junk" + low * 5)
+    assert found["samples"] == 5 * 576 and found["hz"] == 22050 and found["skipped"] == 4
+    own = audio.read_stream(audio.write_stream(bytes(range(256)) * 90))
+    points, total = audio.seek_points(own["table"]), own["table"]["bytes"]
+    step = total / 256
+    for k in range(100):
+        real = own["offsets"][k * len(own["offsets"]) // 100] - own["offsets"][0]
+        assert real - step <= points[k] <= real
+
+
 def test_altered_licence_templates_against_brute_force():
     """Any words outside the key phrases may be altered, also all of the rarest ones."""
     rng = random.Random(12)
