@@ -39,6 +39,7 @@ BLOCK_SETS = 1024
 BLOCK_TOKENS = 1_000_000
 SKETCH = 64
 RUN_BITS = 8
+CELLS = 1 << 16
 MARGIN = 0.25
 
 
@@ -79,11 +80,12 @@ def _described(docs: DataFrame, k: int, threshold: float, runs: int) -> DataFram
                         keys[1].append([])
                         continue
                     most = U64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
-                    found = [np.flatnonzero(tokens * o <= most) for o in odd[:runs]]  # a run at a time: a long text stays small
-                    which, token = np.repeat(np.arange(runs), [len(f) for f in found]), np.concatenate(found)
+                    step = max(1, CELLS // len(tokens))  # some runs at a time, so a long text stays small
+                    found = [np.nonzero(tokens[None, :] * odd[r : min(r + step, runs), None] <= most) for r in range(0, runs, step)]
+                    which, token = np.concatenate([w + k * step for k, (w, _) in enumerate(found)]), np.concatenate([t for _, t in found])
                     path = mix(tokens[token] ^ salt[which]) & ~U64(2**RUN_BITS - 1) | which.astype(U64)
                     keys[0].append(path.view(np.int64))
-                    least = tokens[[np.argmin(tokens * o) for o in odd[runs:]]]
+                    least = tokens[np.concatenate([np.argmin(tokens[None, :] * odd[r : r + step, None], axis=1) for r in range(runs, LEVELS * runs, step)])]
                     keys[1].append(mix(least ^ salt[runs:]).view(np.int64))
                 new = [pa.array(sid, pa.binary()), pa.array(size, pa.int32()), pa.array(marks, pa.binary())] + [pa.array(x, pa.list_(pa.int64())) for x in keys]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *new], names=["doc_id", "text_key", "sid", "n", "sketch", "first", "deeper"])

@@ -112,7 +112,7 @@ class Index:
 
     def __init__(self):
         templates = TEMPLATES + TEXTS
-        texts = [p.split() for p, _ in BASE] + [_words(t) for t, _, _ in templates]
+        texts = self.texts = [p.split() for p, _ in BASE] + [_words(t) for t, _, _ in templates]
         self.labels = [x for _, x in BASE] + [x for _, x, _ in templates]
         self.vocab = np.unique(word_hashes(sorted({w for t in texts for w in t})))
         self.terms = [np.searchsorted(self.vocab, word_hashes(t)) for t in texts]

@@ -60,7 +60,36 @@ QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxic
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+def _licence_sql() -> str:
+    """Every template at every place, by counting the words that stand where they belong."""
+    rows, index = [], licences.Index()
+    for k, (words, must) in enumerate(zip(index.texts, index.must)):
+        rows += [f"({k}, {i}, '{w}', {int(m)})" for i, (w, m) in enumerate(zip(words, must))]
+    names = ", ".join(f"({k}, '{label}', {len(index.texts[k])}, {int(index.must[k].sum())}, {'true' if k < len(licences.BASE) else 'false'})" for k, label in enumerate(index.labels))
+    return f"""
+WITH t(k, i, word, must) AS (VALUES {', '.join(rows)}),
+names(k, label, n, n_must, base) AS (VALUES {names}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS loc FROM d),
+place AS (SELECT r, k, loc - i AS start, count(*) AS hits, sum(must) AS musts FROM p JOIN t USING (word) GROUP BY ALL),
+good AS (SELECT r, label, base, start, hits / n AS score FROM place JOIN names USING (k) WHERE musts = n_must AND hits >= {licences.SHARE} * n - 1e-9),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(score) AS score,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM good GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN found USING (r)"""
+
+
 ORACLE = {
+    "op6_licence_scan": _licence_sql(),
+    "op4_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN ['=' || text] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= {jaccard.THRESHOLD} * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+class AS (SELECT reach.a AS r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN class USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a) USING (r)""",
     "op2_suffix_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, {_WORDS} AS w FROM documents),
 win AS (SELECT r, s, md5(b[s : s + {suffix.LENGTH - 1}]) AS g FROM (SELECT r, b, unnest(range(1, octet_length(b) - {suffix.LENGTH - 2})) AS s FROM d WHERE octet_length(b) >= {suffix.LENGTH})),

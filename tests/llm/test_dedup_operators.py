@@ -79,7 +79,7 @@ def test_suffix_dedup_of_many_repeated_rows(spark):
     assert {tuple(r) for r in out} == {(1, n, n, True, 2000), (None, n + 4, n + 4, True, 2000), (2, n + 6, n, True, 1), (3, 5, 0, False, 1)}
 
 
-@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_url_filter", "op7_decontamination", "op8_sharding", "op10_line_dedup", "op10_line_chunks"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_url_filter", "op4_jaccard_join", "op6_licence_scan", "op7_decontamination", "op8_sharding", "op10_line_dedup", "op10_line_chunks"])
 def test_text_queries_equal_their_sql(spark, name):
     import duckdb
 
