@@ -65,7 +65,9 @@ def vcf_pi(spark, sf_dir):
 
 
 def vcf_dxy_bed(spark, sf_dir):
-    bed = _bed(spark, sf_dir).coalesce(1).select(F.concat_ws("\t", "chrom", F.col("w1") - 1, "w2").alias("value"))
+    """A contig that the VCF lacks is left out with a warning."""
+    bed = _bed(spark, sf_dir).select(F.concat_ws("\t", "chrom", F.col("w1") - 1, "w2").alias("value"))
+    bed = bed.unionByName(spark.createDataFrame([("chr9\t0\t10",)], "value string")).coalesce(1)
     return _run(spark, sf_dir, "dxy", window_size=None, bed_file=_text(spark, bed), include_multiallelic_snps=True)
 
 

@@ -162,6 +162,20 @@ def test_rollup_equals_larger_windows(spark):
     assert [r.avg_wc_fst for r in up] == pytest.approx([r.avg_wc_fst for r in stats.fst(large, p, "wc").orderBy("window_pos_1").collect()])
 
 
+def test_rolled_up_results_are_ordered(spark):
+    rows = [("B", "A", 11), ("A", "A", 11), ("B", "A", 1), ("A", "Z", 1), ("A", "A", 1)]
+    df = spark.createDataFrame(rows, "pop string, chromosome string, window_pos_1 long")
+    contigs = spark.createDataFrame([("Z", 0), ("A", 5)], "chrom string, chrom_rank long")
+    assert [tuple(r) for r in rollup.ordered(df, contigs).collect()] == [("A", "Z", 1), ("A", "A", 1), ("B", "A", 1), ("A", "A", 11), ("B", "A", 11)]
+
+
+def test_equal_mask_ranges_count_as_often_as_they_are_there(spark):
+    table = spark.createDataFrame([("c", 1, 10, 0)], "chrom string, w1 long, w2 long, window_ord long")
+    mask = spark.createDataFrame([("c", 0, 10, [1, 2])] * 2 + [("c", 0, 4, [1, 2])], "chrom string, start0 long, end0 long, k array<long>")
+    variants = spark.createDataFrame([("c", 3), ("c", 9)], "chrom string, pos int")
+    assert sorted(r.n_inv for r in callable_mask.invariant_ranges(table, mask, variants).collect()) == [3, 16]
+
+
 def test_sites_mask_keeps_rows_as_missing(spark):
     rows = site_rows(spark, [[[0, 1], [1, 1]]] * 4)
     listed = spark.createDataFrame([("1", 2), ("1", 2)], "chrom string, pos int")
