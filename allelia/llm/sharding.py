@@ -6,8 +6,9 @@ a row is the shortest prefix of its bits whose rows fit. ``STEP`` bits are tried
 gives the sizes of the longest prefixes, from which those of the shorter ones follow; only oversized buckets go on.
 
 Rows that are equal in all bits (repeated rows) are dealt over numbered parts of their bucket so that each fits. A row that
-is itself over the limit gets a part of its own and is marked ``oversize``. A null key is a key like any other; a null
-text has 0 bytes; an empty table has no shards.
+is itself over the limit, as a very long text may be, gets a part of its own and is marked ``oversize``. A null key is a key like any
+other; a null text has 0 bytes; an empty table has no shards. Only the key and the text are read, so other columns, however
+called, play no part.
 """
 
 from __future__ import annotations
