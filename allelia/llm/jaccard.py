@@ -127,7 +127,8 @@ def _buckets(sets: DataFrame, marks: DataFrame, runs: int, limit: int, threshold
         big = found.where(F.col("m") > limit)
         if big.isEmpty():
             break
-        pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "sid").alias("h"), "sid")).alias("p")).select("path", F.col("p.sid").alias("pivot"))
+        # set ids are hashes, so the smallest is any member; buckets of one group of sets mostly have the same, so their edges fall together
+        pivots = big.groupBy("path").agg(F.min("sid").alias("pivot"))
         pivots = pivots.join(marks.select(F.col("sid").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
         met = big.select("path", "run", "sid").join(marks, "sid").join(pivots, "path").select("path", "run", "sid", "pivot", "sketch", "pivot_sketch")
         met = stored(met.mapInArrow(_against_pivot, "path long, run long, sid binary, pivot binary, near double"))
@@ -268,7 +269,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     leaves = _pairs_of_blocks(leaves, F.ceil(F.col("m") / (2 * limit)), "sid")
     members = leaves.join(marks, "sid").select("path", "i", "j", "blk", "sid", "sketch")
     cut = max(0.0, threshold - MARGIN)
-    edges = members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_forests(cut), "a binary, b binary")
+    # by set id within a bucket, so the leader of a forest is the smallest and different buckets give equal edges
+    edges = members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "sid").mapInArrow(_forests(cut), "a binary, b binary")
     parts = connected_components(edges if far is None else edges.unionByName(far))
     parts = parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "rep", "n")
     weight = parts.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_tokens)).alias("k"))
