@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import IS_WORD, LOWER, Words, blocks
+from .textops import IS_WORD, LOWER, Words, blocks, flat_list
 
 SAMPLE = 16_000
 FOLDS = 4
@@ -139,15 +139,16 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows of a few numbers
     # one text for each id, however often it is there; equal ones are collapsed before the shuffle
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), *(F.first(y).alias(y) for y in ys)).select("doc_id", *ys, "t.text")
-    got = rows.mapInArrow(run, schema).toPandas().sort_values("doc_id", ignore_index=True)
-    size = np.array([len(x) for x in got["columns"]], np.int64)
-    first = np.append(0, np.cumsum(size))
-    column = np.concatenate([*got["columns"].tolist(), np.zeros(0, np.int32)]).astype(np.int32)
-    fold = np.arange(len(got)) % folds
-    extra = np.array([*got["shape"].tolist(), *np.zeros((0, SHAPES))]).reshape(len(got), SHAPES)
+    got = rows.mapInArrow(run, schema).toArrow()
+    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))).combine_chunks()
+    column, first = flat_list(got.column("columns").combine_chunks())
+    extra = got.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
+    wanted_of = {y: got.column(y).to_numpy().astype(np.int64) for y in ys}
+    fold = np.arange(got.num_rows) % folds
+    del got
     held = spark.sparkContext.broadcast((column, first, fold))
     models = []
-    for y in (got[c].to_numpy(np.int64) for c in ys):
+    for y in wanted_of.values():
 
         def fold_fit(parts: Iterator[pd.DataFrame], y: np.ndarray = y, extra: np.ndarray = extra) -> Iterator[pd.DataFrame]:
             column, first, fold = held.value
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
         w = np.zeros(DIMS + extra.shape[1] + 1)
         w[fitted[folds]["at"]] = fitted[folds]["w"]
         models.append(w)
-        outside = np.zeros(len(got))
+        outside = np.zeros(len(fold))
         for k in range(folds):
             outside[fold == k] = fitted[k]["p"]
         extra = np.column_stack([extra, outside])
