@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index of the training tokens.
 
 ``index`` stores the postings of all training words in the shared folder, partitioned by documents: a row holds the sorted terms
-of some 500 KB of documents with the places of each. Test windows (``WINDOW`` consecutive words; shorter items whole) start from the
+of some 250 KB of documents with the places of each. Test windows (``WINDOW`` consecutive words; shorter items whole) start from the
 postings of their rarest term, counted over the whole index, and are intersected, offset by offset, with those of the next
 rarest terms until all words agree. With ``gap`` > 0 also near matches are returned: at least ``share`` of a window's words within
 ``gap`` places of where they belong.
@@ -30,6 +30,7 @@ from .textops import Words, binary_column, blocks
 
 BLOCK_WORDS = 200_000
 WINDOW = 13
+SHARD_BYTES = 1 << 18
 
 
 class Windows:
@@ -123,9 +124,15 @@ class Windows:
 class Shard:
     """One row of the index: sorted term hashes, how often each occurs, its places, and where each document's words begin."""
 
-    def __init__(self, row: dict):
-        self.terms, self.counts, self.places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["places"], np.int32).astype(np.int64)
-        self.first = np.append(0, np.cumsum(np.array(row["n_words"], np.int64)))
+    def __init__(self, n_words: np.ndarray, terms: pa.Buffer, counts: pa.Buffer, places: pa.Buffer):
+        self.first = np.append(0, np.cumsum(n_words.astype(np.int64)))
+        self.terms = np.frombuffer(terms, np.uint64)
+        self.counts, self.places = (np.frombuffer(x, _width(self.first[-1])).astype(np.int64) for x in (counts, places))
+
+
+def _width(n: int) -> type:
+    """Two bytes hold the places and counts of a row of so many words, or four."""
+    return np.uint16 if n < 1 << 16 else np.uint32
 
 
 KEY = ["_k1", "_k2"]
@@ -139,16 +146,17 @@ def index(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in blocks(batch.column(3)):
+            for a, b, data, offs in blocks(batch.column(3), SHARD_BYTES):
                 words = Words(data, offs)
                 order = np.argsort(words.hash, kind="stable")
                 term, counts = np.unique(words.hash[order], return_counts=True)
+                width = _width(len(order))
                 whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 lists = [whole(batch.column(k).slice(a, b - a)) for k in range(3)] + [whole(pa.array(words.counts(), pa.int32()))]
-                raw = [pa.array([x.tobytes()], pa.binary()) for x in (term, counts.astype(np.int32), order.astype(np.int32))]
+                raw = [pa.array([x.tobytes()], pa.binary()) for x in (term, counts.astype(width), order.astype(width))]
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *raw], names=schema.names)  # kept once it is stored
 
-    return stored(docs.select(*KEY, "doc_id", "text").mapInArrow(build, schema))
+    return stored(docs.select(*KEY, "doc_id", "text").mapInArrow(build, schema), **{"parquet.enable.dictionary": "false"})
 
 
 def _counts(index_: DataFrame, windows: Windows) -> dict[int, int]:
@@ -157,12 +165,14 @@ def _counts(index_: DataFrame, windows: Windows) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(windows.vocab) + 1, np.int64)
         for batch in batches:
-            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                np.add.at(n, windows.terms_of(np.frombuffer(terms, np.uint64)) + 1, np.frombuffer(counts, np.int32))
+            for terms, counts, size in zip(*(batch.column(k) for k in range(3))):
+                here = windows.terms_of(np.frombuffer(terms.as_buffer(), np.uint64)) + 1
+                n += np.bincount(here, weights=np.frombuffer(counts.as_buffer(), _width(size.as_py())), minlength=len(n)).astype(np.int64)
         some = np.flatnonzero(n[1:])
         yield pa.RecordBatch.from_arrays([pa.array(windows.vocab[some].view(np.int64)), pa.array(n[1:][some])], names=["term", "n"])
 
-    rows = index_.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    size = F.aggregate("n_words", F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = index_.select("terms", "counts", size.alias("size")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term: r.n for r in rows.collect()}
 
 
@@ -193,8 +203,8 @@ def _found(index_: DataFrame, w: Windows, gap: int, share: float, with_spans: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for entry in batch.to_pylist():
-                shard, out = Shard(entry), []
+            for name, n_words, *postings in zip(*(batch.column(k) for k in range(5))):
+                shard, out = Shard(n_words.values.to_numpy(), *(x.as_buffer() for x in postings)), []
                 window, start, exact = w.search(shard, gap, share)
                 row = np.searchsorted(shard.first, start, "right") - 1
                 order = np.lexsort((start, row))
@@ -208,7 +218,7 @@ def _found(index_: DataFrame, w: Windows, gap: int, share: float, with_spans: bo
                     ends = upto[np.append(new[1:], True)] if len(a) else a
                     items = [w.items[i] for i in np.unique(w.item[k[e]]).tolist()]
                     spans = [{"item_id": w.items[w.item[x]], "start": y, "end": y + int(w.length[x]), "exact": v} for x, y, v in zip(k.tolist(), s.tolist(), e.tolist())] if with_spans else []
-                    out.append({"shard": entry["shard"], "row": int(row[lo]), "items": items, "runs": np.stack([a[new], ends], axis=1).ravel(), "matches": spans})
+                    out.append({"shard": name.as_py(), "row": int(row[lo]), "items": items, "runs": np.stack([a[new], ends], axis=1).ravel(), "matches": spans})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=kind)
 

@@ -24,11 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: an intermediate result that no lost executor takes along."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: an intermediate result that no lost executor takes along.
+
+    options: those of Spark's Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
