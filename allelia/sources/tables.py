@@ -19,7 +19,7 @@ def order_sites(spark: SparkSession, sf_dir: str, extra_allele: bool = False) ->
     alleles into a second one.
     """
     # two narrow columns become wide rows, so they are dealt out before that
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition("o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     one = lambda m, a, n: f"cast((o_orderkey * {m} + {a} + o_custkey) % {n} = 0 as int)"
     samples = []
     for s in range(SAMPLES):
