@@ -74,6 +74,11 @@ def test_decontamination_edge_tables(spark):
     rows = decontam.matches(docs, item).collect()
     assert [(r.n_words, r.n_hit, r["items"]) for r in rows] == [(3, 2, ["1"])] * 2
     assert decontam.digests(spark.createDataFrame([], DOCS), item).collect() == []
+    blank = spark.createDataFrame([(1, ""), (2, None), (3, "...")], "item_id long, text string")
+    same = spark.createDataFrame([(1, "a " * 70_000), (None, None)], DOCS)  # more places of one word than two bytes count
+    assert [r.n_hit for r in decontam.matches(same, blank).collect()] == [0, 0]
+    assert sorted((r.n_words, r.n_hit) for r in decontam.digests(same, spark.createDataFrame([(1, "a a a")], "item_id long, text string")).collect()) == [(0, 0), (70_000, 70_000)]
+    assert sorted(r.doc_id or 0 for r in decontam.without_contaminated(same, item).collect()) == [0, 1]
 
 
 # licences
