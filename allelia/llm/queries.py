@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontam, jaccard, licences, lines, pieces, sharding, suffix, toxicity, urls
+from . import audio, audit, bpe, decontam, jaccard, licences, lines, pieces, search, sharding, suffix, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_chunks, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_chunks, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece, op11_filter_audit, op12_byte_bpe, op13_ranked_search)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -80,6 +92,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 
 
 ORACLE = {
+    "op11_filter_audit": """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)} AS x FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+flag AS (SELECT r, part, good, toxic, CASE WHEN x.A THEN 'A' ELSE '' END || CASE WHEN x.B THEN 'B' ELSE '' END || CASE WHEN x.C THEN 'C' ELSE '' END || CASE WHEN x.D THEN 'D' ELSE '' END || CASE WHEN x.E THEN 'E' ELSE '' END AS fails FROM f),
+o(p) AS (SELECT '' UNION ALL SELECT p || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(p, c)),
+ord AS (SELECT p AS filter_order, s AS step, p[s] AS own, p[1 : s - 1] AS before FROM o, range(1, 6) t(s) WHERE length(p) = 5),
+hit AS (SELECT filter_order, step, own, flag.part, good, toxic, fails, contains(fails, own) AS bad, regexp_matches(fails, '[' || before || '0]') AS gone FROM ord, flag),
+n AS (SELECT part, filter_order, step, any_value(own) AS own, count(*) FILTER (NOT bad AND NOT gone) AS kept, count(*) FILTER (bad AND NOT gone) AS removed, count(*) FILTER (bad AND gone) AS redundant,
+  count(*) FILTER (fails = own) AS unique_fails, count(*) FILTER (bad AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (bad AND NOT gone AND toxic = 1) AS toxic_lost FROM hit GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM n""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+size AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+post AS (SELECT r, doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+freq AS (SELECT t, count(*) AS df FROM post GROUP BY t),
+ask AS (SELECT DISTINCT q, item_id, t FROM (SELECT q, item_id, unnest(w) AS t FROM b)),
+hit AS (SELECT q, item_id, r, doc_id, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // CAST(n_terms AS BIGINT)))) AS s
+  FROM ask JOIN post USING (t) JOIN freq USING (t), size),
+score AS (SELECT q, item_id, r, doc_id, CAST(sum(s) AS BIGINT) AS score FROM hit GROUP BY ALL HAVING sum(s) > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS rank FROM score)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM best WHERE rank <= 50""",
     "op6_licence_scan": _licence_sql(),
     "op4_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
