@@ -2,7 +2,7 @@
 
 A term is a maximal run of bytes of letters, digits and characters beyond ASCII, A-Z lower-cased. ``index`` writes a posting (bucket, term, doc,
 doc_id, tf, n) for each distinct term of a document: its occurrences tf and the n terms of the document. Postings are dealt into buckets by
-term and sorted by bucket and term in the file of each task, so a search reads the row groups of its terms' buckets only; files follow the
+term and sorted by bucket and term in the files of each task, so a search reads the row groups of its terms' buckets only; files follow the
 documents, so writing shuffles nothing and a frequent term is spread over all of them. A posting of the empty term, which no text has, holds a
 document's length.
 
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .textops import LOWER, U64, Words, blocks, mix
 
-BUCKETS = 1024
+BUCKET_BITS = 10
+LENGTHS = -(1 << (BUCKET_BITS - 1)) - 1
 #: Bytes of the (query, term) pairs that go to the tasks at once.
 QUERY_BYTES = 16_000_000
 
@@ -103,13 +104,15 @@ def terms(rows: DataFrame, key: str) -> DataFrame:
 
 
 def bucket_of(term: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    """The leading bits of the term's hash; document lengths, of the empty term, have a bucket of their own before all others."""
+    return F.when(term == "", LENGTHS).otherwise(F.shiftright(F.xxhash64(term), 64 - BUCKET_BITS)).cast("int")
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """The stored postings (bucket, term, doc, doc_id, tf, n). The bucket of document lengths is -1."""
-    rows = terms(docs, "doc_id").withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(bucket_of(F.col("term"))))
-    return stored(rows.select("bucket", "term", "doc", "doc_id", "tf", "n").sortWithinPartitions("bucket", "term"), compression="zstd")
+    """The stored postings (bucket, term, doc, doc_id, tf, n)."""
+    rows = terms(docs, "doc_id").select(bucket_of(F.col("term")).alias("bucket"), "term", "doc", "doc_id", "tf", "n")
+    # one number to sort by, which orders the buckets too
+    return stored(rows.sortWithinPartitions(F.when(F.col("term") == "", F.lit(-(1 << 63))).otherwise(F.xxhash64("term"))), compression="zstd")
 
 
 def _blocks(wanted: DataFrame, most: int) -> list[tuple[DataFrame, bool]]:
@@ -120,14 +123,14 @@ def _blocks(wanted: DataFrame, most: int) -> list[tuple[DataFrame, bool]]:
         block = F.pmod(F.xxhash64("query"), F.lit(many))
         sizes = rows.groupBy(block.alias("b")).agg(F.sum("_bytes").alias("bytes"), F.min("query").alias("lo"), F.max("query").alias("hi")).collect()  # a row for each block
         if all(s.bytes <= most or s.lo == s.hi for s in sizes):
-            return [(wanted.where(block == s.b), s.bytes <= most) for s in sorted(sizes)]
+            return [(wanted.where(block == s.b) if many > 1 else wanted, s.bytes <= most) for s in sorted(sizes)]
         many *= 2
 
 
 def search(postings: DataFrame, queries: DataFrame, k: int = 50, key: str = "item_id", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(key, rank, doc_id, score) of the k best documents of each row of queries (key, text)."""
     wanted = stored(terms(queries, key).where("term <> ''").select(F.col("doc").alias("query"), key, "term", bucket_of(F.col("term")).alias("bucket")))
-    size = postings.where("bucket = -1").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
+    size = postings.where(F.col("bucket") == LENGTHS).agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
     parts = [_best(postings, block, F.broadcast if small else lambda df: df, size.docs, size.terms or 0, k, key) for block, small in _blocks(wanted, query_bytes)]
     return reduce(DataFrame.unionByName, parts) if parts else _best(postings, wanted, F.broadcast, 0, 0, k, key)
 
@@ -135,7 +138,7 @@ def search(postings: DataFrame, queries: DataFrame, k: int = 50, key: str = "ite
 def _best(postings: DataFrame, wanted: DataFrame, sent: Callable[[DataFrame], DataFrame], docs: int, total: int, k: int, key: str) -> DataFrame:
     """The best documents for a block of queries; ``sent`` marks its tables, of a row for each term or query, as broadcasts where their size is bounded."""
     asked = wanted.groupBy("bucket", "term").agg(F.collect_list("query").alias("queries"))
-    buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # 1,024 numbers at most
     near = postings.where(F.col("bucket").isin(buckets))
     df = near.join(sent(asked.select("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
     odds = F.lit(2.0 * docs + 2) / (2 * F.col("df") + 1).cast("double")
@@ -145,7 +148,7 @@ def _best(postings: DataFrame, wanted: DataFrame, sent: Callable[[DataFrame], Da
     met = near.join(sent(asked.select("term")), "term").withColumn("m", F.expr(f"50L + (50L * n * {docs}L) div {max(total, 1)}L"))
     part = F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)")
     # the postings that match come together by document, so the sums need no further shuffle
-    met = met.select("doc", "doc_id", "term", part.alias("part")).repartition("doc")
+    met = met.select("doc", "doc_id", "term", part.alias("part")).repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
     scored = met.join(sent(asked), "term").select("doc", "doc_id", (F.col("w") * F.col("part")).alias("score"), F.explode("queries").alias("query"))
     sums = scored.groupBy("doc", "doc_id", "query").agg(F.sum("score").alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc_id"), F.asc("doc")))
