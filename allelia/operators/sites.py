@@ -1,6 +1,7 @@
 """Site classes, site lists, reference blocks, ploidy, and allele counts per population.
 
-A site is a row (chrom, pos, row_id, alts, is_snp, info_end, gt); gt is array<array<int>>, one entry per sample, -1 missing.
+A site is a row (chrom, pos, row_id, alts, is_snp, info_end) with its genotypes: as bit planes (bits, top, ploidy; see functions.packing), which
+is how files and the driver's tables are read, or as gt, array<array<int>> with one entry per sample and -1 for missing.
 Positions may repeat: every row is a site of its own.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import packing
 
 
 @dataclass(frozen=True)
@@ -55,8 +57,11 @@ def masked(sites: DataFrame, listed: DataFrame) -> DataFrame:
 
     The listed positions are a broadcast only if Spark finds them small enough; else both sides shuffle by position."""
     hit = listed.select("chrom", "pos").distinct().withColumn("_hit", F.lit(True))
+    rows = sites.join(hit, ["chrom", "pos"], "left")
+    if "bits" in sites.columns:
+        return rows.withColumn("bits", F.when(F.col("_hit"), F.col("bits"))).drop("_hit")
     none = F.transform("gt", lambda g: F.transform(g, lambda _: F.lit(-1)))
-    return sites.join(hit, ["chrom", "pos"], "left").withColumn("gt", F.when(F.col("_hit"), F.col("gt")).otherwise(none)).drop("_hit")
+    return rows.withColumn("gt", F.when(F.col("_hit"), F.col("gt")).otherwise(none)).drop("_hit")
 
 
 def is_block() -> Column:
@@ -89,19 +94,31 @@ def blocks_as_sites(sites: DataFrame) -> DataFrame:
     )
 
 
+def row_ploidy(gts: Column) -> Column:
+    """The first ploidy over 1 among the sample fields of a row, or null; mostly the first field decides, and the others are not looked at."""
+    one = lambda g: K.gt_ploidy(F.element_at(F.split(g, ":"), 1))
+    first = one(F.get(gts, F.lit(0)))
+    return F.when(first > 1, first).otherwise(F.get(F.filter(F.transform(gts, one), lambda p: p > 1), F.lit(0)))
+
+
 def ploidy_by_contig(raw: DataFrame) -> DataFrame:
-    """(chrom, ploidy) from (chrom, row_id, gts array<string>): the first sample field with ploidy over 1 decides, else 1."""
-    each = raw.select("chrom", "row_id", F.posexplode("gts").alias("i", "g"))
-    p = K.gt_ploidy(F.element_at(F.split("g", ":"), 1))
-    first = each.withColumn("p", p).groupBy("chrom").agg(F.min(F.when(F.col("p") > 1, F.struct("row_id", "i", "p"))).alias("first"))
+    """(chrom, ploidy) from (chrom, row_id, gts array<string>): the first sample field with ploidy over 1 decides, else 1.
+
+    No sample becomes a row: the first fitting field is found inside each row's array, and the first row by a minimum."""
+    each = raw.select("chrom", "row_id", row_ploidy(F.col("gts")).alias("p"))
+    first = each.groupBy("chrom").agg(F.min(F.when(F.col("p").isNotNull(), F.struct("row_id", "p"))).alias("first"))
     return first.select("chrom", F.coalesce("first.p", F.lit(1)).alias("ploidy"))
 
 
-def with_populations(sites: DataFrame, pops: Populations, heterozygotes: bool = False) -> DataFrame:
+def with_populations(sites: DataFrame, pops: Populations, heterozygotes: bool = False, haplotypes: int | None = None) -> DataFrame:
     """Add p: array<struct<pop, pop_rank, ac, n, n01, n_haps[, het]>>, one entry per population, and n_alleles_all over all samples.
 
+    haplotypes: of bit planes, the largest ploidy (2 if it is not given).
+
     One row stays one row: nothing is exploded or shuffled here.
     """
+    if "bits" in sites.columns:
+        return _from_planes(sites, pops, heterozygotes, haplotypes)
     flat = F.flatten("gt")
     rows = sites.withColumn("_top", F.greatest(F.coalesce(F.array_max(flat), F.lit(0)), F.lit(1)))
     rows = rows.withColumn("n_alleles_all", F.size(F.array_distinct(F.array_remove(flat, -1))))
@@ -127,6 +144,38 @@ def with_populations(sites: DataFrame, pops: Populations, heterozygotes: bool =
     return rows.withColumn("p", F.array(*entries)).drop("_top", "gt", *hidden)
 
 
+def _from_planes(sites: DataFrame, pops: Populations, heterozygotes: bool, haplotypes: int | None = None) -> DataFrame:
+    """The same from bit planes. Where ``ploidy`` is a column, haplotypes beyond it do not count; ``haplotypes`` is its maximum.
+
+    The counts of each population are columns first, so that each is computed once."""
+    samples, by_row = len(pops.samples), "ploidy" in sites.columns
+    most = haplotypes or 2
+    ploidy = "ploidy" if by_row else str(most)
+    own = [packing.Counter(packing.mask_of(pops.indices(p), samples), most, by_row) for p in pops.order]
+    every = packing.Counter(packing.mask_of(list(range(samples)), samples), most, by_row)
+    counters = [*own, every]
+    rows = sites.withColumns({f"_n{k}": F.expr(c.called()) for k, c in enumerate(counters)} | {f"_m{k}": F.expr(c.allele("1")) for k, c in enumerate(counters)})
+    rows = rows.withColumns({f"_c{k}": F.expr(c.counts(f"_n{k}", f"_m{k}")) for k, c in enumerate(counters)})
+    last = len(own)
+    entries = []
+    for k, pop in enumerate(pops.order):
+        fields = {
+            "pop": F.lit(pop),
+            "pop_rank": F.lit(k),
+            "ac": F.col(f"_c{k}"),
+            "n_haps": F.expr(f"cast({len(pops.indices(pop))} * {ploidy} as bigint)"),
+            "n": F.col(f"_n{k}"),
+            "n01": F.expr(f"get(_c{k}, 0) + get(_c{k}, 1)"),
+        }
+        if heterozygotes:
+            fields["het"] = F.expr(own[k].heterozygotes())
+        entries.append(F.struct(*(v.alias(n) for n, v in fields.items())))
+    # two alleles, the usual case, without a higher-order function
+    seen = F.expr(f"if(top = 1, if(_n{last} > _m{last}, 1, 0) + if(_m{last} > 0, 1, 0), size(filter(_c{last}, x -> x > 0)))")
+    rows = rows.withColumn("n_alleles_all", seen).withColumn("p", F.array(*entries))
+    return rows.drop("bits", "top", *(f"_{x}{k}" for x in "nmc" for k in range(len(counters))))
+
+
 def _counter(alleles: Column):
     """How often an allele occurs, as a function of it."""
     return lambda a: (F.size(alleles) - F.size(F.array_remove(alleles, a))).cast("long")

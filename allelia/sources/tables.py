@@ -13,29 +13,31 @@ THREE = Populations(POPULATIONS.samples, tuple("ABC"[i % 3] for i in range(SAMPL
 
 
 def order_sites(spark: SparkSession, sf_dir: str, extra_allele: bool = False) -> DataFrame:
-    """One site per order: contig from the key modulo 3, position from the key; genotypes by integer arithmetic.
+    """One site per order: contig from the key modulo 3, position from the key; genotypes by integer arithmetic, as bit planes.
 
-    The genotypes of a site are an array in its row, so no calls are exploded. ``extra_allele`` turns some alternate
-    alleles into a second one.
+    ``extra_allele`` turns some alternate alleles into a second one.
     """
-    # two narrow columns become wide rows, so they are dealt out before that
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one = lambda m, a, n: f"cast((o_orderkey * {m} + {a} + o_custkey) % {n} = 0 as int)"
-    samples = []
-    for s in range(SAMPLES):
-        a2 = one(11, s * 5, 3)
-        if extra_allele:
-            a2 = f"{a2} * (1 + cast((o_orderkey + {s}) % 4 = 0 as int))"
-        samples.append(f"case when (o_orderkey * 31 + {s * 17}) % 13 = 0 then array(-1, -1) when o_custkey % 5 <> 0 then array(0, 0) else array({one(7, s * s * 3, 4)}, {a2}) end")
-    gt = f"array({', '.join(samples)})"
-    variable = F.col("o_custkey") % 5 == 0
-    alts = F.when(~variable, F.expr("cast(array() as array<string>)")).when(F.lit(extra_allele), F.array(F.lit("C"), F.lit("G"))).otherwise(F.array(F.lit("C")))
-    return orders.select(
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    one = lambda m, a, n: f"(o_orderkey * {m} + {a} + o_custkey) % {n} = 0"
+    plane = lambda on: " + ".join(f"if({on(s)}, {1 << s}L, 0L)" for s in range(SAMPLES))
+    called = lambda s: f"(o_orderkey * 31 + {s * 17}) % 13 <> 0"
+    second = lambda s: f"(o_orderkey + {s}) % 4 = 0"
+    varies = "o_custkey % 5 = 0"
+    first = plane(lambda s: f"{called(s)} and {one(7, s * s * 3, 4)}")
+    other = plane(lambda s: f"{called(s)} and {one(11, s * 5, 3)}" + f" and not {second(s)}" * extra_allele)
+    planes = [[first], [other]]
+    if extra_allele:
+        planes = [[first, "0L"], [other, plane(lambda s: f"{called(s)} and {one(11, s * 5, 3)} and {second(s)}")]]
+    rows = orders.withColumn("_called", F.expr(plane(called)))
+    bits = ", ".join(w for h in planes for w in ["_called", *(f"if({varies}, {x}, 0L)" for x in h)])
+    alts = F.when(~F.expr(varies), F.expr("cast(array() as array<string>)")).when(F.lit(extra_allele), F.array(F.lit("C"), F.lit("G"))).otherwise(F.array(F.lit("C")))
+    return rows.select(
         F.concat(F.lit("chr"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("chrom"),
         (F.expr("o_orderkey div 3") + 1).alias("pos"),
         F.col("o_orderkey").alias("row_id"),
         alts.alias("alts"),
         F.lit(True).alias("is_snp"),
         F.lit(None).cast("int").alias("info_end"),
-        F.expr(gt).alias("gt"),
+        F.expr(f"array({bits})").alias("bits"),
+        F.lit(2 if extra_allele else 1).alias("top"),
     )
