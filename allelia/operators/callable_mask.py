@@ -2,7 +2,7 @@
 
 A mask row is (chrom, start0, end0, k): a half-open 0-based range and the number of called samples of each population, array<long> in
 the order of the populations. Ranges are clipped to windows by an interval join; the variant positions in a clipped range are
-counted and taken off its length.
+counted and taken off its length. A ploidy of None is the column ``ploidy`` of the ranges.
 """
 
 from __future__ import annotations
@@ -34,13 +34,13 @@ def invariant_ranges(windows: DataFrame, mask: DataFrame, variants: DataFrame, w
     return joined.withColumn("n_inv", n_inv * F.col("times")).where("n_inv > 0").select(*KEYS, "k", "n_inv")
 
 
-def _entries(ranges: DataFrame, pops: Populations, ploidy: int) -> DataFrame:
-    sizes = pops.sizes()
-    entries = F.array(*(F.struct(F.lit(p).alias("pop"), (F.element_at("k", i + 1) * ploidy).cast("long").alias("n"), F.lit(sizes[p] * ploidy).cast("long").alias("n_haps")) for i, p in enumerate(pops.order)))
+def _entries(ranges: DataFrame, pops: Populations, ploidy: int | None) -> DataFrame:
+    sizes, each = pops.sizes(), F.col("ploidy") if ploidy is None else F.lit(ploidy)
+    entries = F.array(*(F.struct(F.lit(p).alias("pop"), (F.element_at("k", i + 1) * each).cast("long").alias("n"), (sizes[p] * each).cast("long").alias("n_haps")) for i, p in enumerate(pops.order)))
     return ranges.withColumn("p", entries)
 
 
-def pi_mask(ranges: DataFrame, pops: Populations, ploidy: int = 2) -> DataFrame:
+def pi_mask(ranges: DataFrame, pops: Populations, ploidy: int | None = 2) -> DataFrame:
     """count_comparisons, count_missing and no_sites of the invariant sites of each population."""
     rows = _entries(ranges, pops, ploidy).select(*KEYS, "n_inv", F.explode("p").alias("e")).select(*KEYS, "n_inv", "e.*")
     comps = K.choose2(F.col("n"))
@@ -51,7 +51,7 @@ def pi_mask(ranges: DataFrame, pops: Populations, ploidy: int = 2) -> DataFrame:
     )
 
 
-def dxy_mask(ranges: DataFrame, pops: Populations, ploidy: int = 2) -> DataFrame:
+def dxy_mask(ranges: DataFrame, pops: Populations, ploidy: int | None = 2) -> DataFrame:
     """The same for pairs of populations."""
     n = len(pops.order)
     pairs = F.array(*(F.struct(F.get("p", F.lit(i)).alias("a"), F.get("p", F.lit(j)).alias("b")) for i in range(n) for j in range(i + 1, n)))
@@ -65,7 +65,7 @@ def dxy_mask(ranges: DataFrame, pops: Populations, ploidy: int = 2) -> DataFrame
     )
 
 
-def class_mask(ranges: DataFrame, pops: Populations, ploidy: int = 2) -> DataFrame:
+def class_mask(ranges: DataFrame, pops: Populations, ploidy: int | None = 2) -> DataFrame:
     """Invariant sites by number of called alleles, for Watterson's theta and Tajima's D."""
     rows = _entries(ranges, pops, ploidy).select(*KEYS, "n_inv", F.explode("p").alias("e")).select(*KEYS, "n_inv", "e.*")
     return rows.groupBy(*KEYS, "pop", "n").agg(F.sum("n_inv").alias("sites"))

@@ -94,6 +94,22 @@ def blocks_as_sites(sites: DataFrame) -> DataFrame:
     )
 
 
+def blocks_with_listed(sites: DataFrame, listed: DataFrame, width: int = 16_384) -> DataFrame:
+    """``blocks_as_sites`` and ``masked`` at once: reference blocks of which only listed positions count, others are missing.
+
+    A block stays one row without calls; each listed position in it adds a row with its calls, and one without calls of
+    weight -1. So there are as many rows as blocks and listed positions, not as positions. Needs bit planes."""
+    rows = blocks_as_sites(sites).withColumn("weight", F.lit(1).cast("long")).withColumn("_block", is_block())
+    other = masked(rows.where("not _block"), listed)
+    blocks = rows.where("_block")
+    binned = blocks.withColumn("_bin", F.explode(F.expr(f"sequence(pos div {width}, span_end div {width})")))
+    at = listed.select("chrom", F.col("pos").alias("_at")).distinct().withColumn("_bin", F.expr(f"_at div {width}"))
+    met = binned.join(at, ["chrom", "_bin"]).where("_at between pos and span_end").withColumn("pos", F.col("_at")).withColumn("span_end", F.col("_at")).drop("_at", "_bin")
+    no_calls = lambda df: df.withColumn("bits", F.lit(None).cast("array<bigint>"))
+    whole = no_calls(blocks).unionByName(met).unionByName(no_calls(met).withColumn("weight", F.lit(-1).cast("long")))
+    return whole.unionByName(other.select(whole.columns)).drop("_block")
+
+
 def row_ploidy(gts: Column) -> Column:
     """The first ploidy over 1 among the sample fields of a row, or null; mostly the first field decides, and the others are not looked at."""
     one = lambda g: K.gt_ploidy(F.element_at(F.split(g, ":"), 1))

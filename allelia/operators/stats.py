@@ -53,8 +53,13 @@ def pi(sited: DataFrame, windows: DataFrame, pops: Populations, mask: DataFrame
         ((K.choose2(F.col("n_haps")) - comps) * F.col("mult")).alias("count_missing"),
         F.when(F.col("n01") > 0, F.col("mult")).otherwise(0).alias("no_sites"),
     )
-    sums = _with_mask(parts.groupBy(*keys).agg(*_sums()), mask, keys)
-    out = _populations(windows, pops).join(sums, keys, "left")
+    return pi_result(parts.groupBy(*keys).agg(*_sums()), windows, pops, mask)
+
+
+def pi_result(sums: DataFrame, windows: DataFrame, pops: Populations, mask: DataFrame | None = None) -> DataFrame:
+    """pi from (keys, pop, count_diffs, count_comparisons, count_missing, no_sites)."""
+    keys = [*KEYS, "pop"]
+    out = _populations(windows, pops).join(_with_mask(sums, mask, keys), keys, "left")
     return out.select("pop", *_window(), _ratio("count_diffs", "count_comparisons").alias("avg_pi"), F.coalesce("no_sites", F.lit(0)).alias("no_sites"), "count_diffs", "count_comparisons", "count_missing", "window_ord", "pop_rank")
 
 
@@ -74,8 +79,13 @@ def dxy(sited: DataFrame, windows: DataFrame, pops: Populations, mask: DataFrame
         ((F.col("a.n_haps") * F.col("b.n_haps") - comps) * F.col("mult")).alias("count_missing"),
         F.when((F.col("a.n01") > 0) & (F.col("b.n01") > 0), F.col("mult")).otherwise(0).alias("no_sites"),
     )
-    sums = _with_mask(parts.groupBy(*keys).agg(*_sums()), mask, keys)
-    out = _pairs(windows, pops).join(sums, keys, "left")
+    return dxy_result(parts.groupBy(*keys).agg(*_sums()), windows, pops, mask)
+
+
+def dxy_result(sums: DataFrame, windows: DataFrame, pops: Populations, mask: DataFrame | None = None) -> DataFrame:
+    """dxy from (keys, pop1, pop2, count_diffs, count_comparisons, count_missing, no_sites)."""
+    keys = [*KEYS, "pop1", "pop2"]
+    out = _pairs(windows, pops).join(_with_mask(sums, mask, keys), keys, "left")
     return out.select("pop1", "pop2", *_window(), _ratio("count_diffs", "count_comparisons").alias("avg_dxy"), F.coalesce("no_sites", F.lit(0)).alias("no_sites"), "count_diffs", "count_comparisons", "count_missing", "window_ord")
 
 
@@ -84,17 +94,18 @@ def fst_eligible(counted: DataFrame) -> DataFrame:
     return counted.where("n_alleles_all = 2")
 
 
-def _fst_parts(rows: DataFrame, kind: str) -> DataFrame:
-    """Per-site components; raw sums keep NaN, the others skip it term by term."""
+def _fst_parts(rows: DataFrame, kind: str, where: F.Column | None = None) -> DataFrame:
+    """Per-site components; raw sums keep NaN, the others skip it term by term. Where ``where`` does not hold they are null, and not computed."""
+    only = (lambda c: c) if where is None else (lambda c: F.when(where, c))
     if kind == "hudson":
         num, den = K.hudson_site(F.col("a"), F.col("b"))
-        return rows.withColumn("_x", num).withColumn("_y", den).withColumns({"x": K.skip_nan(F.col("_x")), "y": K.skip_nan(F.col("_y")), "z": F.lit(0.0)})
+        return rows.withColumn("_x", only(num)).withColumn("_y", only(den)).withColumns({"x": K.skip_nan(F.col("_x")), "y": K.skip_nan(F.col("_y")), "z": only(F.lit(0.0))})
     top = F.size("a.ac") - 1
     each = F.transform(F.sequence(F.lit(0), top), lambda u: K.weir_cockerham_allele(F.col("a"), F.col("b"), u))
     # one pass over the alleles for all six sums
     zero = F.struct(*(F.lit(0.0).alias(v) for v in ("_x", "_y", "_z", "x", "y", "z")))
     add = lambda s, t: F.struct(*((s[f"_{v}"] + t[n]).alias(f"_{v}") for v, n in zip("xyz", "abc")), *((s[v] + K.skip_nan(t[n])).alias(v) for v, n in zip("xyz", "abc")))
-    sums = rows.withColumn("_w", F.explode_outer(F.array(F.aggregate(each, zero, add))))  # above a generator, so computed once
+    sums = rows.withColumn("_w", F.explode_outer(F.array(only(F.aggregate(each, zero, add)))))  # above a generator, so computed once
     return sums.select(*rows.columns, "_w.*")
 
 
@@ -113,6 +124,11 @@ def fst(sited: DataFrame, pops: Populations, kind: str = "wc", components: bool
     """
     keys = [*KEYS, "pop1", "pop2"]
     sums = _fst_parts(by_pair(fst_eligible(sited), pops), kind).groupBy(*keys).agg(F.count("*").alias("no_snps"), *(F.sum(v).alias(v) for v in "xyz"))
+    return fst_result(sums, kind, components)
+
+
+def fst_result(sums: DataFrame, kind: str = "wc", components: bool = False) -> DataFrame:
+    """FST from (keys, pop1, pop2, no_snps, x, y, z)."""
     whole = F.col("x") + F.col("y") if kind == "hudson" else F.col("x") + F.col("y") + F.col("z")
     value = F.when(K.positive(whole), K.divide(F.col("x"), F.col("y") if kind == "hudson" else whole))
     return sums.select("pop1", "pop2", *_window(), value.alias(f"avg_{kind}_fst"), "no_snps", *_fst_names(kind, components), "window_ord")
@@ -151,8 +167,13 @@ def _most(pops: Populations, ploidy: int) -> int:
 
 def watterson_theta(sited: DataFrame, windows: DataFrame, pops: Populations, ploidy: int = 2, mask: DataFrame | None = None) -> DataFrame:
     """Watterson's theta; mask rows are (keys, pop, n, sites) of invariant sites."""
+    return watterson_result(allele_classes(sited), windows, pops, ploidy, mask)
+
+
+def watterson_result(classes: DataFrame, windows: DataFrame, pops: Populations, ploidy: int = 2, mask: DataFrame | None = None) -> DataFrame:
+    """Watterson's theta from (keys, pop, n, sites, variants, diffs). ploidy: the largest."""
     keys = [*KEYS, "pop"]
-    classes = allele_classes(sited).withColumn("real", F.lit(1))
+    classes = classes.select(*keys, "n", "sites", "variants", "diffs", F.lit(1).alias("real"))
     if mask is not None:
         extra = mask.where("n > 0 and sites > 0").select(*keys, "n", "sites", F.lit(0).cast("long").alias("variants"), F.lit(0).cast("long").alias("diffs"), F.lit(0).alias("real"))
         classes = classes.unionByName(extra)
@@ -182,8 +203,13 @@ def watterson_theta(sited: DataFrame, windows: DataFrame, pops: Populations, plo
 
 def tajima_d(sited: DataFrame, windows: DataFrame, pops: Populations, ploidy: int = 2, components: bool = False, mask: DataFrame | None = None) -> DataFrame:
     """Tajima's D with the standard deviation summed over classes of sites with equally many called alleles."""
+    return tajima_result(allele_classes(sited), windows, pops, ploidy, components, mask)
+
+
+def tajima_result(classes: DataFrame, windows: DataFrame, pops: Populations, ploidy: int = 2, components: bool = False, mask: DataFrame | None = None) -> DataFrame:
+    """Tajima's D from (keys, pop, n, sites, variants, diffs). ploidy: the largest."""
     keys = [*KEYS, "pop"]
-    classes = _constants(allele_classes(sited), _most(pops, ploidy))
+    classes = _constants(classes, _most(pops, ploidy))
     s = F.col("variants").cast("double")
     spread = F.when((F.col("n") >= 2) & (s > 0), F.sqrt(F.col("e1") * s + F.col("e2") * s * (s - 1))).otherwise(0.0)
     sums = classes.groupBy(*keys).agg(

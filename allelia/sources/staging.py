@@ -18,8 +18,10 @@ def new_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, *sort: str) -> DataFrame:
-    """The rows written once as Parquet and read again: later scans read only their columns, and a recomputed task gives the same rows."""
+def staged(df: DataFrame, *sort: str, **options: str) -> DataFrame:
+    """The rows written once as Parquet and read again: later scans read only their columns, and a recomputed task gives the same rows.
+
+    sort: columns to sort by within each file; options: of Spark's Parquet writer."""
     path = new_path(df.sparkSession)
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
