@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     if runs > 2**RUN_BITS:
         raise ValueError(f"recall {recall} at threshold {threshold} asks for {runs} runs, over {2**RUN_BITS}")
     sets = stored(_described(docs, k, threshold, runs))
-    unique = sets.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    # rep names the set's class; pick is one text that has the set, by its id and its hash, so rows with one id (or none) do not meet each other's sets
+    unique = sets.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("pick"), F.min("n").alias("n"))
     marks = sets.select("sid", "sketch").dropDuplicates(["sid"])
     leaves, far = _buckets(sets, marks, runs, limit, threshold)
     leaves = _pairs_of_blocks(leaves, F.ceil(F.col("m") / (2 * limit)), "sid")
@@ -272,22 +273,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     # by set id within a bucket, so the leader of a forest is the smallest and different buckets give equal edges
     edges = members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "sid").mapInArrow(_forests(cut), "a binary, b binary")
     parts = connected_components(edges if far is None else edges.unionByName(far))
-    parts = parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "rep", "n")
+    parts = parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "pick", "n")
     weight = parts.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_tokens)).alias("k"))
-    wanted = parts.join(apart(weight), "root").select("root", "k", "sid", "copies", "rep")
+    wanted = parts.join(apart(weight), "root").select("root", "k", "sid", "copies", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_key").alias("pick_key"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_before: set[bytes] = set()  # equal rows bring a set many times; one is enough
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             for a, b, data, offs in blocks(get("text")):
                 found = shingles(Words(data, offs), k)
-                same = [set_id(t, b"") == s if len(t) else False for t, s in zip(found, get("sid").slice(a, b - a).to_pylist())]
+                same = [len(t) > 0 and set_id(t, b"") == s and s not in sent_before and not sent_before.add(s) for t, s in zip(found, get("sid").slice(a, b - a).to_pylist())]
                 part = batch.slice(a, b - a).filter(pa.array(same))
                 sent = pa.array([t.tobytes() for t, s in zip(found, same) if s], pa.binary())
                 names = ["root", "k", "sid", "copies"]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [sent], names=[*names, "tokens"])
 
-    with_text = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    with_text = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("pick_id")) & (F.xxhash64("text") == F.col("pick_key")))
     whole = with_text.select("root", "k", "sid", "copies", "text").mapInArrow(tokens, "root binary, k long, sid binary, copies long, tokens binary")
     whole = _pairs_of_blocks(whole, F.col("k"), "sid").drop("k")
     checked = stored(whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified(threshold), "sid binary, docs long, sets long, lead binary"))

@@ -152,6 +152,21 @@ def test_similarity_join_against_brute_force(spark, kw):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_links(docs)
 
 
+def test_rows_without_ids_do_not_meet_each_others_sets(spark):
+    """2,000 near copies without an id, and as many with one id; the rows with texts grow with the sets, not with their square."""
+    rng = random.Random(8)
+    base = invented(rng, 200, 400).split()
+    docs = []
+    for k in range(2000):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"own{k}"
+        docs.append((None if k % 2 else 7, " ".join(w)))
+    docs += [docs[1]] * 50
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert len(got) == 2050 and {r.class_id for r in got} == {7} and len({r.lead for r in got}) == 1
+    assert min(r.n_links for r in got) >= 2000
+
+
 def test_similarity_join_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None)], DOCS)).select("doc_id", "class_id", "n_links").collect() == [(1, 1, 0)]
