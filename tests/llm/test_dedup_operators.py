@@ -306,6 +306,23 @@ def test_short_passages_in_unlike_contexts_go(spark):
     assert all(got[100 + k] == ("\n".join(a + b), len(p), 1) for k, (p, (a, b)) in enumerate(zip(passages, around)))
 
 
+def test_each_density_removes_what_coarser_ones_leave(spark):
+    """Long repeated passages go mostly as long chunks, also if lines before them differ; pairs take their ends and the short ones."""
+    rng = random.Random(12)
+    passage = [f"line {k} of a long passage" for k in range(400)]
+    own = lambda n: [f"own {rng.random()}" for _ in range(n)]
+    docs = [(0, "\n".join(passage))] + [(k, "\n".join([*own(k % 5), *passage[k : 380 + k], *own(3)])) for k in range(1, 12)]
+    docs += [(20, "\n".join([*own(1), *passage[5:7], *own(1)])), (21, None), (22, "")]
+    rows = spark.createDataFrame([(*d, "x") for d in docs], DOCS + ", n_removed_by string")
+    got = {r.doc_id: r for r in lines.dedup_passages(rows, by_density=True).collect()}
+    plain = {r.doc_id: r for r in lines.dedup_passages(rows).collect()}
+    assert all((got[d].text, got[d].n_removed) == (plain[d].text, plain[d].n_removed) and sum(got[d].n_removed_by) == got[d].n_removed for d, _ in docs)
+    for k in range(1, 12):
+        coarse, middle, pairs = got[k].n_removed_by
+        assert got[k].n_removed == 380 and coarse > 200 and coarse + middle + pairs == 380 and pairs < 40
+    assert got[20].n_removed_by == [0, 0, 2] and plain[20].n_removed_by == "x"
+
+
 # sharding
 
 
