@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sites
-from ..sources import staging, vcf
-from .analysis import AnalysisConfig, analyse, text_rows
+from ..sources import staging, store, vcf
+from .analysis import AnalysisConfig, analyse, text_rows, write_results
 from .queries import _BED, _DXY_OUT, _DXY_PARTS, _ELIGIBLE, _HARMONIC, _HUDSON_SITE, _PAIRS, _PI_OUT, _PI_PARTS, _POPS, _WC_SITE, _WINDOWS, SIZE, _bed, _div, _out, _theta_sql
 
 SAMPLES = 10
@@ -34,8 +34,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
 
 
-def _vcf(spark: SparkSession, sf_dir: str, blocks: bool = False) -> str:
-    haploid = "false" if blocks else "o % 3 = 2"
+#: Orders on one of many small contigs.
+SCAFFOLD = 40
+
+
+def _vcf(spark: SparkSession, sf_dir: str, blocks: bool = False, scaffolds: bool = False) -> str:
+    haploid = "false" if blocks else f"o div {SCAFFOLD} % 3 = 2" if scaffolds else "o % 3 = 2"
     gts = []
     for s in range(SAMPLES):
         missing, half = f"(o * 31 + {s * 17}) % 13 = 0", f"(o * 5 + {s}) % 17 = 0"
@@ -45,13 +49,14 @@ def _vcf(spark: SparkSession, sf_dir: str, blocks: bool = False) -> str:
         one = f"case when {missing} or {half} then '.' else {a1} end"
         gts.append(f"concat(case when {haploid} then {one} else concat({one}, case when o % 2 = 0 then '/' else '|' end, case when {missing} then '.' else {a2} end) end, case when o % 4 = 0 then ':3' else '' end)")
     rows = _orders(spark, sf_dir).withColumn("kind", F.expr("4" if blocks else "o % 7"))
-    pos = "(o div 3) * 4 + 1" if blocks else "o div 3 + 1"
+    chrom, group = (f"concat('s', o div {SCAFFOLD})", f"o div {SCAFFOLD}") if scaffolds else ("concat('chr', o % 3 + 1)", "o % 3")
+    pos = "(o div 3) * 4 + 1" if blocks else f"o % {SCAFFOLD} + 1" if scaffolds else "o div 3 + 1"
     end = "case when c % 5 <> 0 and c % 4 > 0 then c % 4 else 0 end" if blocks else "0"
     alt = f"case when c % 5 <> 0 then case when {end} > 0 then '<NON_REF>' else '.' end when kind = 0 then 'C,G' when kind = 1 then 'A' when kind = 2 then '<DEL>' when kind = 3 then 'C,*' else 'C' end"
     ref = "case when c % 5 = 0 and kind = 1 or c % 5 <> 0 and o % 11 = 3 then 'AT' else 'A' end"
     info = f"case when {end} > 0 then concat('END=', {pos} + {end}) else '.' end"
-    line = F.expr(f"concat_ws('\t', concat('chr', o % 3 + 1), {pos}, '.', {ref}, {alt}, '.', '.', {info}, case when o % 4 = 0 then 'GT:DP' else 'GT' end, {', '.join(gts)})")
-    return _text(spark, rows.repartitionByRange(F.expr("o % 3"), "o").sortWithinPartitions(F.expr("o % 3"), "o").select(line.alias("value")), HEAD)
+    line = F.expr(f"concat_ws('\t', {chrom}, {pos}, '.', {ref}, {alt}, '.', '.', {info}, case when o % 4 = 0 then 'GT:DP' else 'GT' end, {', '.join(gts)})")
+    return _text(spark, rows.repartitionByRange(F.expr(group), "o").sortWithinPartitions(F.expr(group), "o").select(line.alias("value")), HEAD)
 
 
 def _run(spark: SparkSession, sf_dir: str, stat: str, blocks: bool = False, **kw) -> DataFrame:
@@ -126,7 +131,37 @@ def vcf_contigs(spark, sf_dir):
     return found.join(later, F.col("other") < F.col("chrom_rank"), "left").groupBy("chrom", F.col("first").cast("long").alias("first_pos"), F.col("last").cast("long").alias("last_pos")).agg(F.count("other").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (vcf_pi, vcf_dxy_bed, vcf_fst_hudson, vcf_fst_wc, vcf_fst_interval, vcf_short_interval, vcf_watterson_theta, vcf_pi_sites, vcf_mask_pi, gvcf_pi, vcf_pi_text, vcf_site_classes, vcf_contigs)}
+def vcf_region_pi(spark, sf_dir):
+    """A region of a saved store: of the sites, only the row groups that it touches are read."""
+    saved = staging.new_path(spark)
+    store.save(store.build(spark, _vcf(spark, sf_dir)), saved)
+    config = AnalysisConfig(store=saved, populations=_text(spark, POPULATIONS), stats=("pi",), window_size=100, chromosomes=("chr1",), interval_start=101, interval_end=400)
+    return _out(analyse(spark, config)["pi"].drop("chrom_rank"))
+
+
+def vcf_scaffolds_pi(spark, sf_dir):
+    """Thousands of small contigs of both ploidies, in one plan."""
+    config = AnalysisConfig(vcf=_vcf(spark, sf_dir, scaffolds=True), populations=_text(spark, POPULATIONS), stats=("pi",), window_size=15)
+    return _out(analyse(spark, config)["pi"].drop("chrom_rank"))
+
+
+def gvcf_pi_sites(spark, sf_dir):
+    """Listed positions in reference blocks and beside them; blocks stay rows with a weight."""
+    listed = _orders(spark, sf_dir).where("o % 7 < 4").selectExpr("concat_ws('\t', concat('chr', o % 3 + 1), o div 3 * 4 + 1 + o % 4) as value")
+    return _run(spark, sf_dir, "pi", blocks=True, sites_file=_text(spark, listed), interval_start=1, interval_end=1200, chromosomes=("chr2",))
+
+
+def vcf_pi_file(spark, sf_dir):
+    """The lines of the written file, numbered from 0."""
+    config = AnalysisConfig(vcf=_vcf(spark, sf_dir), populations=_text(spark, POPULATIONS), stats=("pi",), window_size=SIZE, output_folder=staging.new_path(spark))
+    lines = spark.read.text(write_results(analyse(spark, config), config)[0]).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    lines = lines.withColumn("part", F.shiftright("id", 33)).withColumn("place", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part of the file
+    before = sizes.select(F.col("part").alias("own")).join(sizes, F.col("part") < F.col("own"), "left").groupBy("own").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    return lines.join(before, F.col("own") == F.col("part")).select((F.col("before") + F.col("place")).alias("line_number"), "line")
+
+
+QUERIES = {f.__name__: f for f in (vcf_region_pi, vcf_scaffolds_pi, gvcf_pi_sites, vcf_pi_file, vcf_pi, vcf_dxy_bed, vcf_fst_hudson, vcf_fst_wc, vcf_fst_interval, vcf_short_interval, vcf_watterson_theta, vcf_pi_sites, vcf_mask_pi, gvcf_pi, vcf_pi_text, vcf_site_classes, vcf_contigs)}
 
 
 _ALL = f"""calls0 AS (SELECT 'chr' || (o % 3 + 1) AS chrom, o // 3 + 1 AS pos, o AS row_id, s AS sample, CASE WHEN s = {SAMPLES - 1} THEN NULL WHEN s % 2 = 0 THEN 'A' ELSE 'B' END AS pop, v AS variable, kind,
@@ -191,4 +226,17 @@ FROM (SELECT *, CASE WHEN count_comparisons > 0 THEN count_diffs / count_compari
     "vcf_site_classes": f"""WITH {_ALL} SELECT chrom, CASE WHEN NOT variable THEN 'invariant' WHEN kind IN (4, 5, 6) THEN 'biallelic' WHEN kind IN (0, 3) THEN 'multiallelic' ELSE 'other' END AS site_class, CASE WHEN chrom = 'chr3' THEN 1 ELSE 2 END AS ploidy,
   count(DISTINCT row_id) AS n, CAST(sum(CAST(a1 >= 0 AS INT) + CASE WHEN chrom <> 'chr3' THEN CAST(a2 >= 0 AS INT) ELSE 0 END) AS BIGINT) AS called FROM calls0 GROUP BY ALL""",
     "vcf_contigs": "SELECT 'chr' || (o_orderkey % 3 + 1) AS chrom, CAST(min(o_orderkey // 3 + 1) AS BIGINT) AS first_pos, CAST(max(o_orderkey // 3 + 1) AS BIGINT) AS last_pos, CAST(o_orderkey % 3 AS BIGINT) AS place FROM orders GROUP BY ALL",
+    "vcf_region_pi": _pi_sql("win AS (SELECT 'chr1' AS chrom, k * 100 + 101 AS w1, k * 100 + 200 AS w2, k AS window_ord FROM range(0, 3) t(k))"),
+    "vcf_scaffolds_pi": f"""WITH {_called().replace("'chr' || (o % 3 + 1)", f"'s' || (o // {SCAFFOLD})").replace("o // 3 + 1 AS pos", f"o % {SCAFFOLD} + 1 AS pos").replace("WHERE chrom <> 'chr3'", "WHERE CAST(substr(chrom, 2) AS BIGINT) % 3 <> 2")},
+win AS (SELECT chrom, k * 15 + 1 AS w1, k * 15 + 15 AS w2, k AS window_ord FROM (SELECT chrom, unnest(CASE WHEN e - 1 <= 15 THEN [0::BIGINT] ELSE range(0, ((e + 14) // 15 * 15 - 2) // 15 + 1) END) AS k FROM (SELECT 's' || (o_orderkey // {SCAFFOLD}) AS chrom, max(o_orderkey % {SCAFFOLD} + 1) AS e FROM orders GROUP BY 1))),
+g AS (SELECT win.chrom, w1, w2, window_ord, pop, {_PI_PARTS} FROM sp JOIN win ON sp.chrom = win.chrom AND pos BETWEEN w1 AND w2 GROUP BY ALL)
+{_PI_OUT} FROM win w CROSS JOIN {_POPS} LEFT JOIN g ON g.chrom = w.chrom AND g.w1 = w.w1 AND g.pop = p.pop""",
+    "gvcf_pi_sites": f"""WITH {_GVCF.replace("calls AS (", "calls1 AS (")}, listed AS (SELECT DISTINCT 'chr' || (o_orderkey % 3 + 1) AS chrom, o_orderkey // 3 * 4 + 1 + o_orderkey % 4 AS pos FROM orders WHERE o_orderkey % 7 < 4),
+calls AS (SELECT c.* REPLACE (CASE WHEN l.pos IS NULL THEN -1 ELSE a1 END AS a1, CASE WHEN l.pos IS NULL THEN -1 ELSE a2 END AS a2) FROM calls1 c LEFT JOIN listed l ON l.chrom = c.chrom AND l.pos = c.pos), {_HAPS.replace(" WHERE chrom <> 'chr3'", "")},
+win AS (SELECT 'chr2' AS chrom, k * {SIZE} + 1 AS w1, k * {SIZE} + {SIZE} AS w2, k AS window_ord FROM range(0, 3) t(k)),
+g AS (SELECT win.chrom, w1, w2, window_ord, pop, {_PI_PARTS} FROM sp JOIN win ON sp.chrom = win.chrom AND pos BETWEEN w1 AND w2 GROUP BY ALL)
+{_PI_OUT} FROM win w CROSS JOIN {_POPS} LEFT JOIN g ON g.chrom = w.chrom AND g.w1 = w.w1 AND g.pop = p.pop""",
+    "vcf_pi_file": f"""SELECT CAST(0 AS BIGINT) AS line_number, concat_ws(chr(9), 'pop', 'chromosome', 'window_pos_1', 'window_pos_2', 'avg_pi', 'no_sites', 'count_diffs', 'count_comparisons', 'count_missing') AS line
+UNION ALL SELECT row_number() OVER (ORDER BY chromosome, window_pos_1, pop), concat_ws(chr(9), pop, chromosome, window_pos_1, window_pos_2, coalesce(printf('%.14g', raw), 'NA'), no_sites, coalesce(CAST(count_diffs AS VARCHAR), 'NA'), coalesce(CAST(count_comparisons AS VARCHAR), 'NA'), coalesce(CAST(count_missing AS VARCHAR), 'NA'))
+FROM (SELECT *, CASE WHEN count_comparisons > 0 THEN count_diffs / count_comparisons END AS raw FROM ({_pi_sql()}))""",
 }

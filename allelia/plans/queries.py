@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import callable_mask, rollup, sites, stats, windows
+from ..operators import callable_mask, fused, rollup, sites, stats, windows
+from ..sources import staging
 from ..sources.tables import POPULATIONS, THREE, order_sites
 
 SIZE = 500
@@ -215,12 +216,43 @@ def long_format(spark, sf_dir):
     return _out(rollup.long_format({"avg_pi": stats.pi(sited, table, POPULATIONS), "avg_dxy": stats.dxy(sited, table, POPULATIONS)}))
 
 
+def _nested(spark, sf_dir):
+    """Windows as wide as a contig, one in another: each covers nearly all sites."""
+    ends = windows.extents(order_sites(spark, sf_dir)).select("chrom", "end")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("concat('chr', cast(n_nationkey % 3 + 1 as string)) as chrom", "n_nationkey as k")
+    return n.join(ends, "chrom").selectExpr("chrom", "cast(k * 7 + 1 as bigint) as w1", "end - k * 5 as w2", "cast(k as bigint) as window_ord")
+
+
+def pi_nested_windows(spark, sf_dir):
+    """Overlapping windows from sums of cells: a site is counted once, however many windows cover it."""
+    table = _nested(spark, sf_dir)
+    counted = sites.with_populations(sites.retained(order_sites(spark, sf_dir)), POPULATIONS)
+    cells = fused.components(windows.assign_cells(counted, table), POPULATIONS, ("pi",), keys=("chrom", "bin", "cell"))
+    found = windows.gather(staging.staged(cells), table, fused.PARTS, fused.SUMS)
+    return _out(stats.pi_result(fused.pi_sums(found), table, POPULATIONS))
+
+
+def five_statistics(spark, sf_dir):
+    """All statistics from one scan and one count of the genotypes."""
+    sited, table = _fixed(spark, sf_dir)
+    sums = staging.staged(fused.components(sited, POPULATIONS, ("pi", "dxy", "fst", "watterson_theta", "tajima_d"), "hudson"))
+    classes = fused.classes(sums)
+    results = {
+        "avg_pi": stats.pi_result(fused.pi_sums(sums), table, POPULATIONS),
+        "avg_dxy": stats.dxy_result(fused.dxy_sums(sums), table, POPULATIONS),
+        "avg_hudson_fst": stats.fst_result(fused.fst_sums(sums), "hudson"),
+        "avg_watterson_theta": stats.watterson_result(classes, table, POPULATIONS),
+        "tajima_d": stats.tajima_result(classes, table, POPULATIONS),
+    }
+    return _out(rollup.long_format(results))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pi_fixed_windows, pi_multiallelic, pi_sites_mask, pi_bed_windows, pi_single_sites, dxy_fixed_windows, watterson_theta_windows, tajima_d_windows,
         tajima_d_components, rollup_pi, rollup_tajima_d, rollup_dxy, rollup_watterson_theta, rollup_fst_hudson, rollup_fst_wc, site_classes, allele_counts, fst_eligible_sites, ploidy_by_contig, block_expand,
-        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format,
+        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format, pi_nested_windows, five_statistics,
     )
 } | {
     "fst_hudson_windows": _fst("hudson", False),
@@ -401,4 +433,20 @@ SELECT 'A' AS pop1, 'B' AS pop2, {_DXY_OUT} FROM win w LEFT JOIN g ON g.chrom =
     "long_format": f"""WITH {_calls()}, {_SITE_POP}, {_WINDOWS}, g AS (SELECT chrom, {_AT} AS w1, pop, {_PI_PARTS} FROM sp GROUP BY ALL), h AS (SELECT a.chrom, (a.pos - 1) // {SIZE} * {SIZE} + 1 AS w1, {_DXY_PARTS} FROM {_PAIRS} GROUP BY ALL)
 SELECT p.pop AS pop1, CAST(NULL AS VARCHAR) AS pop2, w.chrom AS chromosome, w.w1 AS window_pos_1, w.w2 AS window_pos_2, 'avg_pi' AS statistic, CASE WHEN c > 0 THEN round(d / c, 9) END AS value FROM win w CROSS JOIN {_POPS} LEFT JOIN g ON g.chrom = w.chrom AND g.w1 = w.w1 AND g.pop = p.pop
 UNION ALL SELECT 'A', 'B', w.chrom, w.w1, w.w2, 'avg_dxy', CASE WHEN c > 0 THEN round(d / c, 9) END FROM win w LEFT JOIN h ON h.chrom = w.chrom AND h.w1 = w.w1""",
+    "pi_nested_windows": _pi(_calls(), """win AS (SELECT n.chrom, k * 7 + 1 AS w1, e - k * 5 AS w2, k AS window_ord FROM (SELECT 'chr' || (n_nationkey % 3 + 1) AS chrom, CAST(n_nationkey AS BIGINT) AS k FROM nation) n
+  JOIN (SELECT 'chr' || (o_orderkey % 3 + 1) AS chrom, max(o_orderkey // 3 + 1) AS e FROM orders GROUP BY 1) ext ON ext.chrom = n.chrom)"""),
 }
+
+
+def _long(value: str, sql: str, pops: str = "pop AS pop1, CAST(NULL AS VARCHAR) AS pop2") -> str:
+    return f"SELECT {pops}, chromosome, window_pos_1, window_pos_2, '{value}' AS statistic, {value} AS value FROM ({sql})"
+
+
+ORACLE["five_statistics"] = " UNION ALL ".join((
+    _long("avg_pi", ORACLE["pi_fixed_windows"]),
+    _long("avg_dxy", f"""WITH {_calls()}, {_SITE_POP}, {_WINDOWS}, h AS (SELECT a.chrom, {_AT.replace("pos", "a.pos")} AS w1, {_DXY_PARTS} FROM {_PAIRS} GROUP BY ALL)
+SELECT 'A' AS pop1, 'B' AS pop2, {_DXY_OUT} FROM win w LEFT JOIN h ON h.chrom = w.chrom AND h.w1 = w.w1""", "pop1, pop2"),
+    _long("avg_hudson_fst", _fst_sql("hudson", False).replace(_calls(True, True), _calls()), "pop1, pop2"),
+    _long("avg_watterson_theta", ORACLE["watterson_theta_windows"]),
+    _long("tajima_d", ORACLE["tajima_d_windows"]),
+))
