@@ -111,12 +111,13 @@ def alleles_of_calls(data: np.ndarray, offs: np.ndarray, samples: int) -> tuple[
     The ploidy of a genotype is its number of alleles, but 1 where exactly one is called.
     """
     rows = len(offs) - 1
-    tab = np.flatnonzero(data[:-1] == 9) + 1
+    tab = np.flatnonzero(data[:-1] == 9)
+    of_tab = np.searchsorted(offs, tab, "right") - 1
     full = np.flatnonzero(np.diff(offs) > 0)
-    start = np.union1d(offs[:-1][full], tab)
-    row = np.searchsorted(offs, start, "right") - 1
+    # the first field of each row, and those behind a tab
+    start, row = np.append(offs[:-1][full], tab + 1), np.append(full, of_tab)
+    column = np.append(np.zeros(len(full), np.int64), np.arange(len(tab)) - np.searchsorted(tab, offs[of_tab]) + 1)
     end_of_row = offs[row + 1]
-    column = np.arange(len(start)) - np.searchsorted(start, offs[row])
     keep = column < samples
     at, row, column, last = start[keep], row[keep], column[keep], end_of_row[keep]
     ploidy = np.zeros((rows, samples), np.int32)

@@ -26,10 +26,11 @@ def components(sited: DataFrame, pops: Populations, stats: tuple[str, ...], fst:
 
     FST takes eligible variant sites, for ``wc`` those of diploid contigs (column ``ploidy``, if there is one)."""
     several, k = bool({*PAIRED} & {*stats}), len(pops.order)
-    entry = lambda i, j: F.struct(F.get("p", F.lit(i)).alias("a"), (F.get("p", F.lit(j)) if j is not None else F.when(F.lit(False), F.get("p", F.lit(i)))).alias("b"))
-    entries = [entry(i, None) for i in range(k)] if {*SINGLE} & {*stats} else []
-    entries += [entry(i, j) for i in range(k) for j in range(i + 1, k)] if several else []
-    rows = sited.withColumn("e", F.explode_outer(F.array(*entries))).select("*", "e.*").drop("e", "p")
+    # a number for each population (i, i) and pair (i, j): the plan is as short for many as for two
+    codes = [i * k + i for i in range(k)] if {*SINGLE} & {*stats} else []
+    codes += [i * k + j for i in range(k) for j in range(i + 1, k)] if several else []
+    rows = sited.withColumn("e", F.explode(F.expr(f"array({', '.join(map(str, codes))})")))
+    rows = rows.withColumn("a", F.expr(f"get(p, cast(e div {k} as int))")).withColumn("b", F.expr(f"if(e div {k} = e % {k}, null, get(p, cast(e % {k} as int)))")).drop("e", "p")
     alone = F.col("b").isNull()
     n, m = F.col("a.n"), F.col("b.n")
     comps = F.when(alone, K.choose2(n)).otherwise(n * m)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import callable_mask, fused, sites, stats, windows
+from ..operators import callable_mask, fused, pairs, sites, stats, windows
 from ..sources import side_files, staging, store, vcf
 
 log = logging.getLogger(__name__)
@@ -180,14 +180,24 @@ def _summed(config: AnalysisConfig, counted: DataFrame, table: DataFrame, spans:
         at = assigned(counted.where("site_class <> 'invariant'" + (" and ploidy = 2" if config.fst_type == "wc" and "ploidy" in counted.columns else ""))).drop("w1", "w2", "window_ord", "mult")
     if fused_stats:
         if config.bed_file:
-            cells = fused.components(windows.assign_cells(counted, table), pops, fused_stats, config.fst_type, ("chrom", "bin", "cell"))
+            cells = _components(config, windows.assign_cells(counted, table), pops, fused_stats, ("chrom", "bin", "cell"))
             comps = windows.gather(staging.staged(cells), table, fused.PARTS, fused.SUMS)
         else:
-            comps = fused.components(assigned(counted), pops, fused_stats, config.fst_type)
+            comps = _components(config, assigned(counted), pops, fused_stats, windows.KEYS)
         comps = staging.staged(comps)
     return at, comps
 
 
+def _components(config: AnalysisConfig, at: DataFrame, pops, chosen: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """The sums of ``fused.components``; those of the pairs of many populations as matrix products, where all that is asked of pairs has that form."""
+    paired = [s for s in chosen if s in fused.PAIRED]
+    if len(pops.order) < pairs.MANY or not paired or "fst" in paired and config.fst_type == "wc":
+        return fused.components(at, pops, chosen, config.fst_type, keys)
+    found = pairs.as_components(pairs.pair_sums(at, pops, keys), keys)
+    single = tuple(s for s in chosen if s in fused.SINGLE)
+    return found.unionByName(fused.components(at, pops, single, keys=keys)) if single else found
+
+
 def _windows(spark: SparkSession, config: AnalysisConfig, sited: store.SiteStore, listed: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """The window table, and the spans of fixed windows."""
     known = sited.contigs.select("chrom")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import callable_mask, fused, rollup, sites, stats, windows
+from ..operators import callable_mask, fused, pairs, rollup, sites, stats, windows
 from ..sources import staging
-from ..sources.tables import POPULATIONS, THREE, order_sites
+from ..sources.tables import POPULATIONS, THREE, arriving_sites, order_sites
+from ..streaming import sums
 
 SIZE = 500
 HIDDEN = ("window_ord", "pop_rank")
@@ -247,12 +248,35 @@ def five_statistics(spark, sf_dir):
     return _out(rollup.long_format(results))
 
 
+#: Each sample a population of its own.
+EACH = sites.Populations(POPULATIONS.samples, tuple(f"P{i}" for i in range(len(POPULATIONS.samples))), tuple(f"P{i}" for i in range(len(POPULATIONS.samples))))
+
+
+def dxy_many_populations(spark, sf_dir):
+    """All pairs of many populations as matrix products."""
+    sited, table = _fixed(spark, sf_dir, EACH, extra_allele=True)
+    return _out(stats.dxy_result(pairs.dxy_sums(pairs.pair_sums(sited, EACH)), table, EACH))
+
+
+def fst_many_populations(spark, sf_dir):
+    sited, _ = _fixed(spark, sf_dir, THREE, extra_allele=True)
+    return _out(stats.fst_result(pairs.fst_sums(pairs.pair_sums(sited, THREE)), "hudson", True))
+
+
+def stream_pi(spark, sf_dir):
+    """Sums kept as sites arrive: the stream runs until its source is read."""
+    kept = staging.new_path(spark)
+    stream = arriving_sites(spark, sf_dir).writeStream.foreachBatch(sums.add_batch(kept, POPULATIONS, SIZE))
+    stream.option("checkpointLocation", staging.new_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return _out(sums.with_ratio(sums.current(spark, kept)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pi_fixed_windows, pi_multiallelic, pi_sites_mask, pi_bed_windows, pi_single_sites, dxy_fixed_windows, watterson_theta_windows, tajima_d_windows,
         tajima_d_components, rollup_pi, rollup_tajima_d, rollup_dxy, rollup_watterson_theta, rollup_fst_hudson, rollup_fst_wc, site_classes, allele_counts, fst_eligible_sites, ploidy_by_contig, block_expand,
-        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format, pi_nested_windows, five_statistics,
+        pi_block_weighted, mask_pi, mask_dxy, mask_theta, mask_tajima_d, window_table, long_format, pi_nested_windows, five_statistics, dxy_many_populations, fst_many_populations, stream_pi,
     )
 } | {
     "fst_hudson_windows": _fst("hudson", False),
@@ -450,3 +474,11 @@ SELECT 'A' AS pop1, 'B' AS pop2, {_DXY_OUT} FROM win w LEFT JOIN h ON h.chrom =
     _long("avg_watterson_theta", ORACLE["watterson_theta_windows"]),
     _long("tajima_d", ORACLE["tajima_d_windows"]),
 ))
+_EACH_CALLS = _calls(True).replace("CASE s % 2 WHEN 0 THEN 'A' ELSE 'B' END", "'P' || s")
+ORACLE |= {
+    "dxy_many_populations": f"""WITH {_EACH_CALLS}, {_SITE_POP}, {_WINDOWS}, g AS (SELECT a.chrom, {_AT.replace("pos", "a.pos")} AS w1, a.pop AS pop1, b.pop AS pop2, {_DXY_PARTS} FROM {_PAIRS} GROUP BY ALL)
+SELECT p.pop1, p.pop2, {_DXY_OUT} FROM win w CROSS JOIN (SELECT 'P' || x AS pop1, 'P' || y AS pop2 FROM range(0, 10) t(x), range(0, 10) u(y) WHERE x < y) p LEFT JOIN g ON g.chrom = w.chrom AND g.w1 = w.w1 AND g.pop1 = p.pop1 AND g.pop2 = p.pop2""",
+    "fst_many_populations": ORACLE["fst_hudson_components"],
+    "stream_pi": f"""WITH {_calls()}, {_SITE_POP} SELECT chrom, {_AT} AS w1, pop, CAST(sum((n * n - n0 * n0 - n1 * n1) // 2) AS BIGINT) AS count_diffs, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS count_comparisons,
+  CAST(sum(n_haps * (n_haps - 1) // 2 - n * (n - 1) // 2) AS BIGINT) AS count_missing, count(*) FILTER (n0 + n1 > 0) AS no_sites, round(sum((n * n - n0 * n0 - n1 * n1) // 2) / sum(n * (n - 1) // 2), 9) AS avg_pi FROM sp GROUP BY ALL""",
+}

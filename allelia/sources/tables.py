@@ -17,7 +17,19 @@ def order_sites(spark: SparkSession, sf_dir: str, extra_allele: bool = False) ->
 
     ``extra_allele`` turns some alternate alleles into a second one.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return genotyped(spark.read.parquet(f"{sf_dir}/orders.parquet"), extra_allele)
+
+
+def arriving_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sites as a stream, in micro-batches of files."""
+    path = f"{sf_dir}/orders.parquet"
+    # a pattern, as a stream's path may be one file only that way
+    return genotyped(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))
+
+
+def genotyped(orders: DataFrame, extra_allele: bool = False) -> DataFrame:
+    """Site rows of orders, from a table or a stream."""
+    orders = orders.select("o_orderkey", "o_custkey")
     one = lambda m, a, n: f"(o_orderkey * {m} + {a} + o_custkey) % {n} = 0"
     plane = lambda on: " + ".join(f"if({on(s)}, {1 << s}L, 0L)" for s in range(SAMPLES))
     called = lambda s: f"(o_orderkey * 31 + {s * 17}) % 13 <> 0"

@@ -42,9 +42,10 @@ def read_records(lines: DataFrame, variants_only: bool = False) -> DataFrame:
 
 
 def staged_records(lines: DataFrame) -> DataFrame:
-    """The records of all lines, parsed and written once. The lines are dealt out before their cells are split, by ranges of
-    row_id, so one compressed file is parsed by all tasks and each written file holds a run of positions."""
-    return staged(read_records(lines.repartitionByRange("row_id")), "row_id")
+    """The records of all lines with their cells as text, parsed and written once. The lines are dealt out by a hash of row_id before their cells are split,
+    so one compressed file is read once and parsed by all tasks. ``store.build`` packs the genotypes instead."""
+    many = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(read_records(lines.repartition(many, F.xxhash64("row_id"))), "row_id")
 
 
 def sites_of(records: DataFrame, ploidy: DataFrame | None = None) -> DataFrame:
