@@ -20,7 +20,8 @@ Consecutive windows of one anchor form a context (their bytes run from the first
 The same anchors over words instead of bytes tell which documents share a run of ``PASSAGE`` words with another one (column
 ``passage``); a run of words need not reach ``LENGTH`` bytes. There, unlike contexts compare the hashes of their windows.
 
-Rows are documents: repeated rows repeat each other. A null text is empty; texts under ``LENGTH`` bytes keep all. An empty
+Rows are documents: repeated rows repeat each other. A long text is searched for anchors as one array (some ten numbers of 8 bytes for each of its bytes);
+one of 1 GiB or more is refused with an error. A null text is empty; texts under ``LENGTH`` bytes keep all. An empty
 table gives an empty one. Other columns stay; those called like an added one are replaced, and any other name is safe.
 """
 

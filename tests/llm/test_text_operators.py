@@ -187,6 +187,13 @@ def test_urls_against_brute_force(spark):
         urls.judge(df, [("allow", f"h{k}.com", "/") for k in range(urls.MAX_RULES + 1)])
 
 
+def test_very_long_urls(spark):
+    """A path and a host of a million characters are judged whole."""
+    pages = [(1, "http://www.example.com/en/" + "a/" * 500_000), (2, "http://example.com/en/" + "b" * 1_000_000), (3, f"http://{'x' * 1_000_000}.net/es/"), (4, "c" * 1_000_000 + "://com/x"), (5, "d" * 1_000_000)]
+    got = {r.page_id: (r["rule"], r.verdict, len(r.path)) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert got == {1: ("www.example.com/en/", "allow", 1_000_004), 2: ("example.com/en/", "block", 1_000_004), 3: ("net/es/", "block", 4), 4: ("com/", "allow", 2), 5: (None, "allow", 0)}
+
+
 # pieces
 
 
