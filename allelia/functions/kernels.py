@@ -35,7 +35,8 @@ def choose2(n: Column) -> Column:
 def within_differences(counts: Column, n: Column) -> Column:
     """Pairs of different alleles in one population."""
     a, b = F.get(counts, F.lit(0)), F.get(counts, F.lit(1))
-    squares = F.when(F.size(counts) == 2, a * a + b * b).otherwise(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x * x))
+    c = F.get(counts, F.lit(2))
+    squares = F.when(F.size(counts) == 2, a * a + b * b).when(F.size(counts) == 3, a * a + b * b + c * c).otherwise(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x * x))
     return F.shiftright(n * n - squares, 1)
 
 
@@ -44,7 +45,8 @@ def shared_products(a: Column, b: Column) -> Column:
     zero = F.lit(0).cast("long")
     both = F.zip_with(a, b, lambda x, y: F.coalesce(x, zero) * F.coalesce(y, zero))
     plain = F.get(a, F.lit(0)) * F.get(b, F.lit(0)) + F.get(a, F.lit(1)) * F.get(b, F.lit(1))
-    return F.when((F.size(a) == 2) & (F.size(b) == 2), plain).otherwise(F.aggregate(both, zero, lambda s, x: s + x))
+    three = plain + F.get(a, F.lit(2)) * F.get(b, F.lit(2))
+    return F.when((F.size(a) == 2) & (F.size(b) == 2), plain).when((F.size(a) == 3) & (F.size(b) == 3), three).otherwise(F.aggregate(both, zero, lambda s, x: s + x))
 
 
 def divide(a: Column, b: Column) -> Column:

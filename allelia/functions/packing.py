@@ -68,7 +68,9 @@ class Counter:
         """array<bigint> of all alleles; ``called`` and ``first``: columns that have these counts already."""
         called, first = called or self.called(), first or self.allele("1")
         more = f"transform(sequence(1, top), a -> {self.allele('a')})"
-        return f"if(top = 1, array({called} - {first}, {first}), concat(array({called} - aggregate({more}, 0L, (s, x) -> s + x)), {more}))"
+        second = self.allele("2")
+        # up to three alleles are written out, more go through higher-order functions
+        return f"if(top = 1, array({called} - {first}, {first}), if(top = 2, array({called} - {first} - {second}, {first}, {second}), concat(array({called} - aggregate({more}, 0L, (s, x) -> s + x)), {more})))"
 
     def heterozygotes(self) -> str:
         """array<bigint>: for each allele, the diploid genotypes with both alleles called that carry it once."""

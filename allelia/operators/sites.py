@@ -187,7 +187,7 @@ def _from_planes(sites: DataFrame, pops: Populations, heterozygotes: bool, haplo
             fields["het"] = F.expr(own[k].heterozygotes())
         entries.append(F.struct(*(v.alias(n) for n, v in fields.items())))
     # two alleles, the usual case, without a higher-order function
-    seen = F.expr(f"if(top = 1, if(_n{last} > _m{last}, 1, 0) + if(_m{last} > 0, 1, 0), size(filter(_c{last}, x -> x > 0)))")
+    seen = F.expr(f"if(top = 1, if(_n{last} > _m{last}, 1, 0) + if(_m{last} > 0, 1, 0), if(top = 2, if(get(_c{last}, 0) > 0, 1, 0) + if(get(_c{last}, 1) > 0, 1, 0) + if(get(_c{last}, 2) > 0, 1, 0), size(filter(_c{last}, x -> x > 0))))")
     rows = rows.withColumn("n_alleles_all", seen).withColumn("p", F.array(*entries))
     return rows.drop("bits", "top", *(f"_{x}{k}" for x in "nmc" for k in range(len(counters))))
 
