@@ -74,22 +74,27 @@ def hudson_site(a: Column, b: Column) -> tuple[Column, Column]:
     return between - (mean(a) + mean(b)) / 2, between
 
 
-def weir_cockerham_allele(a: Column, b: Column, u: Column) -> Column:
-    """struct<a, b, c> of the variance components for allele u in two diploid populations (Weir and Cockerham 1984)."""
-    zero = F.lit(0).cast("long")
-    at = lambda p, name: F.coalesce(F.get(p[name], u), zero).cast("double")
-    n1, n2 = F.shiftright(a["n"], 1).cast("double"), F.shiftright(b["n"], 1).cast("double")
-    nt = n1 + n2
-    mean = nt / 2
-    nc = nt - divide(n1 * n1 + n2 * n2, nt)
-    p1, p2 = divide(at(a, "ac"), a["n"]), divide(at(b, "ac"), b["n"])
-    p = divide(at(a, "ac") + at(b, "ac"), a["n"] + b["n"])
-    s2 = divide(n1 * (p1 - p) * (p1 - p) + n2 * (p2 - p) * (p2 - p), mean)
-    h = divide(at(a, "het") + at(b, "het"), nt)
-    core = p * (1 - p) - s2 / 2
-    va = divide(mean, nc) * (s2 - divide(F.lit(1.0), mean - 1) * (core - h / 4))
-    vb = divide(mean, mean - 1) * (core - divide((2 * mean - 1) * h, 4 * mean))
-    return F.struct(va.alias("a"), vb.alias("b"), (h / 2).alias("c"))
+def weir_cockerham_steps(alleles: tuple[str, ...]) -> list[dict[str, str]]:
+    """SQL of columns to add one step after the other, from the structs ``a`` and ``b`` of two diploid populations: for each allele, whose index is the
+    column ``_u`` with its name, ``_vx``, ``_vy`` and ``_vz`` with its name are the variance components a, b and c (Weir and Cockerham 1984).
+
+    In steps, as each value is used several times: one expression would hold each of them as often, and be too long to compile."""
+
+    def ratio(x: str, y: str) -> str:
+        return f"if({y} = 0, if(isnan({x}) or {x} = 0, double('NaN'), if({x} > 0, double('Infinity'), double('-Infinity'))), try_divide({x}, {y}))"
+
+    at = lambda field, u: f"cast(coalesce(get({field}, _u{u}), 0) as double)"
+    counts = {"_i1": "cast(shiftright(a.n, 1) as double)", "_i2": "cast(shiftright(b.n, 1) as double)", "_n1": "cast(a.n as double)", "_n2": "cast(b.n as double)"}
+    totals, factors, parts = {"_it": "_i1 + _i2", "_mean": "(_i1 + _i2) / 2", "_nt": "_n1 + _n2"}, {"_nc": f"_it - {ratio('(_i1 * _i1 + _i2 * _i2)', '_it')}", "_fm": ratio("1D", "(_mean - 1)"), "_fb": ratio("_mean", "(_mean - 1)")}, {}
+    spread, core = {"_fa": ratio("_mean", "_nc")}, {}
+    for u in alleles:
+        counts |= {f"_k1{u}": at("a.ac", u), f"_k2{u}": at("b.ac", u), f"_h{u}": f"{at('a.het', u)} + {at('b.het', u)}"}
+        totals |= {f"_k{u}": f"_k1{u} + _k2{u}", f"_f1{u}": ratio(f"_k1{u}", "_n1"), f"_f2{u}": ratio(f"_k2{u}", "_n2")}
+        factors |= {f"_p{u}": ratio(f"_k{u}", "_nt"), f"_g{u}": ratio(f"_h{u}", "_it")}
+        spread |= {f"_e{u}": f"_i1 * (_f1{u} - _p{u}) * (_f1{u} - _p{u}) + _i2 * (_f2{u} - _p{u}) * (_f2{u} - _p{u})", f"_q{u}": f"(2 * _mean - 1) * _g{u}"}
+        core |= {f"_s{u}": ratio(f"_e{u}", "_mean"), f"_c{u}": f"_p{u} * (1 - _p{u}) - {ratio(f'_e{u}', '_mean')} / 2"}
+        parts |= {f"_vx{u}": f"_fa * (_s{u} - _fm * (_c{u} - _g{u} / 4))", f"_vy{u}": f"_fb * (_c{u} - {ratio(f'_q{u}', '(4 * _mean)')})", f"_vz{u}": f"_g{u} / 2"}
+    return [counts, totals, factors, spread, core, parts]
 
 
 def heterozygotes(genotypes: Column, top: Column) -> Column:

@@ -215,8 +215,12 @@ def by_population(counted: DataFrame) -> DataFrame:
     return counted.withColumn("e", F.explode_outer("p")).select("*", "e.*").drop("e", "p")
 
 
-def by_pair(counted: DataFrame, pops: Populations) -> DataFrame:
-    """One row for each site and pair of populations (structs a and b), in the order of the populations."""
+def by_pair(counted: DataFrame, pops: Populations, where: Column | None = None) -> DataFrame:
+    """One row for each site and pair of populations (structs a and b), in the order of the populations.
+
+    ``where``: of these sites only. As a filter before, Spark would push it below the counts and compute them twice."""
     n = len(pops.order)
     pairs = F.array(*(F.struct(F.get("p", F.lit(i)).alias("a"), F.get("p", F.lit(j)).alias("b")) for i in range(n) for j in range(i + 1, n)))
-    return counted.withColumn("e", F.explode_outer(pairs)).select("*", "e.*").drop("e", "p").withColumn("pop1", F.col("a.pop")).withColumn("pop2", F.col("b.pop"))
+    rows = counted.withColumn("e", F.explode_outer(pairs if where is None else F.when(where, pairs)))
+    rows = rows if where is None else rows.where("e is not null")
+    return rows.select("*", "e.*").drop("e", "p").withColumn("pop1", F.col("a.pop")).withColumn("pop2", F.col("b.pop"))

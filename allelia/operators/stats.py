@@ -89,9 +89,12 @@ def dxy_result(sums: DataFrame, windows: DataFrame, pops: Populations, mask: Dat
     return out.select("pop1", "pop2", *_window(), _ratio("count_diffs", "count_comparisons").alias("avg_dxy"), F.coalesce("no_sites", F.lit(0)).alias("no_sites"), "count_diffs", "count_comparisons", "count_missing", "window_ord")
 
 
+ELIGIBLE = "n_alleles_all = 2"
+
+
 def fst_eligible(counted: DataFrame) -> DataFrame:
     """Variant sites at which exactly two alleles are seen over all samples."""
-    return counted.where("n_alleles_all = 2")
+    return counted.where(ELIGIBLE)
 
 
 def _fst_parts(rows: DataFrame, kind: str, where: F.Column | None = None) -> DataFrame:
@@ -100,13 +103,19 @@ def _fst_parts(rows: DataFrame, kind: str, where: F.Column | None = None) -> Dat
     if kind == "hudson":
         num, den = K.hudson_site(F.col("a"), F.col("b"))
         return rows.withColumn("_x", only(num)).withColumn("_y", only(den)).withColumns({"x": K.skip_nan(F.col("_x")), "y": K.skip_nan(F.col("_y")), "z": only(F.lit(0.0))})
-    top = F.size("a.ac") - 1
-    each = F.transform(F.sequence(F.lit(0), top), lambda u: K.weir_cockerham_allele(F.col("a"), F.col("b"), u))
-    # one pass over the alleles for all six sums
-    zero = F.struct(*(F.lit(0.0).alias(v) for v in ("_x", "_y", "_z", "x", "y", "z")))
-    add = lambda s, t: F.struct(*((s[f"_{v}"] + t[n]).alias(f"_{v}") for v, n in zip("xyz", "abc")), *((s[v] + K.skip_nan(t[n])).alias(v) for v, n in zip("xyz", "abc")))
-    sums = rows.withColumn("_w", F.explode_outer(F.array(only(F.aggregate(each, zero, add)))))  # above a generator, so computed once
-    return sums.select(*rows.columns, "_w.*")
+    # at an eligible site two alleles are seen; the terms of any other are zero, or NaN where those of the two are not finite either.
+    # up to three alleles go without a higher-order function
+    seen = lambda u: f"coalesce(get(a.ac, {u}), 0) + coalesce(get(b.ac, {u}), 0) > 0"
+    found = f"filter(sequence(0, size(a.ac) - 1), u -> {seen('u')})"
+    alleles = {
+        "_u0": f"case size(a.ac) when 2 then 0 when 3 then if({seen(0)}, 0, 1) else coalesce(get({found}, 0), 0) end",
+        "_u1": f"case size(a.ac) when 2 then 1 when 3 then if({seen(0)} and not {seen(2)}, 1, 2) else coalesce(get({found}, 1), if(get({found}, 0) = 0, 1, 0), 1) end",
+    }
+    names = rows.columns
+    for step in (alleles, *K.weir_cockerham_steps(("0", "1"))):
+        rows = rows.selectExpr("*", *(f"{sql} as {name}" for name, sql in step.items()))
+    both = lambda v, of: only(F.expr(" + ".join(of.format(f"_v{v}{u}") for u in "01")))
+    return rows.select(*names, *(both(v, "{}").alias(f"_{v}") for v in "xyz"), *(both(v, "nanvl({}, 0D)").alias(v) for v in "xyz"))
 
 
 def _fst_names(kind: str, components: bool) -> list[F.Column]:
@@ -123,7 +132,7 @@ def fst(sited: DataFrame, pops: Populations, kind: str = "wc", components: bool
     ``wc`` needs counts with heterozygotes and diploid sites.
     """
     keys = [*KEYS, "pop1", "pop2"]
-    sums = _fst_parts(by_pair(fst_eligible(sited), pops), kind).groupBy(*keys).agg(F.count("*").alias("no_snps"), *(F.sum(v).alias(v) for v in "xyz"))
+    sums = _fst_parts(by_pair(sited, pops, F.expr(ELIGIBLE)), kind).groupBy(*keys).agg(F.count("*").alias("no_snps"), *(F.sum(v).alias(v) for v in "xyz"))
     return fst_result(sums, kind, components)
 
 
@@ -136,7 +145,7 @@ def fst_result(sums: DataFrame, kind: str = "wc", components: bool = False) -> D
 
 def fst_per_site(counted: DataFrame, pops: Populations, kind: str = "wc", components: bool = False) -> DataFrame:
     """FST of each eligible site and pair: a projection, without any aggregation."""
-    rows = _fst_parts(by_pair(fst_eligible(counted), pops), kind)
+    rows = _fst_parts(by_pair(counted, pops, F.expr(ELIGIBLE)), kind)
     value = K.divide(F.col("_x"), F.col("_y")) if kind == "hudson" else K.divide(F.col("_x"), F.col("_x") + F.col("_y") + F.col("_z"))
     return rows.select("pop1", "pop2", F.col("chrom").alias("chromosome"), F.col("pos").cast("long").alias("window_pos_1"), F.col("pos").cast("long").alias("window_pos_2"), F.when(~F.isnan(value), value).alias(f"avg_{kind}_fst"), F.lit(1).cast("long").alias("no_snps"), *_fst_names(kind, components))
 

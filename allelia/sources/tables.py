@@ -29,19 +29,22 @@ def arriving_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genotyped(orders: DataFrame, extra_allele: bool = False) -> DataFrame:
     """Site rows of orders, from a table or a stream."""
-    orders = orders.select("o_orderkey", "o_custkey")
-    one = lambda m, a, n: f"(o_orderkey * {m} + {a} + o_custkey) % {n} = 0"
-    plane = lambda on: " + ".join(f"if({on(s)}, {1 << s}L, 0L)" for s in range(SAMPLES))
-    called = lambda s: f"(o_orderkey * 31 + {s * 17}) % 13 <> 0"
-    second = lambda s: f"(o_orderkey + {s}) % 4 = 0"
+    # whether a sample carries an allele depends on a small remainder only, so a plane is a lookup by remainder
+    def plane(value: str, step, n: int) -> F.Column:
+        words = ", ".join(f"{sum(1 << s for s in range(SAMPLES) if (r + step(s)) % n == 0)}L" for r in range(n))
+        return F.expr(f"get(array({words}), cast(pmod({value}, {n}) as int))")
+
+    rows = orders.select("o_orderkey", "o_custkey").withColumns({
+        "_missing": plane("o_orderkey * 31", lambda s: 17 * s, 13),
+        "_first": plane("o_orderkey * 7 + o_custkey", lambda s: 3 * s * s, 4),
+        "_other": plane("o_orderkey * 11 + o_custkey", lambda s: 5 * s, 3),
+        "_second": plane("o_orderkey", lambda s: s, 4),
+    })
     varies = "o_custkey % 5 = 0"
-    first = plane(lambda s: f"{called(s)} and {one(7, s * s * 3, 4)}")
-    other = plane(lambda s: f"{called(s)} and {one(11, s * 5, 3)}" + f" and not {second(s)}" * extra_allele)
-    planes = [[first], [other]]
-    if extra_allele:
-        planes = [[first, "0L"], [other, plane(lambda s: f"{called(s)} and {one(11, s * 5, 3)} and {second(s)}")]]
-    rows = orders.withColumn("_called", F.expr(plane(called)))
-    bits = ", ".join(w for h in planes for w in ["_called", *(f"if({varies}, {x}, 0L)" for x in h)])
+    called = f"({(1 << SAMPLES) - 1}L & ~_missing)"
+    first, other, second = f"({called} & _first)", f"({called} & _other & ~_second)", f"({called} & _other & _second)"
+    planes = [[first, "0L"], [other, second]] if extra_allele else [[first], [f"({called} & _other)"]]
+    bits = ", ".join(w for h in planes for w in [called, *(f"if({varies}, {x}, 0L)" for x in h)])
     alts = F.when(~F.expr(varies), F.expr("cast(array() as array<string>)")).when(F.lit(extra_allele), F.array(F.lit("C"), F.lit("G"))).otherwise(F.array(F.lit("C")))
     return rows.select(
         F.concat(F.lit("chr"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("chrom"),

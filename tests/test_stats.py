@@ -233,3 +233,41 @@ def test_streaming_sums_equal_batch(spark, tmp_path):
     want = {(r.pop, r.window_pos_1): (r.avg_pi, r.no_sites) for r in stats.pi(sited, windows.fixed_windows(spans, 10), p).collect()}
     got = {(r["pop"], r.w1): (r.avg_pi, r.no_sites) for r in with_ratio(spark.table("sums")).collect()}
     assert got == want
+
+
+def test_wc_against_a_sum_over_all_alleles(spark):
+    """Alleles 1 and 3 of five, whole and half missing genotypes, populations of one called individual or none."""
+    import random
+
+    dice = random.Random(5)
+    p, gts = pops(3, 3), []
+    for k in range(60):
+        pair, gone = dice.sample(range(5 if k % 2 else 3), 2), (0.15, 0.5, 0.8)[k % 3]
+        gts.append([[-1 if dice.random() < gone else dice.choice(pair) for _ in range(2)] for _ in range(6)])
+    rows = site_rows(spark, gts)
+
+    def ratio(x, y):
+        return x / y if y else math.nan if not x or math.isnan(x) else math.copysign(math.inf, x)
+
+    def brute_sums(gt):
+        sums = [0.0, 0.0, 0.0]
+        for u in range(max([1, *(a for g in gt for a in g)]) + 1):
+            one = [[g for g in part if -1 not in g] for part in (gt[:3], gt[3:])]
+            called = [[a for g in part for a in g if a >= 0] for part in (gt[:3], gt[3:])]
+            i1, i2 = (len(c) // 2 for c in called)
+            both, mean = i1 + i2, (i1 + i2) / 2
+            nc = both - ratio(i1 * i1 + i2 * i2, both)
+            f1, f2 = (ratio(c.count(u), len(c)) for c in called)
+            f = ratio(called[0].count(u) + called[1].count(u), len(called[0]) + len(called[1]))
+            s2 = ratio(i1 * (f1 - f) ** 2 + i2 * (f2 - f) ** 2, mean)
+            h = ratio(sum(g[0] != g[1] and u in g for part in one for g in part), both)
+            core = f * (1 - f) - s2 / 2
+            terms = (ratio(mean, nc) * (s2 - ratio(1.0, mean - 1) * (core - h / 4)), ratio(mean, mean - 1) * (core - ratio((2 * mean - 1) * h, 4 * mean)), h / 2)
+            sums = [s + (0.0 if math.isnan(t) else t) for s, t in zip(sums, terms)]
+        return sums
+
+    found = {r.window_pos_1: [r.wc_fst_a, r.wc_fst_b, r.wc_fst_c] for r in stats.fst_per_site(sites.with_populations(rows, p, True), p, "wc", True).collect()}
+    eligible = [k + 1 for k, gt in enumerate(gts) if len({a for g in gt for a in g if a >= 0}) == 2]
+    assert sorted(found) == eligible and len(eligible) > 30
+    for k in eligible:
+        assert found[k] == pytest.approx(brute_sums(gts[k - 1]), nan_ok=True), gts[k - 1]
