@@ -103,10 +103,18 @@ class Windows:
         return np.repeat(windows, size), place - np.repeat(off, size), np.searchsorted(first, place, "right") - 1
 
     def near(self, term: np.ndarray, first: np.ndarray, posting: np.ndarray, at: np.ndarray, gap: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Windows with enough of their words about where they belong. As many of the rarest terms propose as make sure that one of them is there."""
+        """Windows with enough of their words about where they belong. As many of the rarest terms propose as make sure that one of them is there,
+        each for all starts that it may be off from; starts before the document are its first word."""
         most = self.length - np.ceil(share * self.length - 1e-9).astype(np.int64) + 1
         parts = [self.proposals(np.flatnonzero(most > k), k, posting, at, first) for k in range(int(most.max()))]
         window, start, row = (np.concatenate(x) for x in zip(*parts))
+        wide = 2 * gap + 1
+        window, start, row = np.repeat(window, wide), (start[:, None] + np.arange(-gap, gap + 1)).ravel(), np.repeat(row, wide)
+        # a start outside of the row of its place may be proposed, so the row counts too
+        order = np.lexsort((start, row, window))
+        window, start, row = window[order], start[order], row[order]
+        fresh = np.append(True, (window[1:] != window[:-1]) | (start[1:] != start[:-1]) | (row[1:] != row[:-1]))[: len(window)]
+        window, start, row = window[fresh], start[fresh], row[fresh]
         found = np.zeros(len(window), np.int64)
         for k in range(self.term.shape[1]):
             want = self.term[window, k]
@@ -291,6 +299,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.join(gone, KEY, "left_anti").select(*(F.col(c).alias(n) for n, c in names.items()))
 
 
+def near_digests(docs: DataFrame, benchmark: DataFrame, gap: int = 2, share: float = 0.8) -> DataFrame:
+    """Counts of exact and of near matches of each document, and its items with near ones."""
+    found = search(index(keyed(docs.select("doc_id", "text"))), benchmark, gap=gap, share=share)
+    near = F.filter("matches", lambda m: ~m["exact"])
+    items = F.array_sort(F.array_distinct(F.transform(near, lambda m: m["item_id"])))
+    return found.select("doc_id", "n_words", (F.size("matches") - F.size(near)).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"), F.size(items).cast("long").alias("n_near_items"), F.sha2(F.array_join(items, ","), 256).alias("near_items_sha256"))
+
+
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = search(index(keyed(docs.select("doc_id", "text"))), benchmark, with_spans=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

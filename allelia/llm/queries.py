@@ -27,6 +27,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.near_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_chunks, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op9_sentencepiece, op11_filter_audit, op12_byte_bpe, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_jaccard_join, op5_toxicity, op8_sharding, op10_line_dedup, op10_line_chunks, op1_media_audio, op3_url_filter, op6_licence_scan, op7_decontamination, op7_near_matches, op9_sentencepiece, op11_filter_audit, op12_byte_bpe, op13_ranked_search)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -67,6 +67,37 @@ def test_decontamination_spans_and_near_matches(spark):
     assert found[2].n_hit == 0 and any(not m.exact for m in found[2].matches) and any(not m.exact for m in found[3].matches)
 
 
+def test_near_matches_against_brute_force(spark):
+    """Every start at which four fifths of a window's words stand within two places of where they belong, words dropped, added and shifted."""
+    rng, gap, share = random.Random(11), 2, 0.8
+    items = [(k, invented(rng, rng.choice([5, 13, 16]), 30)) for k in range(6)] + [(9, ""), (10, None)]
+    docs = [(k, invented(rng, rng.randrange(40), 30)) for k in range(20)] + [(90, None), (91, "")]
+    for k in range(60):
+        w = words(items[k % 6][1])
+        for _ in range(rng.randrange(4)):
+            p = rng.randrange(len(w))
+            w = w[:p] + (w[p + 1 :] if rng.random() < 0.5 else ["extra", *w[p:]])
+        docs.append((100 + k, " ".join([invented(rng, rng.randrange(3)), *w, invented(rng, rng.randrange(4))])))
+    want = {}
+    for d, text in docs:
+        doc, exact, near = words(text or ""), set(), set()
+        for item, t in items:
+            own = words(t or "")
+            for win in {tuple(own[s : s + decontam.WINDOW]) for s in range(max(len(own) - decontam.WINDOW + 1, min(len(own), 1)))}:
+                for s in range(-len(win) - gap, len(doc) + gap):
+                    hits = sum(any(0 <= p < len(doc) and doc[p] == x for p in range(s + i - gap, s + i + gap + 1)) for i, x in enumerate(win))
+                    if s >= 0 and tuple(doc[s : s + len(win)]) == win:
+                        exact.add((item, win, s))
+                    if hits >= share * len(win) - 1e-9:
+                        near.add((item, win, max(s, 0)))
+        near -= exact
+        ids = sorted({str(i) for i, _, _ in near})
+        want[d] = (len(doc), len(exact), len(near), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest())
+    found = decontam.near_digests(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_exact, r.n_near, r.n_near_items, r.near_items_sha256) for r in found.collect()}
+    assert sum(n for _, _, n, _, _ in want.values()) > 100 and got == want
+
+
 def test_decontamination_edge_tables(spark):
     none, item = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c", 5, "keep"), (1, "a b c", 5, "keep")], "doc_id long, text string, n_words int, items string")
