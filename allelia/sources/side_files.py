@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sites import Populations
-from .staging import staged
+from .staging import numbered_lines, staged
 
 
 def _fields(spark: SparkSession, path: str, least: int, empty: str, short: str) -> DataFrame:
     """(line, f): cells of the lines that are not blank, stripped, in file order; fewer than ``least`` cells are an error."""
-    text = staged(spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), "value"))
+    text = staged(numbered_lines(spark, path).where(F.trim("value") != "").select(F.col("row_id").alias("line"), "value"))
     lines = text.select("line", F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("f"))
     if not lines.where(F.size("f") < least).isEmpty():
         raise ValueError(short)

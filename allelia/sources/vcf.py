@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators.sites import ploidy_by_contig, snp
-from .staging import staged
+from .staging import numbered_lines, staged
 
 BLOCK_ALTS = ("<NON_REF>", "<*>")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value) of all lines; a gzip file is one partition, so use ``staged_records`` for more than one pass."""
+    """(row_id, value) of all lines, in order; a gzip file is one partition, so use ``staged_records`` for more than one pass."""
     try:
-        return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), "value")
+        return numbered_lines(spark, path)
     except AnalysisException as e:
         raise FileNotFoundError(f"There is no VCF at {path}") from e
 

@@ -13,7 +13,7 @@ from allelia.functions import packing
 from allelia.operators import fused, pairs, sites, stats, windows
 from allelia.operators.sites import Populations
 from allelia.plans.analysis import AnalysisConfig, analyse
-from allelia.sources import store, vcf
+from allelia.sources import side_files, store, vcf
 from allelia.sources.tables import POPULATIONS, genotyped
 from allelia.streaming import sums
 
@@ -250,6 +250,26 @@ def test_header_and_samples_stop_early(spark, tmp_path):
     assert vcf.read_samples(lines) == [f"S{i}" for i in range(6)]
 
 
+def test_lines_of_several_files_keep_their_order(spark, tmp_path, pops_file):
+    """Spark deals large files first; contigs, BED windows and populations follow the files' names all the same."""
+    folder, bed, pops = tmp_path / "a folder", tmp_path / "bed", tmp_path / "pops"
+    for d in (folder, bed, pops):
+        d.mkdir()
+    for i, n in enumerate((3, 40, 2000, 10)):
+        whole = written(tmp_path / "one.vcf", (f"c{9 - i}",), n).read_text()
+        (folder / f"part-{i + 8}").write_text(whole if not i else "".join(x + "\n" for x in whole.splitlines() if x[0] != "#"))
+        (bed / f"part-{i + 8}").write_text("".join(f"c{9 - i}\t{k}\t{k + 5}\n" for k in range(n)))
+    (pops / "part-2").write_text("S0\tZ\n")
+    (pops / "part-10").write_text("".join(f"S{i}\tA\n" for i in range(1, 6)))
+    made = store.build(spark, str(folder))
+    assert [r.chrom for r in made.contigs.orderBy("chrom_rank").collect()] == ["c9", "c8", "c7", "c6"]
+    ids = [r.row_id for r in vcf.read_lines(spark, str(folder)).collect()]
+    assert len(set(ids)) == len(ids) == 2055
+    assert made.records.orderBy("row_id").select("chrom", "pos").collect() == made.records.orderBy(F.desc("chrom"), "pos").select("chrom", "pos").collect()
+    assert [(r.chrom, r.w1) for r in side_files.read_bed(spark, str(bed)).orderBy("window_ord").collect()] == [(f"c{9 - i}", k + 1) for i, n in enumerate((3, 40, 2000, 10)) for k in range(n)]
+    assert side_files.populations_of(side_files.read_populations(spark, str(pops)), [f"S{i}" for i in range(6)]).order == ("Z", "A")
+
+
 @pytest.mark.parametrize("keys", ["windows", "cells"])
 def test_pairs_of_many_populations_as_matrix_products(spark, keys):
     """60 populations: each task hands on a row for each window and pair at most, with the sums that single pairs give."""
