@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from allelia.functions import packing
 from allelia.operators import fused, pairs, sites, stats, windows
 from allelia.operators.sites import Populations
-from allelia.plans.analysis import AnalysisConfig, analyse
+from allelia.plans.analysis import AnalysisConfig, analyse, write_results
 from allelia.sources import side_files, store, vcf
 from allelia.sources.tables import POPULATIONS, genotyped
 from allelia.streaming import sums
@@ -270,6 +270,19 @@ def test_lines_of_several_files_keep_their_order(spark, tmp_path, pops_file):
     assert side_files.populations_of(side_files.read_populations(spark, str(pops)), [f"S{i}" for i in range(6)]).order == ("Z", "A")
 
 
+def test_written_file_follows_contigs_of_several_files(spark, tmp_path, pops_file):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i, n in enumerate((30, 2000, 100)):
+        whole = written(tmp_path / "one.vcf", (f"c{i}",), n).read_text()
+        (folder / f"part-0000{i}").write_text(whole if not i else "".join(x + "\n" for x in whole.splitlines() if x[0] != "#"))
+    config = AnalysisConfig(vcf=str(folder), populations=pops_file, stats=("pi",), window_size=500, output_folder=str(tmp_path))
+    (path,) = write_results(analyse(spark, config), config)
+    with open(path) as f:
+        rows = [line.split("\t") for line in f.readlines()[1:]]
+    assert [r[1:3] + r[:1] for r in rows] == sorted((r[1:3] + r[:1] for r in rows), key=lambda r: (r[0], int(r[1]), r[2])) and {r[1] for r in rows} == {"c0", "c1", "c2"}
+
+
 @pytest.mark.parametrize("keys", ["windows", "cells"])
 def test_pairs_of_many_populations_as_matrix_products(spark, keys):
     """60 populations: each task hands on a row for each window and pair at most, with the sums that single pairs give."""
