@@ -25,7 +25,8 @@ def gt_alleles(field: Column, ploidy: Column) -> Column:
 
 def info_end(info: Column) -> Column:
     """The integer after ``END=`` in an INFO field, else null."""
-    return F.regexp_extract(info, r"(?:^|;)END=(-?\d+)(?:;|$)", 1).try_cast("int")
+    # most fields have none, and are not given to the regular expression
+    return F.when(F.contains(info, F.lit("END=")), F.regexp_extract(info, r"(?:^|;)END=(-?\d+)(?:;|$)", 1).try_cast("int"))
 
 
 def choose2(n: Column) -> Column:

@@ -64,6 +64,11 @@ def masked(sites: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.withColumn("gt", F.when(F.col("_hit"), F.col("gt")).otherwise(none)).drop("_hit")
 
 
+def listed_only(sites: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows at positions that are in (chrom, pos)."""
+    return sites.join(listed.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+
+
 def is_block() -> Column:
     return F.coalesce(F.col("info_end") > F.col("pos"), F.lit(False))
 

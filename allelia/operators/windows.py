@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BIN = 16_384
+#: Bins for short ranges: a long one is a row for each bin, but a bin has few pairs that do not meet.
+FINE = 1_024
 KEYS = ("chrom", "w1", "w2", "window_ord")
 
 
@@ -94,6 +96,12 @@ def site_windows(listed: DataFrame) -> DataFrame:
     return listed.select("chrom", F.col("pos").cast("long").alias("w1"), F.col("pos").cast("long").alias("w2")).distinct().withColumn("window_ord", F.col("w1"))
 
 
+def assign_sites(sites: DataFrame) -> DataFrame:
+    """Add w1, w2, window_ord and mult of ``site_windows`` to rows of listed positions: each is its own window."""
+    own = F.col("pos").cast("long")
+    return _weighted(sites.withColumns({"w1": own, "w2": own, "window_ord": own}))
+
+
 def breakpoints(windows: DataFrame, width: int = BIN) -> DataFrame:
     """(chrom, bin, ats): the positions in each bin of the genome at which a window begins, or the last has just ended, in order (at most ``width``)."""
     at = windows.select("chrom", F.explode(F.array(F.col("w1").cast("long"), F.col("w2").cast("long") + 1)).alias("at"))

@@ -152,7 +152,8 @@ def _counted(config: AnalysisConfig, sited: store.SiteStore, facts, pops, listed
         rows = sites.blocks_with_listed(rows, listed) if listed is not None else sites.blocks_as_sites(rows)
     kept = sites.retained(rows, config.include_multiallelic_snps, variants_only=variants_only)
     if listed is not None and not config.gvcf:
-        kept = sites.masked(kept, listed)
+        # rows at other positions meet no window of a single listed site
+        kept = sites.listed_only(kept, listed) if _at_listed(config) else sites.masked(kept, listed)
     if spans is not None:
         ends = spans.select("chrom", "start", windows.last_position(config.window_size).alias("_last"))
         ends = sited.contigs.select("chrom", "ploidy").join(ends, "chrom")
@@ -164,12 +165,19 @@ def _counted(config: AnalysisConfig, sited: store.SiteStore, facts, pops, listed
     return sites.with_populations(kept, pops, "fst" in config.stats and config.fst_type == "wc", facts.high)
 
 
+def _at_listed(config: AnalysisConfig) -> bool:
+    """Whether the windows are the single positions of the list of sites."""
+    return config.sites_file is not None and config.window_size == 1 and config.interval_start is None
+
+
 def _summed(config: AnalysisConfig, counted: DataFrame, table: DataFrame, spans: DataFrame | None, pops, no_fst: bool) -> tuple[DataFrame | None, DataFrame | None]:
     """The sites for FST of single sites, if that is asked for; and the sums of all other statistics by window, stored."""
     single = "fst" in config.stats and config.window_size == 1 and not no_fst
     fused_stats = tuple(s for s in config.stats if s != "fst" or not (single or no_fst))
 
     def assigned(df: DataFrame) -> DataFrame:
+        if _at_listed(config):
+            return windows.assign_intervals(df, table, windows.FINE) if config.gvcf else windows.assign_sites(df)
         if spans is None:
             return windows.assign_intervals(df, table)
         # a window past the last one of the table holds no rows
@@ -208,7 +216,7 @@ def _windows(spark: SparkSession, config: AnalysisConfig, sited: store.SiteStore
     if listed is not None:
         _warn_unknown(listed, known, "sites file")
         listed = listed.join(known, "chrom", "left_semi")
-    if listed is not None and config.window_size == 1 and config.interval_start is None:
+    if _at_listed(config):
         return windows.site_windows(listed), None
     if config.interval_start is not None:
         spans = known.select("chrom", F.lit(config.interval_start).cast("long").alias("start"), F.lit(config.interval_end).cast("long").alias("end"))

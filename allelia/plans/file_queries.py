@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sites
 from ..sources import staging, store, vcf
+from ..sources.tables import plane
 from .analysis import AnalysisConfig, analyse, text_rows, write_results
 from .queries import _BED, _DXY_OUT, _DXY_PARTS, _ELIGIBLE, _HARMONIC, _HUDSON_SITE, _PAIRS, _PI_OUT, _PI_PARTS, _POPS, _WC_SITE, _WINDOWS, SIZE, _bed, _div, _out, _theta_sql
 
@@ -40,14 +41,30 @@ SCAFFOLD = 40
 
 def _vcf(spark: SparkSession, sf_dir: str, blocks: bool = False, scaffolds: bool = False) -> str:
     haploid = "false" if blocks else f"o div {SCAFFOLD} % 3 = 2" if scaffolds else "o % 3 = 2"
-    gts = []
-    for s in range(SAMPLES):
-        missing, half = f"(o * 31 + {s * 17}) % 13 = 0", f"(o * 5 + {s}) % 17 = 0"
-        a1 = f"case when c % 5 <> 0 then '0' else cast(cast((o * 7 + {s * s * 3} + c) % 4 = 0 as int) as string) end"
-        more = f"case when kind in (0, 3) and (o + {s}) % 4 = 0 then 2 else 1 end"
-        a2 = f"case when c % 5 <> 0 then '0' else cast(cast((o * 11 + {s * 5} + c) % 3 = 0 as int) * {more} as string) end"
-        one = f"case when {missing} or {half} then '.' else {a1} end"
-        gts.append(f"concat(case when {haploid} then {one} else concat({one}, case when o % 2 = 0 then '/' else '|' end, case when {missing} then '.' else {a2} end) end, case when o % 4 = 0 then ':3' else '' end)")
+    # the samples of each property are bits; the text of a sample is a lookup by its bits and the form of the line
+    texts = [(f"{a}" if one else f"{a}{by}{b}") + more for one in (False, True) for by in "/|" for more in ("", ":3") for a in ".01" for b in ".012"]
+    bit = lambda word: f"(shiftright({word}, s) & 1)"
+    # one short function for all samples: written out, the line's code is too long for the JVM to compile
+    gts = f"array_join(transform(array({', '.join(map(str, range(SAMPLES)))}), s -> get(array({', '.join(map(repr, texts))}), cast(_form + 4 * {bit('_whole')} * (1 + {bit('_first')}) + {bit('_called')} * (1 + {bit('_other')} + {bit('_second')}) as int))), '\t')"
+
+    def with_genotypes(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({
+            "_missing": plane("o * 31", lambda s: 17 * s, 13),
+            "_half": plane("o * 5", lambda s: s, 17),
+            "_one": plane("o * 7 + c", lambda s: 3 * s * s, 4),
+            "_two": plane("o * 11 + c", lambda s: 5 * s, 3),
+            "_more": plane("o", lambda s: s, 4),
+        })
+        rows = rows.withColumns({
+            "_called": F.expr(f"{(1 << SAMPLES) - 1}L & ~_missing"),
+            "_whole": F.expr(f"{(1 << SAMPLES) - 1}L & ~_missing & ~_half"),
+            "_first": F.expr("if(c % 5 <> 0, 0L, _one)"),
+            "_other": F.expr("if(c % 5 <> 0, 0L, _two)"),
+            "_second": F.expr("if(c % 5 <> 0 or kind not in (0, 3), 0L, _two & _more)"),
+            "_form": F.expr(f"if({haploid}, 48, 0) + if(o % 2 = 0, 0, 24) + if(o % 4 = 0, 12, 0)"),
+        })
+        return rows
+
     rows = _orders(spark, sf_dir).withColumn("kind", F.expr("4" if blocks else "o % 7"))
     chrom, group = (f"concat('s', o div {SCAFFOLD})", f"o div {SCAFFOLD}") if scaffolds else ("concat('chr', o % 3 + 1)", "o % 3")
     pos = "(o div 3) * 4 + 1" if blocks else f"o % {SCAFFOLD} + 1" if scaffolds else "o div 3 + 1"
@@ -55,8 +72,8 @@ def _vcf(spark: SparkSession, sf_dir: str, blocks: bool = False, scaffolds: bool
     alt = f"case when c % 5 <> 0 then case when {end} > 0 then '<NON_REF>' else '.' end when kind = 0 then 'C,G' when kind = 1 then 'A' when kind = 2 then '<DEL>' when kind = 3 then 'C,*' else 'C' end"
     ref = "case when c % 5 = 0 and kind = 1 or c % 5 <> 0 and o % 11 = 3 then 'AT' else 'A' end"
     info = f"case when {end} > 0 then concat('END=', {pos} + {end}) else '.' end"
-    line = F.expr(f"concat_ws('\t', {chrom}, {pos}, '.', {ref}, {alt}, '.', '.', {info}, case when o % 4 = 0 then 'GT:DP' else 'GT' end, {', '.join(gts)})")
-    return _text(spark, rows.repartitionByRange(F.expr(group), "o").sortWithinPartitions(F.expr(group), "o").select(line.alias("value")), HEAD)
+    line = F.expr(f"concat_ws('\t', {chrom}, {pos}, '.', {ref}, {alt}, '.', '.', {info}, case when o % 4 = 0 then 'GT:DP' else 'GT' end, {gts})")
+    return _text(spark, with_genotypes(rows.repartitionByRange(F.expr(group), "o").sortWithinPartitions(F.expr(group), "o")).select(line.alias("value")), HEAD)
 
 
 def _run(spark: SparkSession, sf_dir: str, stat: str, blocks: bool = False, **kw) -> DataFrame:

@@ -27,13 +27,14 @@ def arriving_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotyped(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))
 
 
+def plane(value: str, step, n: int) -> F.Column:
+    """The samples s with (value + step(s)) % n = 0, as bits: as that depends on a small remainder only, a lookup by remainder."""
+    words = ", ".join(f"{sum(1 << s for s in range(SAMPLES) if (r + step(s)) % n == 0)}L" for r in range(n))
+    return F.expr(f"get(array({words}), cast(pmod({value}, {n}) as int))")
+
+
 def genotyped(orders: DataFrame, extra_allele: bool = False) -> DataFrame:
     """Site rows of orders, from a table or a stream."""
-    # whether a sample carries an allele depends on a small remainder only, so a plane is a lookup by remainder
-    def plane(value: str, step, n: int) -> F.Column:
-        words = ", ".join(f"{sum(1 << s for s in range(SAMPLES) if (r + step(s)) % n == 0)}L" for r in range(n))
-        return F.expr(f"get(array({words}), cast(pmod({value}, {n}) as int))")
-
     rows = orders.select("o_orderkey", "o_custkey").withColumns({
         "_missing": plane("o_orderkey * 31", lambda s: 17 * s, 13),
         "_first": plane("o_orderkey * 7 + o_custkey", lambda s: 3 * s * s, 4),

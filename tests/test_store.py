@@ -1,5 +1,6 @@
 """Packed genotypes, the site store, the fused aggregate and windows over trees of cells."""
 
+import os
 import random
 import re
 import time
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelia.functions import packing
-from allelia.operators import fused, pairs, sites, stats, windows
+from allelia.operators import callable_mask, fused, pairs, sites, stats, windows
 from allelia.operators.sites import Populations
+from allelia.plans import file_queries
 from allelia.plans.analysis import AnalysisConfig, analyse, write_results
 from allelia.sources import side_files, store, vcf
 from allelia.sources.tables import POPULATIONS, genotyped
@@ -283,6 +285,26 @@ def test_written_file_follows_contigs_of_several_files(spark, tmp_path, pops_fil
     assert [r[1:3] + r[:1] for r in rows] == sorted((r[1:3] + r[:1] for r in rows), key=lambda r: (r[0], int(r[1]), r[2])) and {r[1] for r in rows} == {"c0", "c1", "c2"}
 
 
+def test_single_site_windows_meet_sites_by_position(spark, tmp_path, pops_file, monkeypatch):
+    """Only the listed rows are counted: no row is paired with all windows of its bin."""
+    seen = []
+    monkeypatch.setattr(windows, "assign_intervals", lambda *a: seen.append(a))
+    listed = tmp_path / "sites.txt"
+    listed.write_text("".join(f"{c}\t{p}\n" for c in ("chr1", "chr2", "chr7") for p in range(1, 900, 2)))
+    kw = {"vcf": str(written(tmp_path / "s.vcf")), "populations": pops_file, "window_size": 1, "sites_file": str(listed), "include_multiallelic_snps": True}
+    config = AnalysisConfig(**kw, stats=("pi", "fst"), fst_type="hudson")
+    counted = []
+    real = windows.assign_sites
+    monkeypatch.setattr(windows, "assign_sites", lambda df: counted.append(df) or real(df))
+    found = analyse(spark, config)
+    rows = {(int(r.pos), r.chrom) for r in store.build(spark, kw["vcf"]).records.select("chrom", "pos").collect()}
+    there = {(p, c) for p, c in rows if p < 900 and p % 2}
+    assert not seen and {(r.pos, r.chrom) for df in counted for r in df.select("chrom", "pos").collect()} == there
+    pi = found["pi"].collect()
+    assert len(pi) == 2 * 2 * 450 and {(r.window_pos_1, r.chromosome) for r in pi if r.no_sites} <= there
+    assert {(r.window_pos_1, r.chromosome) for r in found["fst"].collect()} <= there
+
+
 @pytest.mark.parametrize("keys", ["windows", "cells"])
 def test_pairs_of_many_populations_as_matrix_products(spark, keys):
     """60 populations: each task hands on a row for each window and pair at most, with the sums that single pairs give."""
