@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packing
 from ..operators import sites
 from ..sources import staging, store, vcf
 from ..sources.tables import plane
@@ -137,8 +138,10 @@ def vcf_pi_text(spark, sf_dir):
 
 
 def vcf_site_classes(spark, sf_dir):
-    rows = vcf.sites_of(vcf.staged_records(vcf.read_lines(spark, _vcf(spark, sf_dir))))
-    return sites.classified(rows).groupBy("chrom", "site_class", "ploidy").agg(F.count("*").alias("n"), F.sum(F.size(F.filter(F.flatten("gt"), lambda a: a >= 0))).alias("called"))
+    made = store.build(spark, _vcf(spark, sf_dir))
+    every = packing.Counter(packing.mask_of(list(range(SAMPLES)), SAMPLES), made.facts().high, by_row=True)
+    rows = sites.classified(made.with_contig(made.records.select("chrom", "alts", "is_snp", "bits", "top"), "ploidy"))
+    return rows.groupBy("chrom", "site_class", "ploidy").agg(F.count("*").alias("n"), F.sum(F.expr(every.called())).alias("called"))
 
 
 def vcf_contigs(spark, sf_dir):

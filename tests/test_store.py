@@ -305,6 +305,21 @@ def test_single_site_windows_meet_sites_by_position(spark, tmp_path, pops_file,
     assert {(r.window_pos_1, r.chromosome) for r in found["fst"].collect()} <= there
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_site_classes_count_bit_planes(spark, monkeypatch):
+    """No genotype is split into an array of its own; the counts are those of the arrays."""
+    path = file_queries._vcf(spark, "/root/testdata/sf0.001")
+    rows = sites.classified(vcf.sites_of(vcf.staged_records(vcf.read_lines(spark, path))))
+    want = rows.groupBy("chrom", "site_class", "ploidy").agg(F.count("*").alias("n"), F.sum(F.size(F.filter(F.flatten("gt"), lambda a: a >= 0))).alias("called"))
+    want = sorted(map(tuple, want.collect()))
+
+    def refused(*_):
+        raise AssertionError("genotypes as text")
+
+    monkeypatch.setattr(vcf, "staged_records", refused)
+    assert sorted(map(tuple, file_queries.vcf_site_classes(spark, "/root/testdata/sf0.001").collect())) == want
+
+
 @pytest.mark.parametrize("keys", ["windows", "cells"])
 def test_pairs_of_many_populations_as_matrix_products(spark, keys):
     """60 populations: each task hands on a row for each window and pair at most, with the sums that single pairs give."""
