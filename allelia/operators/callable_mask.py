@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .sites import Populations
-from .windows import BIN, KEYS, assign_intervals, interval_overlaps
+from .windows import FINE, KEYS, assign_intervals, interval_overlaps
 
 CLIP = [*KEYS, "start0", "end0"]
 
 
-def invariant_ranges(windows: DataFrame, mask: DataFrame, variants: DataFrame, width: int = BIN) -> DataFrame:
+def invariant_ranges(windows: DataFrame, mask: DataFrame, variants: DataFrame, width: int = FINE) -> DataFrame:
     """(keys, start0, end0, k, n_inv): clipped mask ranges with the number of their invariant sites, over 0 only."""
     # the range itself is its key, so a recomputed task gives the same one; equal ranges count as often as they are there
     ranges = mask.groupBy("chrom", (F.col("start0") + 1).alias("b_lo"), F.col("end0").alias("b_hi"), "k").agg(F.count("*").alias("times"))

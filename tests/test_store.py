@@ -305,6 +305,19 @@ def test_single_site_windows_meet_sites_by_position(spark, tmp_path, pops_file,
     assert {(r.window_pos_1, r.chromosome) for r in found["fst"].collect()} <= there
 
 
+def test_mask_ranges_meet_few_variants_that_they_do_not_hold(spark, monkeypatch):
+    """A bin of the join has few pairs that do not meet; the counts are those of coarse bins."""
+    table = spark.createDataFrame([("c", 1, 40_000, 0)], "chrom string, w1 long, w2 long, window_ord long")
+    mask = spark.range(3000).selectExpr("'c' as chrom", "id * 13 as start0", "id * 13 + 9 as end0", "array(id % 3, 1L) as k")
+    variants = spark.range(1, 40_000, 3).selectExpr("'c' as chrom", "cast(id as int) as pos")
+    widths = []
+    real = callable_mask.assign_intervals
+    monkeypatch.setattr(callable_mask, "assign_intervals", lambda s, w, width: widths.append(width) or real(s, w, width))
+    fine = sorted(map(str, callable_mask.invariant_ranges(table, mask, variants).collect()))
+    assert widths == [windows.FINE] and windows.FINE < windows.BIN // 8
+    assert fine == sorted(map(str, callable_mask.invariant_ranges(table, mask, variants, windows.BIN).collect())) and len(fine) == 3000
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 def test_site_classes_count_bit_planes(spark, monkeypatch):
     """No genotype is split into an array of its own; the counts are those of the arrays."""
