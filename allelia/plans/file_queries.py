@@ -174,7 +174,8 @@ def gvcf_pi_sites(spark, sf_dir):
 def vcf_pi_file(spark, sf_dir):
     """The lines of the written file, numbered from 0."""
     config = AnalysisConfig(vcf=_vcf(spark, sf_dir), populations=_text(spark, POPULATIONS), stats=("pi",), window_size=SIZE, output_folder=staging.new_path(spark))
-    lines = spark.read.text(write_results(analyse(spark, config), config)[0]).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # stored, as the parts' sizes and the lines must come from one reading
+    lines = staging.staged(staging.numbered_lines(spark, write_results(analyse(spark, config), config)[0])).select(F.col("row_id").alias("id"), F.col("value").alias("line"))
     lines = lines.withColumn("part", F.shiftright("id", 33)).withColumn("place", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = lines.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part of the file
     before = sizes.select(F.col("part").alias("own")).join(sizes, F.col("part") < F.col("own"), "left").groupBy("own").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))

@@ -37,3 +37,10 @@ def test_block_queries_take_every_order(spark):
     found = QUERIES["block_expand"](spark, SF)
     assert found.select("row_id").distinct().count() == orders and found.where("pos > 1000").count() > 0
     assert found.select("chrom", "pos").distinct().count() == found.count()
+
+
+def test_numbers_of_the_written_lines_come_from_one_reading(spark):
+    """A second reading of the file may be cut into other parts."""
+    found = QUERIES["vcf_pi_file"](spark, SF)
+    assert found.inputFiles() and not [f for f in found.inputFiles() if f.endswith(".txt")]
+    assert sorted(r.line_number for r in found.collect()) == list(range(found.count()))

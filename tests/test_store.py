@@ -272,6 +272,24 @@ def test_lines_of_several_files_keep_their_order(spark, tmp_path, pops_file):
     assert side_files.populations_of(side_files.read_populations(spark, str(pops)), [f"S{i}" for i in range(6)]).order == ("Z", "A")
 
 
+def test_numbers_of_lines_do_not_follow_the_tasks(spark, tmp_path):
+    """More executors than at the time of planning make more tasks, here as smaller splits do."""
+    for i, n in enumerate((3, 4000, 9000, 500)):
+        (tmp_path / f"part-{i}").write_text("".join(f"{i} {k:05}\n" for k in range(n)))
+    lines = vcf.read_lines(spark, str(tmp_path))
+    size, tasks = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for most in (size, "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            rows = lines.select("row_id", "value", F.spark_partition_id().alias("task")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        tasks.append(len({r.task for r in rows}))
+        assert len({r.row_id for r in rows}) == len(rows) == 13503
+        assert [r.value for r in sorted(rows)] == sorted(r.value for r in rows)
+    assert tasks[0] < tasks[1]
+
+
 def test_written_file_follows_contigs_of_several_files(spark, tmp_path, pops_file):
     folder = tmp_path / "parts"
     folder.mkdir()
