@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import apart, numbered, stored
-from .textops import U64, Words, blocks, flat_list, key_runs, mix, powers
+from .textops import U64, Words, blocks, flat_list, key_runs, mix, pieces, powers
 
 LENGTH = 400
 CORE = 128
@@ -129,40 +129,46 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     key = _loads(text, n, ">u8")
     sa = np.argsort(key)
-    fresh = np.append(True, key[sa[1:]] != key[sa[:-1]])
+    key = key[sa]
+    sa = sa.astype(np.int32)
+    fresh = np.append(True, key[1:] != key[:-1])
     del key
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = group
-    open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    rank = np.zeros(n + 1, np.int32)  # from 1; 0 beyond the end
+    rank[sa] = np.maximum.accumulate(np.where(fresh, np.arange(1, n + 1, dtype=np.int32), 0))
+    open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(np.int32)
     h = 8
     while h < depth and len(open_):
         at = sa[open_]
-        ahead = at + h
-        both = rank[at] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        both = rank[at].astype(np.int64) << 32
+        both |= rank[np.minimum(at + h, n)]
         order = np.argsort(both)
         both, at = both[order], at[order]
+        del order
         sa[open_] = at
         fresh = np.append(True, both[1:] != both[:-1])
-        rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        del both
+        rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at), dtype=np.int32), 0))] + 1
         open_ = open_[~(fresh & np.append(fresh[1:], True))]
         h *= 2
     return sa
 
 
-def repeated_windows(text: np.ndarray, valid: np.ndarray, room: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For the valid starts of a shard: whether the window occurs at another valid start, and whether it is the first of its class.
+def repeated_windows(text: np.ndarray, room: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For the starts of a shard with room for a window: whether it occurs at another such start, and whether it is the first of its class.
 
     room: bytes from each place to the end of its context.
     """
     n = len(text)
     sa = suffix_array(text, length)
-    sa = sa[valid[sa]]
-    before = np.full(n, -1, np.int64)
+    sa = sa[room[sa] >= length]
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.flatnonzero(before >= 0)
-    head = np.append(True, (place[1:] != place[:-1] + 1) | (before[place[1:]] != before[place[:-1]] + 1)) if len(place) else np.zeros(0, bool)
-    p, q = place[head], before[place[head]]
+    del sa
+    place = np.flatnonzero(before >= 0).astype(np.int32)
+    earlier = before[place]
+    del before
+    head = np.append(True, (place[1:] != place[:-1] + 1) | (earlier[1:] != earlier[:-1] + 1)) if len(place) else np.zeros(0, bool)
+    p, q = place[head].astype(np.int64), earlier[head].astype(np.int64)
     most = np.minimum(room[p], room[q])
     word = _loads(text, n)
     common, live = np.zeros(len(p), np.int64), np.arange(len(p))
@@ -175,13 +181,13 @@ def repeated_windows(text: np.ndarray, valid: np.ndarray, room: np.ndarray, leng
         tail = np.where(differ == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
         common[live] += tail
         live = live[differ == 0]
-    common = np.minimum(common, most)
-    which = np.cumsum(head) - 1
-    prefix = common[which] - (place - p[which]) if len(place) else common
+    del word
+    end = p + np.minimum(common, most)
+    same = end[np.cumsum(head, dtype=np.int32) - 1] - place >= length if len(place) else np.zeros(0, bool)
     equal = np.zeros(n, bool)
-    equal[place[prefix >= length]] = True  # to the one before it in the suffix array
+    equal[place[same]] = True  # to the one before it in the suffix array
     again = equal.copy()
-    again[before[place[prefix >= length]]] = True
+    again[earlier[same]] = True
     return again, ~equal
 
 
@@ -197,9 +203,7 @@ def _shard(table: pa.Table, length: int) -> pa.RecordBatch:
     h, c, n, parts, part = (table.column(x).to_numpy() for x in ("h", "c", "n", "parts", "part"))
     size = n + length - 1
     at = np.append(0, np.cumsum(size))
-    inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
-    valid = inside < np.repeat(n, size)
-    again, lead = repeated_windows(data, valid, np.repeat(size, size) - inside, length)
+    again, lead = repeated_windows(data, np.repeat(at[1:].astype(np.int32), size) - np.arange(at[-1], dtype=np.int32), length)
     view, out = memoryview(data), []
     left: dict[tuple[int, int, int], list[tuple[int, int, np.ndarray]]] = {}
     for k, (a, m, split) in enumerate(zip(at[:-1].tolist(), n.tolist(), (parts > 1).tolist())):
@@ -220,6 +224,18 @@ def _shard(table: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, schema=FOUND)
 
 
+def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The findings of all shards of batches sorted by them. An Arrow batch may hold thousands of shards: they are sorted in pieces
+    of ``BLOCK_BYTES`` or one shard, as sorting takes some 50 bytes of memory for each byte."""
+    for table, edge in key_runs(batches, ["h", "part"], 5000):
+        offs = np.append(0, np.cumsum(table.column("n").to_numpy() + np.int64(length - 1)))[edge]
+        for a, b in pieces(offs):
+            piece = table.slice(edge[a], edge[b] - edge[a])
+            # a repeated row may have been cut in two tasks
+            one = {x: i for i, x in enumerate(zip(*(piece.column(c).to_pylist() for c in ("h", "c", "n"))))}
+            yield _shard(piece.take(pa.array(list(one.values()))), length)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that another shard of the anchor has too: for each digest range, each shard's list is searched in the merged one."""
     for table, edge in key_runs(batches, ["h", "range"]):
@@ -299,14 +315,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, spli
     open_ = kinds.join(apart(unlike), ["unit", "h"]).select("one.*", F.struct("unit", "h", "c", "n", "parts", "one.at").alias("w"))
     cuts = stored(_cuts(docs, open_.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")), length, passage))
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in key_runs(batches, ["h", "part"], 5000):
-            # a repeated row may have been cut in two tasks
-            one = {x: i for i, x in enumerate(zip(*(table.column(c).to_pylist() for c in ("h", "c", "n"))))}
-            yield _shard(table.take(pa.array(list(one.values()))), length)
-
     bodies = cuts.where(F.col("unit") == BYTES).select("h", "part", "c", "n", "parts", "body")
-    found = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, "h long, c long, spans array<int>, part int, range int, digests binary, kinds binary, offs binary"))
+    found = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(lambda batches: _shards(batches, length), "h long, c long, spans array<int>, part int, range int, digests binary, kinds binary, offs binary"))
     lists = found.where("digests is not null").select("h", "range", "digests", "kinds", "offs")
     met = lists.repartition("h", "range").sortWithinPartitions("h", "range").mapInArrow(_merge, "h long, c long, spans array<int>")
     twice = kinds.where("times > 1").select("unit", "h", "c", F.array(F.lit(0), F.col("n")).alias("spans"))

@@ -63,16 +63,22 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of pieces of a column, each of limit bytes or one row."""
-    data, offs = binary_column(column)
+def pieces(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first item, item after the last) of pieces of neighbouring items, each of limit bytes or one item; offs: where items start, and the end."""
     a, n = 0, len(offs) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
-        yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+        yield a, b
         a = b
 
 
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of pieces of a column, each of limit bytes or one row."""
+    data, offs = binary_column(column)
+    for a, b in pieces(offs, limit):
+        yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+
+
 def flat_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and row offsets of a list column without nulls inside; a null list counts as empty."""
     size = np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)
