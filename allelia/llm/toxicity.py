@@ -5,8 +5,9 @@ categories. In training these come out of fold: the labelled sample is dealt ove
 probability from the model that was fitted without its fold. The last fit of a category, on all rows, scores texts.
 
 Training takes at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id (all, where there are fewer); this bound is the
-only one. Folds are fitted by Spark tasks, and every whole text is scored. Features are the distinct words of a text,
-hashed to ``DIMS`` columns, and four numbers on its form; each fit chooses the words that go with its label.
+only one. Folds are fitted by Spark tasks, which get the rows' features from a stored table and not from the driver, and every whole
+text is scored. Features are the distinct words of a text, hashed to ``DIMS`` columns, and four numbers on its form; each fit
+chooses the words that go with its label.
 
 A label that is null or a document that is missing is left out of the fit; of several labels or texts of one doc_id one is taken, the
 same in every run. Null and empty texts are scored by the intercepts; repeated rows are scored alike; a long text is one
@@ -19,12 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stored
 from .textops import IS_WORD, LOWER, Words, blocks, flat_list
 
 SAMPLE = 16_000
@@ -36,6 +37,7 @@ SHAPES = 4
 CHOSEN = 512
 LEAST_ROWS = 3
 LEAST_Z = 4.0
+NEVER = -30.0  # the intercept where no row, or none that is positive, is known
 #: Category, the label column it comes from, the value that counts as positive; in the order of the chain.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
@@ -84,7 +86,7 @@ def fit(column: np.ndarray, first: np.ndarray, extra: np.ndarray, y: np.ndarray,
     on = np.ones(len(y), bool) if on is None else on
     out = np.zeros(dims + extra.shape[1] + 1)
     if not on.any() or y[on].min() == y[on].max():
-        out[-1] = 30.0 if on.any() and y[on][0] else -30.0
+        out[-1] = -NEVER if on.any() and y[on][0] else NEVER
         return out
     chosen = select(column, first, y, on, dims)
     place = np.full(dims, -1)
@@ -120,9 +122,32 @@ def probability(weights: np.ndarray, column: np.ndarray, first: np.ndarray, extr
     return 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + extra @ weights[dims:-1] + weights[-1], -30, 30)))
 
 
+FITTED = T.StructType([T.StructField("fold", T.IntegerType()), *(T.StructField(c, T.ArrayType(kind)) for c, kind in (("at", T.LongType()), ("w", T.DoubleType()), ("p", T.DoubleType())))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], y: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fold, doc_ids, words, row offsets of the words, numbers on form, labels y) of each fold of a task, in order of the doc_ids."""
+    held = list(batches)
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    held.clear()
+    folds = whole.column("fold").to_numpy()
+    for k in np.unique(folds).tolist():
+        on = np.flatnonzero(folds == k)
+        ids = whole.column("doc_id").to_numpy()[on]
+        order = np.argsort(ids, kind="stable")
+        rows = whole.take(pa.array(on[order])).combine_chunks()
+        column, first = flat_list(rows.column("columns").combine_chunks())
+        extra = rows.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
+        yield k, ids[order], column, first, extra, rows.column(y).to_numpy().astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, folds: int = FOLDS) -> list[np.ndarray]:
-    """The weights of the chain."""
-    spark = docs.sparkSession
+    """The weights of the chain. Only they and the out-of-fold probabilities come to the driver, not the rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fitted_kind = to_arrow_schema(FITTED)
     wanted = [F.when(F.col(source).isNotNull(), (F.col(source) == value).cast("int")).alias(f"y{k}") for k, (_, source, value) in enumerate(categories)]
     ys = [f"y{k}" for k in range(len(categories))]
     known = labels.where("doc_id is not null").select("doc_id", *wanted).dropna().groupBy("doc_id").agg(F.min(F.struct(*ys)).alias("y")).select("doc_id", "y.*")
@@ -139,36 +164,31 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows of a few numbers
     # one text for each id, however often it is there; equal ones are collapsed before the shuffle
     rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), *(F.first(y).alias(y) for y in ys)).select("doc_id", *ys, "t.text")
-    got = rows.mapInArrow(run, schema).toArrow()
-    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))).combine_chunks()
-    column, first = flat_list(got.column("columns").combine_chunks())
-    extra = got.column("shape").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES)
-    wanted_of = {y: got.column(y).to_numpy().astype(np.int64) for y in ys}
-    fold = np.arange(got.num_rows) % folds
-    del got
-    held = spark.sparkContext.broadcast((column, first, fold))
-    models = []
-    for y in wanted_of.values():
-
-        def fold_fit(parts: Iterator[pd.DataFrame], y: np.ndarray = y, extra: np.ndarray = extra) -> Iterator[pd.DataFrame]:
-            column, first, fold = held.value
-            for part in parts:
-                for k in part["id"].tolist():
-                    on = fold != k
-                    w = fit(column, first, extra, y, on)
-                    some = np.flatnonzero(w)
-                    p = probability(w, column, first, extra)[~on]
-                    yield pd.DataFrame({"fold": [k], "at": [some.tolist()], "w": [w[some].tolist()], "p": [p.tolist()]})
-
-        jobs = spark.range(0, folds + 1, 1, folds + 1)
-        fitted = {r.fold: r for r in jobs.mapInPandas(fold_fit, "fold long, at array<long>, w array<double>, p array<double>").collect()}
-        w = np.zeros(DIMS + extra.shape[1] + 1)
-        w[fitted[folds]["at"]] = fitted[folds]["w"]
+    # each fit takes all of these rows, so a copy of them goes to its task; none goes through the driver
+    featured = stored(rows.mapInArrow(run, schema))
+    dealt = featured.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds)))).repartitionById(folds + 1, "fold")
+    models, outside = [], []
+    for y in ys:
+
+        def fold_fit(batches: Iterator[pa.RecordBatch], y: str = y, outside: list[np.ndarray] = outside) -> Iterator[pa.RecordBatch]:
+            for k, ids, column, first, extra, labels in _gathered(batches, y):
+                extra, own = np.column_stack([extra, *outside]), np.arange(len(ids)) % folds == k
+                w = fit(column, first, extra, labels, ~own)
+                some = np.flatnonzero(w)
+                p = probability(w, column, first, extra)[own]
+                yield pa.RecordBatch.from_pylist([{"fold": k, "at": some, "w": w[some], "p": p}], schema=fitted_kind)
+
+        fitted = {r.fold: r for r in dealt.select("fold", "doc_id", y, "columns", "shape").mapInArrow(fold_fit, FITTED).collect()}
+        w = np.zeros(DIMS + SHAPES + len(outside) + 1)
+        if fitted:
+            w[fitted[folds].at] = fitted[folds].w
+        else:  # no labelled row
+            w[-1] = NEVER
         models.append(w)
-        outside = np.zeros(len(fold))
-        for k in range(folds):
-            outside[fold == k] = fitted[k]["p"]
-        extra = np.column_stack([extra, outside])
+        p = np.zeros(sum(len(r.p) for r in fitted.values()))
+        for k in range(folds if fitted else 0):
+            p[k::folds] = fitted[k].p
+        outside = [*outside, p]
     return models
 
 

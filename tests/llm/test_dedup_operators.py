@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import pickle
 import random
 import tracemalloc
 from collections import Counter, defaultdict
@@ -475,6 +476,21 @@ def test_toxicity_against_brute_force(spark):
     assert len({round(r.p_toxic, 6) for r in out}) > 20
 
 
+def test_toxicity_rows_stay_out_of_the_driver(spark, monkeypatch):
+    """Training brings weights and probabilities to the driver and sends out no more, however long the texts are."""
+    sent = []
+    for kind, name in ((type(spark.range(1)), "collect"), (type(spark.range(1)), "toArrow"), (type(spark.range(1)), "toPandas")):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): sent.append(out := f(self)) or out)
+    put = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or put(value))
+    rows = [(k, " ".join([f"w{k}x{i}" for i in range(1500)] + ["vile"] * (k % 3 == 0))) for k in range(150)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    models = toxicity.train(docs, labels)
+    assert sum(len(pickle.dumps(x)) for x in sent) < 50_000  # their words alone take 900,000
+    assert len(np.flatnonzero(models[1])) > 1
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "vile"), (1, "vile")], DOCS)
