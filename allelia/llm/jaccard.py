@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     # by set id within a bucket, so the leader of a forest is the smallest and different buckets give equal edges
     edges = members.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "sid").mapInArrow(_forests(cut), "a binary, b binary")
     parts = connected_components(edges if far is None else edges.unionByName(far))
-    parts = parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "pick", "n")
+    parts = stored(parts.join(unique, F.col("node") == F.col("sid")).select("root", "sid", "copies", "pick", "n"))
     weight = parts.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_tokens)).alias("k"))
     wanted = parts.join(apart(weight), "root").select("root", "k", "sid", "copies", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_key").alias("pick_key"))
 
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, r
     else:  # components of several blocks
         roots = connected_components(checked.select(F.col("sid").alias("a"), F.col("lead").alias("b")))
         links = links.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "docs", F.coalesce("root", "sid").alias("lead"))
-    each = unique.join(links, "sid", "left").select("sid", "copies", "rep", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("lead", "sid").alias("lead"))
+    each = stored(unique.join(links, "sid", "left").select("sid", "copies", "rep", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("lead", "sid").alias("lead")))
     classes = each.groupBy("lead").agg(F.min("rep").alias("class_id"))
     found = each.join(apart(classes), "lead").select("sid", "class_id", "lead", (F.col("copies") - 1 + F.col("docs")).alias("n_links"))
     return sets.select("doc_id", "text_key", "sid").join(found, "sid").select("doc_id", "class_id", "n_links", "lead", "text_key")

@@ -50,13 +50,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond"), so
-    rounds grow with the logarithm of the size. Edges stay distributed; each round is a written table. No edges give no nodes.
+    rounds grow with the logarithm of the size. Edges stay distributed; each half of a round is a written table, so a plan reads few of them
+    and each is computed once. No edges give no nodes.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.where("b > a").join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        star = stored(both.where("b > a").join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         star = star.join(apart(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(star.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())

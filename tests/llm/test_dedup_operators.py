@@ -244,6 +244,21 @@ def test_components(spark):
     assert all(got[a] == got[b] for a, b in edges if a != b)
 
 
+def test_no_plan_of_the_join_reads_many_tables(spark, monkeypatch):
+    """For each file scan and stage of a plan the driver broadcasts a block of 4 MB, so plans that are run at once are small."""
+    scans, put = [], shared.stored
+
+    def counted(df, **options):
+        scans.append(df._jdf.queryExecution().sparkPlan().toString().count("FileScan"))
+        return put(df, **options)
+
+    monkeypatch.setattr(shared, "stored", counted)
+    monkeypatch.setattr(jaccard, "stored", counted)
+    found = jaccard.near_duplicates(spark.createDataFrame(mixed_docs(4), DOCS))
+    scans.append(found._jdf.queryExecution().sparkPlan().toString().count("FileScan"))
+    assert len(scans) > 4 and max(scans) <= 4, scans
+
+
 # line dedup
 
 
